@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import simhash
+from tonespan.llm import quality, simhash
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -21,3 +21,10 @@ def op5_simhash_near_dedup(spark, sf_dir):
     """Fingerprint and near-duplicate class of every document."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op2_quality_rules(spark, sf_dir):
+    """Counts, posterior quality and verdict of every document."""
+    found = quality.score_documents(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "quality")

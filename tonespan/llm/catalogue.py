@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import quality, simhash
+from tonespan.llm import packing, quality, simhash
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -28,3 +28,9 @@ def op2_quality_rules(spark, sf_dir):
     """Counts, posterior quality and verdict of every document."""
     found = quality.score_documents(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), *quality.COUNTS, "base_failed", "kept", "quality")
+
+
+@query
+def op10_best_fit_packing(spark, sf_dir):
+    """Place of every piece of every document in sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import packing, quality, simhash
+from tonespan.llm import packing, quality, simhash, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -34,3 +34,12 @@ def op2_quality_rules(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     """Place of every piece of every document in sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_url_filters(spark, sf_dir):
+    """Host, path, fitting rule and verdict of every page's address."""
+    return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+ORACLE_SQL["op7_url_filters"] = urls.oracle()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import packing, quality, simhash, urls
+from tonespan.llm import html, packing, quality, simhash, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -43,3 +43,9 @@ def op7_url_filters(spark, sf_dir):
 
 
 ORACLE_SQL["op7_url_filters"] = urls.oracle()
+
+
+@query
+def op4_html_extraction(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import html, packing, quality, simhash, urls
+from tonespan.llm import decontaminate, html, packing, quality, simhash, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -49,3 +49,9 @@ ORACLE_SQL["op7_url_filters"] = urls.oracle()
 def op4_html_extraction(spark, sf_dir):
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_benchmark_decontamination(spark, sf_dir):
+    """Best matching window of each document and benchmark item that reach the similarity."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, html, packing, quality, simhash, urls
+from tonespan.llm import decontaminate, html, language, packing, quality, simhash, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -55,3 +55,17 @@ def op4_html_extraction(spark, sf_dir):
 def op8_benchmark_decontamination(spark, sf_dir):
     """Best matching window of each document and benchmark item that reach the similarity."""
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _fold(modulus: int):
+    """crc32 of the id's text, modulo ``modulus``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+@query
+def op6_language_id(spark, sf_dir):
+    """Predicted language of every document; a quarter of the documents is held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.where(_fold(4) != 2))
+    held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
+    return language.predict(docs, model, ["doc_id", held])

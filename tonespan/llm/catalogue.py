@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, html, language, packing, quality, simhash, urls
+from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -69,3 +69,11 @@ def op6_language_id(spark, sf_dir):
     model = language.train(docs.where(_fold(4) != 2))
     held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
     return language.predict(docs, model, ["doc_id", held])
+
+
+@query
+def op1_katz_backoff(spark, sf_dir):
+    """Log10 probability of every document by the model of nine tenths of them."""
+    held = F.coalesce(_fold(10) == 0, F.lit(True))
+    scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~held)
+    return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

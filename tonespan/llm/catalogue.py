@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, urls
+from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, substring, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -77,3 +77,10 @@ def op1_katz_backoff(spark, sf_dir):
     held = F.coalesce(_fold(10) == 0, F.lit(True))
     scores, _ = katz.katz_scores(table(spark, sf_dir, "documents"), ~held)
     return scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op9_substring_dedup(spark, sf_dir):
+    """Spans of every document that repeat a passage which another place keeps."""
+    spans = substring.merged_spans(substring.repeated_spans(table(spark, sf_dir, "documents")))
+    return spans.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, substring, urls
+from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, substring, tools, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -84,3 +84,10 @@ def op9_substring_dedup(spark, sf_dir):
     """Spans of every document that repeat a passage which another place keeps."""
     spans = substring.merged_spans(substring.repeated_spans(table(spark, sf_dir, "documents")))
     return spans.select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")
+
+
+@query
+def op3_tool_call_linking(spark, sf_dir):
+    """Linked calls of all conversations: user turns as calls, answers as results."""
+    linked = tools.link_conversations(table(spark, sf_dir, "conversations"))
+    return linked.select("conv_id", "call_id", "turn", "name", "n_results", "arguments", "valid", "error", "topo_rank", "linked_json")

@@ -99,6 +99,14 @@ class WordIds:
 _WORD_IDS: dict[str, WordIds] = {}
 
 
+def worker_ids(path: str) -> WordIds:
+    """The ids that this Python worker remembers from task to task. A function of the
+    module, so that tasks share it; what a task's own function refers to is copied."""
+    if path not in _WORD_IDS:
+        _WORD_IDS[path] = WordIds(path)
+    return _WORD_IDS[path]
+
+
 def token_stream(texts: pa.Array, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     """uint32 ids of all texts, END_ID after each, and where each text begins."""
     flat, starts = _words.split(texts)
@@ -119,9 +127,7 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     path = tokenizer or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORD_IDS:
-            _WORD_IDS[path] = WordIds(path)
-        ids = _WORD_IDS[path]
+        ids = worker_ids(path)
         for rows in _words.slices(batches, "text", 3 << 20):
             stream, begin = token_stream(_words.as_text(rows.column(1)), ids)
             size = np.diff(begin)

@@ -53,16 +53,21 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -
     return out
 
 
+def key_of(id_col: str, text_col: str):
+    """Rows that agree in id and text are one document."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp long) of every row; null and word-free texts have fingerprint zero."""
+    """(id, key, fp longs) of every row; null and word-free texts have fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _words.slices(batches, "text", 1 << 20):
             fp = fingerprints_of(_words.as_text(piece.column(1)), shingle, seed)
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(fp.view(np.int64))], ["id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), key_of(id_col, text_col).alias("key"))
+    return rows.mapInArrow(run, "id long, key long, fp long")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -91,6 +96,12 @@ def hamming_link(radius: int):
     return link
 
 
+def _groups(distinct: DataFrame, radius: int) -> DataFrame:
+    """``distinct``, one row for each ``fp``, and its ``group``."""
+    near = connected_components(bucket_edges(variants(distinct.select("fp"), radius), hamming_link(radius)))
+    return distinct.join(near, distinct["fp"] == near["node"], "left").drop("node").withColumn("group", F.coalesce("component", "fp")).drop("component")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, fp long, component long) of every row of ``docs``.
 
@@ -103,9 +114,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = bucket_edges(variants(distinct, radius), hamming_link(radius))
-    near = connected_components(edges)
-    grouped = distinct.join(near, distinct["fp"] == near["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    grouped = _groups(distinct, radius)
     lowest = grouped.groupBy("group").agg(F.min("least").alias("component"))
     named = grouped.join(lowest, "group").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, all columns, that near-duplicate groups keep: of each group the
+    row with the smallest id (null last). Rows that agree in id and text are one document
+    and one of them stays. Texts move once, to leave out the others."""
+    keyed = docs.withColumn("_key", key_of(id_col, text_col))
+    rows = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints").withColumnRenamed("key", "_key")
+    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("_key").alias("key"))
+    distinct = rows.groupBy("fp").agg(F.min(first).alias("first"))
+    grouped = _groups(distinct, radius)
+    kept = grouped.groupBy("group").agg(F.min("first").alias("kept"))
+    decided = rows.join(grouped.join(kept, "group").select("fp", "kept"), "fp")
+    gone = staged(decided.where(F.col("_key") != F.col("kept.key")).select("_key").distinct(), "removed")
+    twice = staged(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"), "repeated")
+    left = keyed.join(gone, "_key", "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, "_key", "left_anti").unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+    return left.select(*docs.columns)

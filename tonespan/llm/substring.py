@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from tonespan.llm import _words
 from tonespan.llm._graph import bucket_edges, connected_components
 from tonespan.llm._tables import release, staged
+from tonespan.llm.simhash import key_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -140,13 +141,8 @@ def units_of(texts: pa.Array) -> tuple[Units, Units]:
 _UNITS = "kind string, doc_id long, doc_key long, start int, words int, content long, bands array<long>, shingles array<int>"
 
 
-def _doc_key(id_col: str, text_col: str):
-    """Rows that agree in id and text are one document."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-
-
 def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _doc_key(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     names = [f.split()[0] for f in _UNITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +276,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = staged(merged_spans(repeated_spans(docs, id_col, text_col, similarity)), "spans")
     release(docs.sparkSession)
     spans = spans.select(F.col("doc_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", _doc_key(id_col, text_col))
+    keyed = docs.withColumn("_key", key_of(id_col, text_col))
     columns = docs.columns
     rows = keyed.join(spans, "_key", "left").select(*columns, "_spans")
     schema = T.StructType([*docs.schema.fields])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ def write_shared(df: DataFrame, name: str, partition_by: list[str] | None = None
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
-    schema = df.schema
-    return df.sparkSession.read.schema(schema).parquet(write_shared(df, name))
+    path = write_shared(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
 
 
 def drop_shared(spark: SparkSession, path: str) -> None:
@@ -49,10 +52,20 @@ def drop_shared(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        drop_shared(t.sparkSession, t.shared_path)
+
+
 def release(spark: SparkSession) -> None:
-    """Let the context drop shuffle files of plans that are no longer referenced."""
+    """Let the context drop shuffle files of plans that are no longer referenced. The last
+    plan stays referenced until another one has run, so an empty one runs first."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    for wait in (0.2, 0.2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

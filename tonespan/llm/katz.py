@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespan.llm import _words
-from tonespan.llm._tables import release, write_shared
+from tonespan.llm._tables import drop_shared, release, write_shared
 
 ORDER = 2
 #: Counts up to this one are discounted.
 GOOD_TURING = 5
 #: What larger counts lose, in occurrences.
 LARGE = 0.5
-BLOCK_TOKENS = 1 << 21
+BLOCK_TOKENS = 5 << 18
 #: Tokens of the corpus for each bucket of n-gram hashes, and of contexts.
 BUCKET_TOKENS = 1 << 20
 CONTEXT_TOKENS = 1 << 22
@@ -265,7 +265,7 @@ def _probabilities(grams: list[Grams], totals: list[Totals], params: list[Discou
     return seen, before
 
 
-_PARTIAL = "kind string, level int, bucket int, block long, doc int, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, keys binary, x binary, y binary"
+_PARTIAL = "kind string, level int, bucket int, block long, doc int, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, keys binary, x binary, y binary, z binary"
 
 
 def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], texts: int, buckets: int) -> DataFrame:
@@ -334,15 +334,17 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
             if len(mine):
                 context = grams[n - 1].context[mine]
                 count = totals[n - 1].total[mine]
-                freed = (1 - params[n - 1].of(count)) * count / before[n - 1][mine]
-                covered = seen[n - 2][grams[n - 1].suffix[mine]]
-                which, inverse = np.unique(context, return_inverse=True)
+                # in occurrences, not shares: mostly few different values, which pack well
+                freed = (1 - params[n - 1].of(count)) * count
+                suffix = grams[n - 1].suffix[mine]
+                covered = params[0].of(totals[0].total[suffix]) * totals[0].total[suffix] if n == 2 else seen[n - 2][suffix]
+                which, first_of, inverse = np.unique(context, return_index=True, return_inverse=True)
                 context_hash = np.append(grams[0].hashes, BEGIN) if n == 2 else grams[n - 2].hashes
-                _, hashes, freed, covered = _ordered(context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered))
+                _, hashes, freed, covered, times = _ordered(context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered), before[n - 1][mine][first_of].astype(np.uint64))
                 edges = _bucket_edges(hashes, buckets)
                 yield rows_of(
                     [
-                        {"kind": "context", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(freed[x:y]), "y": pack(covered[x:y])}
+                        {"kind": "context", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(freed[x:y]), "y": pack(covered[x:y]), "z": pack(times[x:y])}
                         for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False))
                         if x < y
                     ]
@@ -362,7 +364,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
     return joined.mapInArrow(run, _PARTIAL)
 
 
-def _weights(rows: pa.Table) -> pa.Table:
+def _weights(rows: pa.Table, tokens: int) -> pa.Table:
     """Backoff weights of one bucket of contexts, and what they add to each document."""
     kinds = np.array(rows["kind"].to_pylist())
     level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
@@ -370,8 +372,15 @@ def _weights(rows: pa.Table) -> pa.Table:
     at = np.flatnonzero(kinds == "context").tolist()
     keys = np.concatenate([unpack_sorted(rows["keys"][i].as_py()) for i in at]) if at else np.zeros(0, np.uint64)
     distinct, inverse = np.unique(keys, return_inverse=True)
-    freed, covered = (np.bincount(inverse, weights=np.concatenate([unpack(rows[c][i].as_py(), np.float64) for i in at]) if at else np.zeros(0), minlength=len(distinct)) for c in ("x", "y"))
-    log_weight = np.log10(freed / np.maximum(1 - covered, 1e-12))
+    def summed(column: str) -> np.ndarray:
+        values = np.concatenate([unpack(rows[column][i].as_py(), np.float64) for i in at]) if at else np.zeros(0)
+        return np.bincount(inverse, weights=values, minlength=len(distinct))
+
+    times = np.zeros(len(distinct))
+    if at:
+        times[inverse] = np.concatenate([unpack(rows["z"][i].as_py()) for i in at])
+    covered = summed("y") / (max(1, tokens) if level == 2 else 1)
+    log_weight = np.log10(summed("x") / times / np.maximum(1 - covered, 1e-12))
     out.append(("weights", level, bucket, None, None, None, pack_sorted(distinct), pack(log_weight)))
     for i in np.flatnonzero(kinds == "need").tolist():
         own = unpack_sorted(rows["keys"][i].as_py())
@@ -421,10 +430,19 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     replies = stored.where("kind = 'reply'").drop("kind")
     partial_path = write_shared(_evaluate(blocks, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)), "katz-partial", ["kind"])
+    del replies, stored, blocks
+    # nothing reads the blocks and the answers again
+    drop_shared(spark, block_path)
+    drop_shared(spark, f"{counts_path}/kind=reply")
+    release(spark)
+    partial = spark.read.schema(_PARTIAL).parquet(partial_path)
+    exchanged = partial.where("kind in ('context', 'need')").select("kind", "level", "bucket", "block", "keys", "x", "y", "z")
+    total = params[0].total
+    weights_path = write_shared(exchanged.groupBy("level", "bucket").applyInArrow(lambda rows: _weights(rows, total), _WEIGHTS), "katz-weights", ["kind"])
+    drop_shared(spark, f"{partial_path}/kind=context")
+    drop_shared(spark, f"{partial_path}/kind=need")
     release(spark)
     partial = spark.read.schema(_PARTIAL).parquet(partial_path)
-    exchanged = partial.where("kind in ('context', 'need')").select("kind", "level", "bucket", "block", "keys", "x", "y")
-    weights_path = write_shared(exchanged.groupBy("level", "bucket").applyInArrow(_weights, _WEIGHTS), "katz-weights", ["kind"])
     added = spark.read.schema(_WEIGHTS).parquet(weights_path).where("kind = 'add'").groupBy("block", "doc").agg(F.sum("add").alias("add"))
     rows = partial.where("kind = 'doc'").join(added, ["block", "doc"], "left")
     scores = rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(params[0].total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"))

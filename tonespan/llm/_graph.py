@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonespan.llm._tables import Shared, drop_shared, write_shared
+from tonespan.llm._tables import Shared, drop_shared, staged, write_shared
 
 #: Members of a bucket that are compared in one piece; larger buckets are cut into
 #: blocks of about this size and every pair of blocks becomes a piece of its own.
@@ -135,4 +135,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         now = small.select("u", F.col("m").alias("v")).unionByName(small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
     roots = edge.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return edge.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    found = edge.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
+    out = staged(found, "components")
+    drop_shared(spark, path)
+    return out

@@ -68,5 +68,13 @@ def release(spark: SparkSession) -> None:
         time.sleep(wait)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the like, that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonespan.llm import _words
-from tonespan.llm._tables import staged
+from tonespan.llm._tables import drop, staged
 
 MIN_SHARE = 1e-5
 ORDERS = (5, 4, 3, 2, 1)
@@ -184,6 +184,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_s
         index, rows = (words, word_rows) if kind == 0 else (grams, gram_rows)
         index[entry] = len(rows)
         rows.append(np.log(row / (1 + FLOOR)))
+    drop(words_seen, counts)
     wide = len(languages)
     return Model(languages, words, grams, np.array(word_rows, np.float32).reshape(len(word_rows), wide), np.array(gram_rows, np.float32).reshape(len(gram_rows), wide))
 

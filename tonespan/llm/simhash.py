@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tonespan.llm import _words
 from tonespan.llm._graph import bucket_edges, connected_components
-from tonespan.llm._tables import staged
+from tonespan.llm._tables import drop, free_name, release, staged
 
 RADIUS = 3
 SHINGLE = 3
@@ -124,16 +124,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of ``docs``, all columns, that near-duplicate groups keep: of each group the
     row with the smallest id (null last). Rows that agree in id and text are one document
     and one of them stays. Texts move once, to leave out the others."""
-    keyed = docs.withColumn("_key", key_of(id_col, text_col))
-    rows = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints").withColumnRenamed("key", "_key")
-    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col("_key").alias("key"))
+    own = free_name(docs, "_key")
+    keyed = docs.withColumn(own, key_of(id_col, text_col))
+    prints = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    rows = prints.withColumnRenamed("key", own)
+    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col(own).alias("key"))
     distinct = rows.groupBy("fp").agg(F.min(first).alias("first"))
     grouped = _groups(distinct, radius)
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"))
     decided = rows.join(grouped.join(kept, "group").select("fp", "kept"), "fp")
-    gone = staged(decided.where(F.col("_key") != F.col("kept.key")).select("_key").distinct(), "removed")
-    twice = staged(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"), "repeated")
-    left = keyed.join(gone, "_key", "left_anti")
+    gone = staged(decided.where(F.col(own) != F.col("kept.key")).select(own).distinct(), "removed")
+    twice = staged(rows.groupBy(own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(own), "repeated")
+    drop(prints)
+    release(docs.sparkSession)
+    left = keyed.join(gone, own, "left_anti")
     if not twice.isEmpty():
-        left = left.join(twice, "_key", "left_anti").unionByName(left.join(twice, "_key", "left_semi").dropDuplicates(["_key"]))
+        left = left.join(twice, own, "left_anti").unionByName(left.join(twice, own, "left_semi").dropDuplicates([own]))
     return left.select(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tonespan.llm import _words
 from tonespan.llm._graph import bucket_edges, connected_components
-from tonespan.llm._tables import release, staged
+from tonespan.llm._tables import drop, free_name, release, staged
 from tonespan.llm.simhash import key_of
 
 SHINGLE = 5
@@ -199,15 +199,20 @@ def jaccard_link(similarity: float):
     return link
 
 
-def _paragraph_links(paragraphs: DataFrame, similarity: float) -> DataFrame:
+def _paragraph_classes(paragraphs: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the paragraphs that are similar to another one."""
     index = paragraphs.select(F.explode("bands").alias("key"), F.col("content").alias("node"))
+    release(paragraphs.sparkSession)
     # a band that two different contents share
     shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
     candidates = staged(index.join(shared, "key").distinct(), "bands")
     release(paragraphs.sparkSession)
     wanted = candidates.select(F.col("node").alias("content")).distinct()
     shingles = paragraphs.join(wanted, "content", "left_semi").select(F.col("content").alias("node"), "shingles").dropDuplicates(["node"])
-    return bucket_edges(candidates.join(shingles, "node"), jaccard_link(similarity), block=128)
+    found = connected_components(bucket_edges(candidates.join(shingles, "node"), jaccard_link(similarity), block=128))
+    drop(candidates)
+    release(paragraphs.sparkSession)
+    return found
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -219,16 +224,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as the largest. An empty table gives an empty one; other columns are not read.
     """
     units = staged(_units(docs, id_col, text_col), "units")
-    near = staged(connected_components(_paragraph_links(units.where("kind = 'paragraph'"), similarity)), "paragraph-classes")
+    near = _paragraph_classes(units.where("kind = 'paragraph'"), similarity)
+    # of most units there is one: only the others move with their places
+    several = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "content")
+    wanted = several.unionByName(near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"))).distinct()
+    rows = staged(units.select("kind", "doc_id", "doc_key", "start", "words", "content").join(wanted, ["kind", "content"], "left_semi"), "repeated-units")
+    drop(units)
     release(docs.sparkSession)
-    rows = units.select("kind", "doc_id", "doc_key", "start", "words", "content").distinct()
-    classed = rows.join(near, rows["content"] == near["node"], "left").withColumn("cluster", F.coalesce("component", "content"))
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "doc_key", "start")
-    classed = classed.select("kind", "cluster", "doc_id", "doc_key", "start", "words", order.alias("place"))
-    kept = classed.groupBy("kind", "cluster").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = classed.join(kept, ["kind", "cluster"]).where("place != first")
+    mapped = near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"), "component")
+    classed = rows.join(mapped, ["kind", "content"], "left").withColumn("cluster", F.coalesce("component", "content")).withColumn("place", order)
+    kept = classed.groupBy("kind", "cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
+    found = classed.join(kept, ["kind", "cluster"]).where("place != first").dropDuplicates(["kind", "doc_key", "start"])
     kept_id = F.when(F.col("first.id") < F.lit((1 << 63) - 1), F.col("first.id"))
-    return found.select("doc_id", "doc_key", F.col("start").alias("first_word"), F.col("words").alias("n_words"), kept_id.alias("kept_doc_id"), "cluster")
+    spans = found.select("doc_id", "doc_key", F.col("start").alias("first_word"), F.col("words").alias("n_words"), kept_id.alias("kept_doc_id"), "cluster")
+    out = staged(spans, "repeats")
+    drop(rows, near)
+    return out
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
@@ -273,12 +285,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs``, all columns, with repeated passages cut from the texts; ``count_col``, if
     ``docs`` has it, is set to the length of a text that was cut. A document of which
     nothing is left goes; untouched ones stay as they are."""
-    spans = staged(merged_spans(repeated_spans(docs, id_col, text_col, similarity)), "spans")
+    repeats = repeated_spans(docs, id_col, text_col, similarity)
+    spans = staged(merged_spans(repeats), "spans")
+    drop(repeats)
     release(docs.sparkSession)
-    spans = spans.select(F.col("doc_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    keyed = docs.withColumn("_key", key_of(id_col, text_col))
+    own, cuts = free_name(docs, "_key"), free_name(docs, "_spans")
+    spans = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts)).dropDuplicates([own])
+    keyed = docs.withColumn(own, key_of(id_col, text_col))
     columns = docs.columns
-    rows = keyed.join(spans, "_key", "left").select(*columns, "_spans")
+    rows = keyed.join(spans, own, "left").select(*columns, cuts)
     schema = T.StructType([*docs.schema.fields])
     at = columns.index(text_col)
     counted = columns.index(count_col) if count_col in columns else -1
@@ -300,5 +315,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     rows[counted] = pc.if_else(pa.array(touched), size, rows[counted])
                 rows = [c.filter(pa.array(keep)) for c in rows]
             yield pa.RecordBatch.from_arrays(rows, columns)
+        _words.trim()
 
     return rows.mapInArrow(run, schema)

@@ -193,7 +193,10 @@ def blocks(page: str, w: Weights = WEIGHTS) -> list[Block]:
             continue
         above = stack[-1]
         number += 1
-        stack.append((tag, above[1] + _own_weight(tag, m[3], above[2], w), above[2] or tag in CONTENT, above[3] or tag == "a", number))
+        own = _own_weight(tag, m[3], above[2], w)
+        if own > 0:  # content within content counts once
+            own = max(0.0, min(own, w.content - above[1])) if above[1] >= 0 else own
+        stack.append((tag, above[1] + own, above[2] or tag in CONTENT, above[3] or tag == "a", number))
     flush()
     return out
 

@@ -47,13 +47,14 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.n = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.at = np.zeros(0, np.uint32)
+        self.n = np.zeros(0, np.uint32)
+        self.flat = np.zeros(0, self.kind)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each word."""
@@ -86,14 +87,14 @@ class WordIds:
         if len(new):
             flat, n = self._encode([words[i] for i in new.tolist()])
             at = len(self.flat) + np.cumsum(n) - n
-            self.flat = np.concatenate((self.flat, flat))
+            self.flat = np.concatenate((self.flat, flat.astype(self.kind)))
             order = np.argsort(keys[new], kind="stable")
             spot = np.searchsorted(self.keys, keys[new][order])
             self.keys = np.insert(self.keys, spot, keys[new][order])
-            self.at = np.insert(self.at, spot, at[order])
-            self.n = np.insert(self.n, spot, n[order])
+            self.at = np.insert(self.at, spot, at[order].astype(np.uint32))
+            self.n = np.insert(self.n, spot, n[order].astype(np.uint32))
             where = np.searchsorted(self.keys, keys)
-        return self.at[where], self.n[where]
+        return self.at[where].astype(np.int64), self.n[where].astype(np.int64)
 
 
 _WORD_IDS: dict[str, WordIds] = {}
@@ -201,31 +202,31 @@ def nnls(pattern: np.ndarray, length: np.ndarray, target: np.ndarray, rounds: in
     return x
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(repeats, {length: documents}) groups of sequences that use up ``counts`` exactly;
-    ``counts[l]`` pieces have length l (1 to ``capacity``)."""
-    left = counts.astype(np.int64).copy()
+def _by_patterns(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Groups of nearly full patterns as often as the fit says; takes them from ``left``."""
     groups: list[tuple[int, dict[int, int]]] = []
-    if left[capacity]:
-        groups.append((int(left[capacity]), {capacity: 1}))
-        left[capacity] = 0
-    if left.any():
-        pattern, length = patterns(left, capacity)
-        repeats = np.floor(nnls(pattern, length, left.astype(float)) + 1e-9).astype(np.int64)
-        edges = np.searchsorted(pattern, np.arange(len(repeats) + 1))
-        for p in np.argsort(-repeats, kind="stable").tolist():
-            if not repeats[p]:
-                break
-            need: dict[int, int] = {}
-            for one in length[edges[p] : edges[p + 1]].tolist():
-                need[one] = need.get(one, 0) + 1
-            n = min(int(repeats[p]), *(int(left[k]) // v for k, v in need.items()))
-            full = sum(k * v for k, v in need.items()) >= capacity - 8
-            if n > 0 and full:
-                groups.append((n, need))
-                for k, v in need.items():
-                    left[k] -= n * v
-    # best fit, longest first: open sequences by the room they have left
+    if not left.any():
+        return groups
+    pattern, length = patterns(left, capacity)
+    repeats = np.floor(nnls(pattern, length, left.astype(float)) + 1e-9).astype(np.int64)
+    edges = np.searchsorted(pattern, np.arange(len(repeats) + 1))
+    for p in np.argsort(-repeats, kind="stable").tolist():
+        if not repeats[p]:
+            break
+        need: dict[int, int] = {}
+        for one in length[edges[p] : edges[p + 1]].tolist():
+            need[one] = need.get(one, 0) + 1
+        n = min(int(repeats[p]), *(int(left[k]) // v for k, v in need.items()))
+        if n > 0 and sum(k * v for k, v in need.items()) >= capacity - capacity // 256:
+            groups.append((n, need))
+            for k, v in need.items():
+                left[k] -= n * v
+    return groups
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Groups for what is left: longest first, each into the fullest sequence with room."""
+    # open sequences by the room they have left
     room: list[list[tuple[int, dict[int, int]]]] = [[] for _ in range(capacity + 1)]
     for one in range(capacity, 0, -1):
         n = int(left[one])
@@ -250,7 +251,21 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[i
                 room[space].append((have - used, what))
             room[space - each * one].append((used, {**what, one: each}))
             n -= used * each
-    return groups + [g for spaces in room for g in spaces]
+    return [g for spaces in room for g in spaces]
+
+
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(repeats, {length: documents}) groups of sequences that use up ``counts`` exactly;
+    ``counts[l]`` pieces have length l (1 to ``capacity``). A corpus of so few pieces that
+    rounding the fit costs more than it gains has its residual, then all of it, packed
+    best-fit."""
+    left = counts.astype(np.int64).copy()
+    full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
+    left[capacity] = 0
+    plain = _best_fit(left, capacity)
+    fitted = _by_patterns(left, capacity)
+    fitted += _best_fit(left, capacity)
+    return full + min(fitted, plain, key=lambda groups: sum(n for n, _ in groups))
 
 
 def _slots(groups: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, ...]]:

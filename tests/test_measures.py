@@ -137,3 +137,34 @@ def test_confirmation_needs_two_rounds(spark):
     rows = [(0, 0, 5, 3.0, 1.0, 0.0, False), (0, 0, 6, 3.0, 1.0, 1.0, False), (0, 1, 5, 5.0, 1.0, 0.0, False), (0, 1, 6, 4.0, 1.0, 1.0, False), (0, 1, 7, 9.0, 2.0, 2.0, True)]
     df = spark.createDataFrame(rows, "rec int, round int, speaker int, talk double, longest double, first double, own boolean")
     assert [r.speaker for r in live.confirm(df, ["rec"]).orderBy("order").collect()] == [5, 6, 7]
+
+
+def test_decimation_in_blocks_equals_the_whole():
+    from tonespan.operators import features
+
+    x = np.random.default_rng(5).normal(size=5000)
+    whole = features.Decimator().push(x)
+    cuts = [0, 1, 2, 130, 131, 999, 3100, 5000]
+    one = features.Decimator()
+    assert np.allclose(np.concatenate([one.push(x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]), whole)
+    assert len(whole) == 1667
+
+
+def test_delay_of_a_recording():
+    from tonespan.operators import features
+
+    x = np.random.default_rng(6).normal(size=features.RATE * 2)
+    for lag in (0, 341, 1024, 5000):
+        assert features.delay(x, np.concatenate((np.zeros(lag), x, np.zeros(8000)))) == lag
+    assert features.delay(x[:100], x) == 0
+
+
+def test_log_mel_shape_and_centre():
+    from tonespan.operators import features
+
+    tone = np.sin(np.arange(16_000) * 2 * np.pi * 1000 / 16_000)
+    tone[:8000] *= 0.1
+    found = features.log_mel(tone)
+    assert found.shape == (98, 80) and np.allclose(found.mean(axis=0), 0, atol=1e-4)
+    assert features.mel_weights().shape == (257, 80) and np.all(features.mel_weights()[-1] == 0)
+    assert features.log_mel(tone[:399]).shape == (0, 80)

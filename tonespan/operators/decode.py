@@ -57,3 +57,20 @@ def binarize(values: DataFrame, keys: Keys, frames: int, step: float = FRAME_STE
     found = spans.runs(state, [*keys, "k"], "frame", F.col("_on") == 1)
     last = F.least(F.col("stop"), F.lit(frames - 1))
     return found.select(*keys, "k", stamp(F.col("first"), step, 0.0, duration).alias("start"), stamp(last, step, 0.0, duration).alias("end"))
+
+
+def label_frames(turns: DataFrame, keys: Keys, step: float = FRAME_STEP, duration: float = FRAME_DURATION) -> DataFrame:
+    """(keys, frame, speaker): one label for each model frame that a turn covers; of turns
+    that overlap the later one counts (by start, end, speaker)."""
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("start") - duration / 2) / step))
+    stop = F.ceil((F.col("end") - duration / 2) / step)
+    covered = turns.where(stop > first).withColumn("frame", F.explode(F.sequence(first, stop - 1)))
+    return covered.groupBy(*keys, "frame").agg(F.max_by("speaker", F.struct("start", "end", "speaker")).alias("speaker"))
+
+
+def window_speakers(active: DataFrame, labels: DataFrame, keys: Keys) -> DataFrame:
+    """(keys, chunk, local, speaker, frames): whom each window's local speaker is, by most
+    labelled frames among its active ones; of equals the least speaker."""
+    hits = active.join(labels, [*keys, "frame"]).groupBy(*keys, "chunk", "local", "speaker").agg(F.count(F.lit(1)).alias("frames"))
+    best = hits.groupBy(*keys, "chunk", "local").agg(F.min_by(F.struct("speaker", "frames"), F.struct(-F.col("frames"), "speaker")).alias("_best"))
+    return best.select(*keys, "chunk", "local", "_best.*")

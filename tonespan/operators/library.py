@@ -54,3 +54,18 @@ def names_from_anchors(scores: DataFrame, keys: Keys) -> DataFrame:
 def newest(items: DataFrame, created: str, item: str, limit: int) -> DataFrame:
     """The ``limit`` newest items; without a date last, equal dates by id."""
     return items.orderBy(F.coalesce(F.col(created), F.lit(0.0)).desc(), F.col(item)).limit(limit)
+
+
+def rename(anchors: DataFrame, turns: DataFrame, names: DataFrame, keys: Keys, width: float, share: float = 0.5) -> DataFrame:
+    """(keys, name, start, end): anchors after speakers were given ``names`` (keys, speaker,
+    name). A name's anchor goes when more than ``share`` of it overlaps a renamed speaker's
+    turns; the new name is anchored to those turns. An empty name only removes."""
+    given = names.select(*keys, "speaker", F.substring(F.trim("name"), 1, 60).alias("_new"))
+    mine = turns.select(*keys, "speaker", "start", "end").join(given, [*keys, "speaker"])
+    size = anchors.groupBy(*keys, "name").agg(F.sum(F.col("end") - F.col("start")).alias("_size"))
+    met = spans.overlap_pairs(anchors.select(*keys, "name", "start", "end"), mine, keys, width)
+    covered = met.groupBy(*keys, "name", "speaker").agg(F.sum(F.col("high") - F.col("low")).alias("_met"))
+    gone = covered.join(size, [*keys, "name"]).where(F.col("_met") > share * F.col("_size")).select(*keys, "name").distinct()
+    gone = gone.unionByName(given.select(*keys, F.col("_new").alias("name"))).distinct()
+    left = anchors.select(*keys, "name", "start", "end").join(gone, [*keys, "name"], "left_anti")
+    return left.unionByName(mine.where("_new <> ''").select(*keys, F.col("_new").alias("name"), "start", "end"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonespan.functions import signal
-from tonespan.operators import decode, levels, library, measures, spans, vectors
+from tonespan.operators import decode, features, levels, library, measures, spans, vectors
 from tonespan.plans import inputs
 from tonespan.plans.inputs import LONG, sql
 from tonespan.streaming import live
@@ -265,6 +265,60 @@ def q60_newest_first(spark, sf_dir):
     return library.newest(inputs.events(spark, sf_dir).select("event_id", "t"), "t", "event_id", 50).select("event_id", F.round("t", 6).alias("t"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, [l_linenumber IN (2, 5, 6), l_linenumber IN (3, 5, 7), l_linenumber IN (4, 6, 7)] AS active FROM lineitem""")
+def q61_powerset(spark, sf_dir):
+    rows = inputs.table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", features.powerset(F.col("l_linenumber") - 1).alias("active"))
+
+
+_LABELS = """lt AS (SELECT rec, speaker, t AS s, t + value * 60 AS e FROM ev),
+lf AS (SELECT rec, frame, arg_max(speaker, (s, e, speaker)) AS speaker FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((s - 600.0) / 1200.0) AS BIGINT)), greatest(0, CAST(ceil((e - 600.0) / 1200.0) AS BIGINT)))) AS frame FROM lt) GROUP BY rec, frame)"""
+
+
+def _labelled(spark, sf_dir):
+    turns = inputs.events(spark, sf_dir).select("rec", "speaker", F.col("t").alias("start"), (F.col("t") + F.col("value") * 60).alias("end"))
+    return decode.label_frames(turns, REC, 1200.0, 1200.0)
+
+
+@query(sql(f", {_LABELS} SELECT rec, frame, speaker FROM lf", "ev"))
+def q62_label_frames(spark, sf_dir):
+    return _labelled(spark, sf_dir)
+
+
+@query(sql(f""", {_LABELS}, ac AS (SELECT rec, frame // 72 AS chunk, frame % 3 AS local, frame FROM lf), hi AS (SELECT rec, chunk, local, speaker, count(*) AS n FROM ac JOIN lf USING (rec, frame) GROUP BY ALL)
+SELECT rec, chunk, local, arg_min(speaker, (-n, speaker)) AS speaker, max(n) AS frames FROM hi GROUP BY rec, chunk, local""", "ev"))
+def q63_window_speaker(spark, sf_dir):
+    labels = _labelled(spark, sf_dir)
+    active = labels.select("rec", F.expr("frame div 72").alias("chunk"), (F.col("frame") % 3).alias("local"), "frame")
+    return decode.window_speakers(active, labels, REC)
+
+
+@query(sql(""", an AS (SELECT rec, 'name ' || event_id % 3 AS name, s, e FROM turns WHERE event_id % 7 = 0), mi AS (SELECT * FROM turns WHERE speaker = 'click'),
+cv AS (SELECT an.rec, an.name, sum(least(an.e, mi.e) - greatest(an.s, mi.s)) AS m FROM an JOIN mi ON an.rec = mi.rec AND an.s < mi.e AND mi.s < an.e GROUP BY ALL),
+sz AS (SELECT rec, name, sum(e - s) AS z FROM an GROUP BY ALL), go AS (SELECT rec, name FROM cv JOIN sz USING (rec, name) WHERE m > 0.5 * z)
+SELECT rec, name, round(s, 6) AS start, round(e, 6) AS "end" FROM an WHERE (rec, name) NOT IN (SELECT rec, name FROM go) UNION ALL SELECT rec, 'Anna', round(s, 6), round(e, 6) FROM mi""", "turns"))
+def q64_rename_anchors(spark, sf_dir):
+    turns = inputs.turns(spark, sf_dir)
+    anchors = turns.where("event_id % 7 = 0").select("rec", F.concat(F.lit("name "), (F.col("event_id") % 3).cast("string")).alias("name"), "start", "end")
+    names = turns.select("rec").distinct().select("rec", F.lit("click").alias("speaker"), F.lit(" Anna ").alias("name"))
+    found = library.rename(anchors, turns.select("rec", "speaker", "start", "end"), names, REC, 20_000.0)
+    return found.select("rec", "name", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
+@query()
+def q65_log_mel(spark, sf_dir):
+    """Energy of the features of synthetic tones, one for each document."""
+    tone = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: (F.sin(i * (F.col("doc_id") % 40 + 5) / 40) / 2).cast("float"))
+    blocks = inputs.table(spark, sf_dir, "documents").select("doc_id", tone.alias("pcm"))
+    mels = features.log_mel_rows(blocks, ["doc_id"])
+    return mels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum(F.aggregate("mels", F.lit(0.0), lambda a, x: a + x * x)), 2).alias("energy"))
+
+
+@query("""SELECT user_id AS rec, count(*) AS blocks, max(abs(value - 20)) AS peak, count(*) FILTER (WHERE abs(value - 20) > 0) AS sound, count(*) FILTER (WHERE abs(value - 20) = 0) AS zeros FROM events GROUP BY user_id""")
+def q66_input_stats(spark, sf_dir):
+    return live.input_stats(inputs.events(spark, sf_dir).select("rec", (F.col("value") - 20).alias("v")), REC, "v")
+
+
 @query(sql(""", bl AS (SELECT rec, t AS a, value * 100 AS n FROM ev), pl AS (SELECT *, max(a + n) OVER (PARTITION BY rec ORDER BY a, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS re FROM bl),
 p2 AS (SELECT *, coalesce(CASE WHEN a - re <= 60 THEN greatest(re, a - 60) ELSE a END, a) AS s FROM pl)
 SELECT rec, round(a, 6) AS "at", round(s, 6) AS start, round(greatest(s, a + n), 6) AS "end", round(greatest(0.0, least(n, coalesce(re - a, 0.0))), 6) AS trimmed, coalesce(a + n <= re, false) AS late FROM p2""", "ev"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -32,16 +33,38 @@ def as_text(column) -> pa.Array:
     return pa.concat_arrays([texts, texts.slice(0, 0)])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give free memory back, so that a worker that is kept for later tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def text_of(column: str | tuple[str, str]) -> Callable[[pa.RecordBatch], pa.Array]:
+    """Reader of a column of a batch, or of a field of a struct column."""
+
+    def read(batch: pa.RecordBatch) -> pa.Array:
+        name, field = (column, None) if isinstance(column, str) else column
+        found = batch.column(batch.schema.get_field_index(name))
+        return found if field is None else found.field(found.type.get_field_index(field))
+
+    return read
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | tuple[str, str] = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one piece holds about ``limit`` bytes of text."""
+    read = text_of(column)
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0)
+        size = pc.fill_null(pc.binary_length(read(batch)), 0)
         group = (np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64)) - 1).clip(0) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    trim()
 
 
 def split(texts: pa.Array, lower: bool = False) -> Words:

@@ -16,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tonespan.llm import _words
 
@@ -184,34 +183,28 @@ def _document_hits(hashes: np.ndarray, items: Items, similarity: float, marks: d
     return [(k, *found) for k, found in sorted(best.items())]
 
 
-def _hits(docs: DataFrame, keep: list, text_col: str, items: Items, similarity: float) -> DataFrame:
-    """Columns ``keep`` and ``hits``, an array of (item, similarity, first, words)."""
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    hit = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("hits", T.ArrayType(hit))])
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
+_HIT = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _words.slices(batches, "_text"):
-            flat, starts = _words.split(_words.as_text(piece.column(piece.num_columns - 1)), lower=True)
-            codes, words = _words.coded(flat)
-            hashes = _words.word_hashes(words)[codes] if words else np.zeros(0, np.uint64)
-            out: list[list[dict]] = [[] for _ in range(piece.num_rows)]
-            marked: dict[int, dict[int, np.ndarray]] = {}
-            for size in items.groups:
-                places = _words.gram_places(starts, size, len(hashes))
-                if not len(places):
-                    continue
-                found = places[items.known(_words.gram_hashes(hashes, size)[places], size)]
-                owner = np.searchsorted(starts, found, "right") - 1
-                for d in np.unique(owner).tolist():
-                    marked.setdefault(d, {})[size] = found[owner == d] - starts[d]
-            for d, marks in marked.items():
-                for k, s, first, n in _document_hits(hashes[starts[d] : starts[d + 1]], items, similarity, marks):
-                    out[d].append({"item_id": items.ids[k], "similarity": s, "first_word": first, "n_words": n})
-            yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(out, kind)], schema.names)
-
-    return rows.mapInArrow(run, schema)
+
+def _hits(texts: pa.Array, items: Items, similarity: float) -> list[list[dict]]:
+    """Matches of every text."""
+    flat, starts = _words.split(texts, lower=True)
+    codes, words = _words.coded(flat)
+    hashes = _words.word_hashes(words)[codes] if words else np.zeros(0, np.uint64)
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    marked: dict[int, dict[int, np.ndarray]] = {}
+    for size in items.groups:
+        places = _words.gram_places(starts, size, len(hashes))
+        if not len(places):
+            continue
+        found = places[items.known(_words.gram_hashes(hashes, size)[places], size)]
+        owner = np.searchsorted(starts, found, "right") - 1
+        for d in np.unique(owner).tolist():
+            marked.setdefault(d, {})[size] = found[owner == d] - starts[d]
+    for d, marks in marked.items():
+        for k, s, first, n in _document_hits(hashes[starts[d] : starts[d + 1]], items, similarity, marks):
+            out[d].append({"item_id": items.ids[k], "similarity": s, "first_word": first, "n_words": n})
+    return out
 
 
 def _turns(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
@@ -228,6 +221,30 @@ def _turns(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Items
         yield Items(held)
 
 
+_LEAKS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
+
+
+def _listed(items: Items, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _words.slices(batches):
+            found = _hits(_words.as_text(piece.column(1)), items, similarity)
+            doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            flat = pa.array([h for x in found for h in x], _HIT)
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(doc)), *flat.flatten()], ["doc_id", *[f.name for f in _HIT]])
+
+    return run
+
+
+def _without(items: Items, similarity: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _words.text_of(("_row", text_col))
+        for piece in _words.slices(batches, ("_row", text_col)):
+            keep = [not x for x in _hits(_words.as_text(read(piece)), items, similarity)]
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(keep))], ["_row"])
+
+    return run
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, n_words): for each document and item the
     best window of the item's length whose weighted similarity reaches ``similarity``.
@@ -239,17 +256,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     found = None
     for items in _turns(benchmark, item_id, item_text):
-        hits = _hits(docs, [F.col(id_col).cast("long").alias("doc_id")], text_col, items, similarity)
-        rows = hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_listed(items, similarity), _LEAKS)
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, n_words long")
+        return docs.sparkSession.createDataFrame([], _LEAKS)
     return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, all columns, in which no window matches an item. No shuffle."""
     for items in _turns(benchmark, item_id, item_text):
-        marked = _hits(docs, [F.struct("*").alias("_row")], text_col, items, similarity)
-        docs = marked.where(F.size("hits") == 0).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+        rows = docs.select(F.struct("*").alias("_row"))
+        kept = rows.mapInArrow(_without(items, similarity, text_col), rows.schema)
+        docs = kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
     return docs

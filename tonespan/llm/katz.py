@@ -284,6 +284,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
         for batch in batches:
             for k in range(batch.num_rows):
                 yield from evaluate(batch, k)
+                _words.trim()
 
     def evaluate(batch: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
         block = batch.column(0)[k].as_py()

@@ -1,7 +1,7 @@
 """Weak supervision of document quality.
 
 Rules vote good, bad or abstain. Expectation-maximisation over the histogram of vote
-patterns (at most 3^rules rows, whatever the size of the corpus) estimates how each rule
+patterns (at most 2^rules rows, whatever the size of the corpus) estimates how each rule
 votes on good and on bad documents; the posterior probability of "good" replaces a filter
 that every rule must pass.
 """
@@ -160,7 +160,7 @@ def _measured(docs: DataFrame, keep: list, text_col: str) -> DataFrame:
     kept = T.StructType(rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in _words.slices(batches, "_text", 2 << 20):
+        for piece in _words.slices(batches, "_text", 1 << 20):
             found, votes = measures(_words.as_text(piece.column(piece.num_columns - 1)))
             columns = [*piece.columns[:-1], *(pa.array(found[c], pa.int64()) for c in COUNTS), pa.array(pattern_codes(votes), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept.names, *_MEASURED.names])
@@ -168,16 +168,17 @@ def _measured(docs: DataFrame, keep: list, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*kept.fields, *_MEASURED.fields]))
 
 
-def _posteriors(patterns: DataFrame) -> DataFrame:
-    """(pattern, quality): fitted on the driver from at most 3^rules counted patterns."""
+def _posteriors(patterns: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns in order, quality), fitted on the driver from counted patterns: a rule
+    speaks up or not, so there are at most 2^rules."""
     counted = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
     codes = np.array([r[0] for r in counted], np.int64)
     p = fit(pattern_votes(codes), np.array([r[1] for r in counted], float)) if counted else np.zeros(0)
-    rows = [(int(c), float(x)) for c, x in zip(codes, p, strict=True)]
-    return patterns.sparkSession.createDataFrame(rows, "pattern long, quality double")
+    return codes, p
 
 
 def base_failed():
+    """The rule that no posterior overrules: too short, or too much of it repeated."""
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
@@ -189,15 +190,25 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` other than the two named are not read.
     """
     rows = staged(_measured(docs, [F.col(id_col).alias("id")], text_col), "measures")
-    quality = F.broadcast(_posteriors(rows.select("pattern")))
+    made = [(int(c), float(x)) for c, x in zip(*_posteriors(rows.select("pattern")), strict=True)]
+    quality = F.broadcast(docs.sparkSession.createDataFrame(made, "pattern long, quality double"))
     return rows.join(quality, "pattern").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
 
 
 def keep_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are kept. The vote patterns are counted in a
     first pass; the second measures again beside the rows, so texts are never shuffled."""
-    counted = _measured(docs, [], text_col).select("pattern")
-    quality = F.broadcast(_posteriors(counted))
-    rows = _measured(docs, [F.struct("*").alias("_row")], text_col)
-    kept = rows.join(quality, "pattern").where(~base_failed() & (F.col("quality") >= KEEP_FROM))
+    codes, posterior = _posteriors(_measured(docs, [], text_col).select("pattern"))
+    rows = docs.select(F.struct("*").alias("_row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _words.text_of(("_row", text_col))
+        for piece in _words.slices(batches, ("_row", text_col), 1 << 20):
+            found, votes = measures(_words.as_text(read(piece)))
+            n = found["n_words"]
+            good = posterior[np.searchsorted(codes, pattern_codes(votes))] >= KEEP_FROM
+            keep = good & (n >= 10) & (100 * found["n_repeat_words"] <= 20 * n)
+            yield pa.RecordBatch.from_arrays([piece.column(0).filter(pa.array(keep))], ["_row"])
+
+    kept = rows.mapInArrow(run, rows.schema)
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -91,6 +91,20 @@ def anchors(grams: np.ndarray, starts: np.ndarray, words: int = MIN_WORDS, passa
     return np.sort((1 << bits) - 1 - low.astype(np.int64))
 
 
+def _runs_as_two(doc: np.ndarray, at: np.ndarray, content: np.ndarray, starts: np.ndarray) -> Units:
+    """Windows as units. Where equal windows of a text overlap (a word or phrase over and
+    over), the first is one unit and all others together are a second, with its content."""
+    same = np.zeros(len(at), bool)
+    same[1:] = (doc[1:] == doc[:-1]) & (content[1:] == content[:-1]) & (np.diff(at) <= MIN_WORDS)
+    first = np.flatnonzero(~same)
+    last = np.append(first[1:], len(at)) - 1
+    rest = np.flatnonzero(last > first)
+    second = first[rest] + 1
+    rows = np.concatenate((first, second))
+    size = np.concatenate((np.full(len(first), MIN_WORDS), at[last[rest]] + MIN_WORDS - at[second])) if len(at) else np.zeros(0, np.int64)
+    return Units(doc[rows], at[rows] - starts[doc[rows]], size, content[rows])
+
+
 def units_of(texts: pa.Array) -> tuple[Units, Units]:
     """Windows and paragraphs of some texts."""
     split = pc.split_pattern(pc.ascii_lower(texts), "\n")
@@ -109,8 +123,7 @@ def units_of(texts: pa.Array) -> tuple[Units, Units]:
     content = hashes[at]
     for k in range(1, MIN_WORDS):
         content = _words.pair_hash(content, hashes[at + k])
-    doc = np.searchsorted(starts, at, "right") - 1
-    windows = Units(doc, at - starts[doc], np.full(len(at), MIN_WORDS), content)
+    windows = _runs_as_two(np.searchsorted(starts, at, "right") - 1, at, content, starts)
 
     size = np.diff(line_starts)
     which = np.flatnonzero(size >= MIN_WORDS)
@@ -227,19 +240,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = _paragraph_classes(units.where("kind = 'paragraph'"), similarity)
     # of most units there is one: only the others move with their places
     several = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "content")
-    wanted = several.unionByName(near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"))).distinct()
+    wanted = staged(several.unionByName(near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"))).distinct(), "repeated-contents")
     rows = staged(units.select("kind", "doc_id", "doc_key", "start", "words", "content").join(wanted, ["kind", "content"], "left_semi"), "repeated-units")
-    drop(units)
+    drop(units, wanted)
     release(docs.sparkSession)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "doc_key", "start")
     mapped = near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"), "component")
     classed = rows.join(mapped, ["kind", "content"], "left").withColumn("cluster", F.coalesce("component", "content")).withColumn("place", order)
-    kept = classed.groupBy("kind", "cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last")
+    kept = staged(classed.groupBy("kind", "cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last"), "kept-places")
     found = classed.join(kept, ["kind", "cluster"]).where("place != first").dropDuplicates(["kind", "doc_key", "start"])
     kept_id = F.when(F.col("first.id") < F.lit((1 << 63) - 1), F.col("first.id"))
     spans = found.select("doc_id", "doc_key", F.col("start").alias("first_word"), F.col("words").alias("n_words"), kept_id.alias("kept_doc_id"), "cluster")
     out = staged(spans, "repeats")
-    drop(rows, near)
+    drop(rows, near, kept)
     return out
 
 

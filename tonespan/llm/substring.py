@@ -218,12 +218,14 @@ def _paragraph_classes(paragraphs: DataFrame, similarity: float) -> DataFrame:
     release(paragraphs.sparkSession)
     # a band that two different contents share
     shared = index.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("key")
+    shared = staged(shared, "shared-bands")
     candidates = staged(index.join(shared, "key").distinct(), "bands")
     release(paragraphs.sparkSession)
     wanted = candidates.select(F.col("node").alias("content")).distinct()
-    shingles = paragraphs.join(wanted, "content", "left_semi").select(F.col("content").alias("node"), "shingles").dropDuplicates(["node"])
+    # merged at every size: which contents are wanted grows with the corpus
+    shingles = paragraphs.join(wanted.hint("merge"), "content", "left_semi").select(F.col("content").alias("node"), "shingles").dropDuplicates(["node"])
     found = connected_components(bucket_edges(candidates.join(shingles, "node"), jaccard_link(similarity), block=128))
-    drop(candidates)
+    drop(candidates, shared)
     release(paragraphs.sparkSession)
     return found
 
@@ -241,7 +243,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # of most units there is one: only the others move with their places
     several = units.groupBy("kind", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "content")
     wanted = staged(several.unionByName(near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"))).distinct(), "repeated-contents")
-    rows = staged(units.select("kind", "doc_id", "doc_key", "start", "words", "content").join(wanted, ["kind", "content"], "left_semi"), "repeated-units")
+    rows = staged(units.select("kind", "doc_id", "doc_key", "start", "words", "content").join(wanted.hint("merge"), ["kind", "content"], "left_semi"), "repeated-units")
     drop(units, wanted)
     release(docs.sparkSession)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "doc_key", "start")
@@ -306,7 +308,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = spans.select(F.col("doc_key").alias(own), F.col("spans").alias(cuts)).dropDuplicates([own])
     keyed = docs.withColumn(own, key_of(id_col, text_col))
     columns = docs.columns
-    rows = keyed.join(spans, own, "left").select(*columns, cuts)
+    # merged at every size: the spans grow with the corpus
+    rows = keyed.join(spans.hint("merge"), own, "left").select(*columns, cuts)
     schema = T.StructType([*docs.schema.fields])
     at = columns.index(text_col)
     counted = columns.index(count_col) if count_col in columns else -1

@@ -25,9 +25,9 @@ CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
-REMEMBER = 1_500_000
+REMEMBER = 1_200_000
 #: Pieces of one length that are ranked together.
-RANKED = 4000
+RANKED = 1000
 
 _SEPARATOR = "<|endoftext|>"
 
@@ -129,7 +129,7 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = worker_ids(path)
-        for rows in _words.slices(batches, "text", 3 << 20):
+        for rows in _words.slices(batches, "text", 2 << 20):
             stream, begin = token_stream(_words.as_text(rows.column(1)), ids)
             size = np.diff(begin)
             count = -(-size // capacity)

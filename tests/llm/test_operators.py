@@ -458,3 +458,43 @@ def test_ids_of_text_with_special_strings():
     stream, begin = packing.token_stream(_words.as_text(pa.array(values)), ids)
     for k, t in enumerate(values):
         assert stream[begin[k] : begin[k + 1]].tolist() == [*ids.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+
+
+# pipeline: near copies
+
+
+def test_near_dedup_stage_links_by_similarity(spark):
+    """Of every near copy at a similarity of 0.8 or more one document stays; others stay."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows, copies = [], set()
+    for k in range(60):
+        w = [f"u{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((10 * k, " ".join(w)))
+        for c, changes in enumerate((1, 2, 4, 12), 1):
+            other = w[:]
+            for j in rng.sample(range(0, 200), changes):
+                other[j] = "changed"
+            a, b = ({tuple(x[i : i + 5]) for i in range(196)} for x in (w, other))
+            if len(a & b) >= 0.8 * len(a | b):
+                copies.add(10 * k + c)
+            rows.append((10 * k + c, " ".join(other)))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(copies) > 150
+    assert kept.isdisjoint({i for i, _ in rows if i % 10 == 1})
+    assert len(kept & copies) <= 0.02 * len(copies)
+    assert {i for i, _ in rows if i % 10 in (0, 4)} <= kept
+
+
+def test_near_dedup_stage_matches_brute_force(spark, documents, texts):
+    import corpus_pipeline
+
+    ids = sorted(texts)
+    sets = []
+    for i in ids:
+        w = split(texts[i])
+        sets.append({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set())
+    links = [(a, b) for a in range(len(ids)) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {min(ids[b] for b in range(len(ids)) if r[b] == r[a]) for r in [roots(len(ids), links)] for a in range(len(ids))}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents, "").collect()} == want

@@ -98,7 +98,11 @@ def hamming_link(radius: int):
 
 def _groups(distinct: DataFrame, radius: int) -> DataFrame:
     """``distinct``, one row for each ``fp``, and its ``group``."""
-    near = connected_components(bucket_edges(variants(distinct.select("fp"), radius), hamming_link(radius)))
+    return grouped_by(distinct, connected_components(bucket_edges(variants(distinct.select("fp"), radius), hamming_link(radius))))
+
+
+def grouped_by(distinct: DataFrame, near: DataFrame) -> DataFrame:
+    """``distinct`` and its ``group`` by the components ``near``; the others are their own."""
     return distinct.join(near, distinct["fp"] == near["node"], "left").drop("node").withColumn("group", F.coalesce("component", "fp")).drop("component")
 
 
@@ -124,13 +128,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """The rows of ``docs``, all columns, that near-duplicate groups keep: of each group the
     row with the smallest id (null last). Rows that agree in id and text are one document
     and one of them stays. Texts move once, to leave out the others."""
+    prints = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "key")
+    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    return without_copies(docs, id_col, text_col, prints, _groups(distinct, radius))
+
+
+def without_copies(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the groups keep. ``prints``: staged (key, fp) of every row,
+    not needed after; ``grouped``: (fp, first, group), ``first`` the least (id, key)."""
     own = free_name(docs, "_key")
     keyed = docs.withColumn(own, key_of(id_col, text_col))
-    prints = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     rows = prints.withColumnRenamed("key", own)
-    first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), F.col(own).alias("key"))
-    distinct = rows.groupBy("fp").agg(F.min(first).alias("first"))
-    grouped = _groups(distinct, radius)
     kept = grouped.groupBy("group").agg(F.min("first").alias("kept"))
     decided = rows.join(grouped.join(kept, "group").select("fp", "kept"), "fp")
     gone = staged(decided.where(F.col(own) != F.col("kept.key")).select(own).distinct(), "removed")

@@ -38,7 +38,7 @@ BANDS, ROWS = 10, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def _hash_parameters() -> tuple[np.ndarray, np.ndarray]:
+def hash_parameters() -> tuple[np.ndarray, np.ndarray]:
     k = np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)
     made = _words.mix(k * np.uint64(0x9E3779B97F4A7C15))
     return made[::2] | np.uint64(1), made[1::2]
@@ -138,7 +138,7 @@ def units_of(texts: pa.Array) -> tuple[Units, Units]:
     count = size - SHINGLE + 1
     first = np.cumsum(count) - count
     own = grams[np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(first, count)]
-    factor, add = _hash_parameters()
+    factor, add = hash_parameters()
     bands = np.zeros((len(which), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(which), b, np.uint64)

@@ -498,3 +498,25 @@ def test_near_dedup_stage_matches_brute_force(spark, documents, texts):
     links = [(a, b) for a in range(len(ids)) for b in range(a) if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     want = {min(ids[b] for b in range(len(ids)) if r[b] == r[a]) for r in [roots(len(ids), links)] for a in range(len(ids))}
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents, "").collect()} == want
+
+
+def test_whole_passages_are_cut_from_longer_paragraphs(spark):
+    """Every word of an exact passage of PASSAGE words or more is reported, and no other."""
+    rng = random.Random(21)
+
+    def some(n):
+        return [f"p{rng.randrange(10**7)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for k, size in enumerate([50, 51, 60, 75, 100, 200, 700] * 6):
+        passage = some(size)
+        rows.append((2 * k, " ".join(some(size // 4 + rng.randrange(80)) + passage + some(size // 4 + rng.randrange(80)))))
+        before = some(size // 4 + rng.randrange(80))
+        rows.append((2 * k + 1, " ".join(before + passage + some(size // 4 + rng.randrange(80)))))
+        want[2 * k + 1] = [(len(before), size, 2 * k)]
+    a, b, both = some(20), some(40), some(60)
+    rows.append((1000, " ".join(a + both + b + both + some(30))))
+    want[1000] = [(120, 60, 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.first_word, s.n_words, s.kept_doc_id) for s in r.spans] for r in substring.merged_spans(substring.repeated_spans(df)).collect()}
+    assert got == want

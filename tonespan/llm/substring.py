@@ -6,7 +6,9 @@ similarity, and links form components. A passage that repeats inside longer para
 no paragraph, so banding alone cannot see it: besides, windows of MIN_WORDS words at
 winnowed anchors are linked when equal. Anchors depend on the words near them alone, and
 every run of PASSAGE words holds a whole window. In every class, one occurrence stays (the
-smallest document, then the first place); the others are cut.
+smallest document, then the first place); the others are cut. A window grows to both sides
+as far as the words equal those around the occurrence that stays, REACH words at most: if
+more are equal, the next window of the run begins within them.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 20
 #: Repeated runs of this many words are certain to be found.
 PASSAGE = 50
+#: Words to each side of a window that are compared; a run as long begins another window.
+REACH = PASSAGE - MIN_WORDS
 #: Bands and rows a band: similarity 0.8 shares a band with probability 0.995.
 BANDS, ROWS = 10, 4
 
@@ -230,9 +234,82 @@ def _paragraph_classes(paragraphs: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def contexts_of(texts: pa.Array, doc: np.ndarray, start: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, n_left, right, n_right) of spans of texts: 32-bit hashes of the REACH words
+    before each, nearest first, and after it, and how many of them there are."""
+    flat, starts = _words.split(texts, lower=True)
+    codes, vocabulary = _words.coded(flat)
+    hashes = (_words.word_hashes(vocabulary)[codes] >> np.uint64(32)).astype(np.uint32) if vocabulary else np.zeros(0, np.uint32)
+    padded = np.concatenate((np.zeros(REACH, np.uint32), hashes, np.zeros(REACH, np.uint32)))
+    begin = starts[doc] + start
+    end = begin + words
+    step = np.arange(REACH)
+    left = padded[(begin + REACH - 1)[:, None] - step]
+    right = padded[(end + REACH)[:, None] + step]
+    return left, np.minimum(start, REACH), right, np.minimum(starts[doc + 1] - end, REACH)
+
+
+_WINDOWS = "doc_id long, doc_key long, content long, start int, words int, left binary, n_left int, right binary, n_right int"
+
+
+def _with_contexts(docs: DataFrame, windows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The windows (doc_key, content, start, words) and the words around them."""
+    places = windows.distinct().groupBy("doc_key").agg(F.collect_list(F.struct("content", "start", "words")).alias("places"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key_of(id_col, text_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    names = [f.split()[0] for f in _WINDOWS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _words.slices(batches, "text"):
+            lists = piece.column(3)
+            found = lists.flatten()
+            doc = np.repeat(np.arange(piece.num_rows), pc.list_value_length(lists).to_numpy().astype(np.int64))
+            content, start, words = found.field(0), *(found.field(k).to_numpy().astype(np.int64) for k in (1, 2))
+            left, n_left, right, n_right = contexts_of(_words.as_text(piece.column(2)), doc, start, words)
+            take = pa.array(doc)
+            columns = [piece.column(0).take(take), piece.column(1).take(take), content, start, words, list(map(bytes, left)), n_left, list(map(bytes, right)), n_right]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    # merged at every size: the places grow with the corpus
+    return rows.join(places.hint("merge"), "doc_key").select("doc_id", "doc_key", "text", "places").mapInArrow(run, _WINDOWS).dropDuplicates(["doc_key", "start"])
+
+
+def _equal_words(mine: pa.Array, n_mine: pa.Array, kept: pa.Array, n_kept: pa.Array) -> np.ndarray:
+    """How many leading hashes agree."""
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, REACH) for x in (mine, kept))
+    same = np.logical_and.accumulate(a == b, axis=1).sum(axis=1)
+    return np.minimum(same, np.minimum(n_mine.to_numpy(), n_kept.to_numpy()))
+
+
+def _grown(windows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Spans of the windows (with contexts) that are not the one their class keeps, grown
+    as far as their words equal those around that one."""
+    # one row for each class: the context of the occurrence that stays
+    classes = kept.where("kind = 'window'").select(F.col("cluster").alias("content"), F.col("first.doc_key").alias("doc_key"), F.col("first.start").alias("start"))
+    around = windows.join(classes, ["content", "doc_key", "start"]).select("content", F.col("doc_id").alias("kept_doc_id"), F.col("doc_key").alias("kept_key"), F.col("start").alias("kept_start"), F.col("words").alias("kept_words"), F.col("left").alias("kept_left"), F.col("n_left").alias("kept_n_left"), F.col("right").alias("kept_right"), F.col("n_right").alias("kept_n_right"))
+    pairs = windows.join(around, "content").where((F.col("doc_key") != F.col("kept_key")) | (F.col("start") != F.col("kept_start")))
+    names = ["doc_id", "doc_key", "first_word", "n_words", "kept_doc_id", "cluster"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            row = dict(zip(batch.schema.names, batch.columns, strict=True))
+            start, words, kept_start, kept_words = (row[c].to_numpy().astype(np.int64) for c in ("start", "words", "kept_start", "kept_words"))
+            before = _equal_words(row["left"], row["n_left"], row["kept_left"], row["kept_n_left"])
+            after = _equal_words(row["right"], row["n_right"], row["kept_right"], row["kept_n_right"])
+            # in one document the occurrence that stays is not cut into
+            own = row["doc_key"].to_numpy() == row["kept_key"].to_numpy()
+            before = np.where(own, np.minimum(before, np.maximum(start - kept_start - kept_words, 0)), before)
+            yield pa.RecordBatch.from_arrays([row["doc_id"], row["doc_key"], pa.array(start - before, pa.int32()), pa.array(words + before + after, pa.int32()), row["kept_doc_id"], row["content"]], names)
+
+    return pairs.mapInArrow(run, "doc_id long, doc_key long, first_word int, n_words int, kept_doc_id long, cluster long")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, doc_key, first_word, n_words, kept_doc_id, cluster): every occurrence that
-    is not the one its class keeps; ``kept_doc_id`` holds that one.
+    is not the one its class keeps; ``kept_doc_id`` holds that one. Windows are grown to the
+    whole run of words that equal those around the one that stays.
 
     Words are compared lower-cased (A-Z); white space does not count. Null, empty and short
     texts have no units. Rows that agree in id and text are one document; a null id counts
@@ -250,11 +327,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mapped = near.select(F.lit("paragraph").alias("kind"), F.col("node").alias("content"), "component")
     classed = rows.join(mapped, ["kind", "content"], "left").withColumn("cluster", F.coalesce("component", "content")).withColumn("place", order)
     kept = staged(classed.groupBy("kind", "cluster").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first != last"), "kept-places")
-    found = classed.join(kept, ["kind", "cluster"]).where("place != first").dropDuplicates(["kind", "doc_key", "start"])
+    found = classed.where("kind = 'paragraph'").join(kept, ["kind", "cluster"]).where("place != first").dropDuplicates(["kind", "doc_key", "start"])
     kept_id = F.when(F.col("first.id") < F.lit((1 << 63) - 1), F.col("first.id"))
     spans = found.select("doc_id", "doc_key", F.col("start").alias("first_word"), F.col("words").alias("n_words"), kept_id.alias("kept_doc_id"), "cluster")
+    several_places = kept.where("kind = 'window'").select(F.col("cluster").alias("content"))
+    chosen = rows.where("kind = 'window'").join(several_places.hint("merge"), "content", "left_semi").select("doc_key", "content", "start", "words")
+    windows = staged(_with_contexts(docs, chosen, id_col, text_col), "windows")
+    release(docs.sparkSession)
+    spans = spans.unionByName(_grown(windows, kept))
     out = staged(spans, "repeats")
-    drop(rows, near, kept)
+    drop(rows, near, kept, windows)
     return out
 
 

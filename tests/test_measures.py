@@ -168,3 +168,27 @@ def test_log_mel_shape_and_centre():
     assert found.shape == (98, 80) and np.allclose(found.mean(axis=0), 0, atol=1e-4)
     assert features.mel_weights().shape == (257, 80) and np.all(features.mel_weights()[-1] == 0)
     assert features.log_mel(tone[:399]).shape == (0, 80)
+
+
+def test_stable_ids_of_every_recording(spark, tmp_path):
+    from tonespan.plans import voice_queries
+
+    rng = np.random.default_rng(5)
+    rows = [(k, int(rng.integers(30, 60)), f"s{rng.integers(3)}", int(rng.integers(0, 4000)), float(rng.integers(1, 6))) for k in range(400)]
+    made = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, at int, value double")
+    made.select("event_id", "user_id", "event_type", F.expr("timestampadd(SECOND, at, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("ts"), "value").write.parquet(f"{tmp_path}/events.parquet")
+    shared = {}
+    for _, rec, old, a, v in rows:
+        for event, other, _, b, w in rows:
+            if other == rec and (both := min(a + v * 600, b + w * 600) - max(a, b)) > 0:
+                table = shared.setdefault(rec, {})
+                table[event % 4, old] = table.get((event % 4, old), 0.0) + both
+    got = {}
+    for r in voice_queries.q46_stable_ids(spark, str(tmp_path)).collect():
+        got.setdefault(r.rec, []).append((r.new, r.old))
+    assert got.keys() == shared.keys() and max(got) > 40
+    for rec, table in shared.items():
+        olds = [f"s{k}" for k in range(3)] + [None]
+        best = max(sum(table.get((n, o), 0.0) for n, o in enumerate(p)) for p in itertools.permutations(olds))
+        assert len({n for n, _ in got[rec]}) == len({o for _, o in got[rec]}) == len(got[rec])
+        assert sum(table[p] for p in got[rec]) == pytest.approx(best)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -13,14 +14,20 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the context's checkpoint folder.
 
-    It comes from ``spark.checkpoint.dir``; only a session without that setting (a
-    single-machine test) gets a temporary folder of its own.
+    It comes from ``spark.checkpoint.dir``. Without that setting a session of one process
+    (a test) gets a temporary folder of its own; on a cluster that is an error, as other
+    executors would not see what one has written.
     """
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 

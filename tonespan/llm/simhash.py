@@ -23,6 +23,8 @@ from tonespan.llm._tables import drop, free_name, release, staged
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Fingerprints whose variants one task makes.
+SPREAD = 20_000
 
 
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
@@ -96,9 +98,12 @@ def hamming_link(radius: int):
     return link
 
 
-def _groups(distinct: DataFrame, radius: int) -> DataFrame:
-    """``distinct``, one row for each ``fp``, and its ``group``."""
-    return grouped_by(distinct, connected_components(bucket_edges(variants(distinct.select("fp"), radius), hamming_link(radius))))
+def _groups(distinct: DataFrame, radius: int, rows: int) -> DataFrame:
+    """``distinct``, one row for each ``fp``, and its ``group``. The index has 64 times the
+    rows, so the fingerprints are spread over as many tasks as the index needs."""
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // SPREAD)
+    index = variants(distinct.select("fp").repartition(tasks, "fp"), radius)
+    return grouped_by(distinct, connected_components(bucket_edges(index, hamming_link(radius))))
 
 
 def grouped_by(distinct: DataFrame, near: DataFrame) -> DataFrame:
@@ -118,7 +123,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    grouped = _groups(distinct, radius)
+    grouped = _groups(distinct, radius, rows.count())
     lowest = grouped.groupBy("group").agg(F.min("least").alias("component"))
     named = grouped.join(lowest, "group").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
@@ -131,7 +136,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     prints = staged(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     first = F.struct(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "key")
     distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
-    return without_copies(docs, id_col, text_col, prints, _groups(distinct, radius))
+    return without_copies(docs, id_col, text_col, prints, _groups(distinct, radius, prints.count()))
 
 
 def without_copies(docs: DataFrame, id_col: str, text_col: str, prints: DataFrame, grouped: DataFrame) -> DataFrame:

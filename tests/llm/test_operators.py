@@ -270,20 +270,64 @@ def test_variants_meet_every_pair_within_the_radius(spark, radius):
 
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    model = language.train(docs.where(fold != 2))
-    got = language.predict(docs.where(fold == 2), model, ["lang"]).collect()
-    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98 and all(0 <= r.score <= 1 for r in got)
-    assert len(model.words) <= 1 / language.MIN_SHARE
-
-
-def test_unknown_words_are_read_in_shorter_and_shorter_grams():
-    edge = language.EDGE
-    grams = {f"{edge}abc": 0, "de": 1, "f": 2, edge: 3}
-    model = language.Model(["x"], {"known": 0}, grams, np.zeros((1, 1)), np.zeros((4, 1)))
-    assert model.entries("known") == [0]
-    assert [r - 1 for r in model.entries("abcdef")] == [0, 1, 2, 3]
-    assert [r - 1 for r in model.entries("abc?")] == [0, 3]
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found, _ = language.identify(docs, ~held)
+    got = found.join(docs.where(held).select(F.col("doc_id").alias("id"), "lang"), "id").collect()
+    assert len(got) > 200 and np.mean([r.lang == r.lang_pred for r in got]) > 0.98 and all(0 <= r.score <= 1 for r in got)
+
+
+def letter_words(text):
+    import unicodedata
+
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text).lower()
+    return [w for w in kept.split() if any(unicodedata.category(c)[0] == "L" for c in w)]
+
+
+def test_language_matches_a_plain_scorer(spark, documents, monkeypatch):
+    """Every counted word is known, however rare; only words that training lacks fall back."""
+    monkeypatch.setattr(language, "BLOCK_WORDS", 5000)
+    monkeypatch.setattr(language, "BUCKET_WORDS", 3000)
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    rows += [(9001, "zzyzx \u0301\u0301 l\u2019\u00e9t\u00e9", None), (9002, "\u0301 \u0302", "fr"), (9003, None, "de"), (9004, "123 !?", "en"), (None, "only here qqvq", "xx")]
+    learns = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 != 2
+    counts = [collections.defaultdict(collections.Counter) for _ in range(6)]
+    for i, t, lang in rows:
+        if learns(i) and t is not None and lang is not None:
+            for w in letter_words(t):
+                counts[0][lang][w] += 1
+                m = f"\u2402{w}\u2402"
+                for order in range(1, 6):
+                    counts[order][lang].update(m[j : j + order] for j in range(len(m) - order + 1))
+    langs = sorted(x for x, c in counts[0].items() if c)
+    total = [[sum(c[x].values()) for x in langs] for c in counts]
+
+    def logs(kind, entry):
+        floor = 0.5 / sum(total[kind])
+        return np.array([math.log((counts[kind][x][entry] / n + floor) / (1 + floor)) for x, n in zip(langs, total[kind], strict=True)])
+
+    def score(w):
+        if any(counts[0][x][w] for x in langs):
+            return logs(0, w)
+        m, at, out = f"\u2402{w}\u2402", 0, np.zeros(len(langs))
+        while at < len(m):
+            order = next((o for o in range(5, 0, -1) if at + o <= len(m) and any(counts[o][x][m[at : at + o]] for x in langs)), 0)
+            out = out + (logs(order, m[at : at + order]) if order else 0)
+            at += order or 1
+        return out
+
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found, tables = language.identify(frame, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        words = letter_words(t or "")
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        sums = sum(score(w) for w in words)
+        share = np.exp((sums - sums.max()) / len(words))
+        assert got[i].lang_pred == langs[int(sums.argmax())] and got[i].score == pytest.approx(1 / share.sum(), rel=1e-4)
+    assert sum(len(language.unpack_words(r.words)) for r in spark.read.parquet(tables.words).collect()) >= len(set().union(*counts[0].values()))
 
 
 # 7: addresses

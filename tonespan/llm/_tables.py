@@ -9,6 +9,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows written to a table of the warehouse, dealt into buckets by ``key``: joins on
+    it move the other side alone. As many buckets as the plan's scan has parts, within what
+    Spark allows; a part writes a file only for the buckets it has rows of."""
+    spark = df.sparkSession
+    parts = min(10_000, max(1, df.select(F.lit(1)).rdd.getNumPartitions()))
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).sortBy(key).saveAsTable(table_name)
+    out = spark.table(table_name)
+    out.table_name, out.buckets = table_name, parts
+    return out
+
+
 def drop_shared(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     jvm = spark.sparkContext._jvm
@@ -60,9 +74,12 @@ def drop_shared(spark: SparkSession, path: str) -> None:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
+    """Delete staged and bucketed tables that nothing reads any more."""
     for t in tables:
-        drop_shared(t.sparkSession, t.shared_path)
+        if hasattr(t, "table_name"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.table_name}")
+        else:
+            drop_shared(t.sparkSession, t.shared_path)
 
 
 def release(spark: SparkSession) -> None:

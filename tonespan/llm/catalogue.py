@@ -65,10 +65,9 @@ def _fold(modulus: int):
 @query
 def op6_language_id(spark, sf_dir):
     """Predicted language of every document; a quarter of the documents is held out."""
-    docs = table(spark, sf_dir, "documents")
-    model = language.train(docs.where(_fold(4) != 2))
-    held = F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out")
-    return language.predict(docs, model, ["doc_id", held])
+    found, _ = language.identify(table(spark, sf_dir, "documents"), _fold(4) != 2)
+    held = F.coalesce(_fold(4) == 2, F.lit(True)).alias("held_out")
+    return found.withColumnRenamed("id", "doc_id").select("doc_id", held, "lang_pred", "score")
 
 
 @query

@@ -22,11 +22,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespan.llm import _words
+from tonespan.llm._packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 from tonespan.llm._tables import drop_shared, release, write_shared
 
 ORDER = 2
@@ -44,26 +44,6 @@ END = _words.word_hashes([" end"])[0]
 BEGIN = _words.word_hashes([" begin"])[0]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Bytes of the values, low bytes of all first, compressed."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
-
-
-def unpack(data: bytes, kind=np.uint64) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
-
-
 class Grams(NamedTuple):
     """Distinct n-grams of a block, in the order of their hashes."""
 
@@ -159,12 +139,6 @@ def _decoded(batch: pa.RecordBatch, k: int, order: int) -> tuple[np.ndarray, lis
     return starts, grams, sizes, train
 
 
-def _bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket of the hash range begins in sorted hashes."""
-    limits = [(k << 64) // buckets for k in range(1, buckets)]
-    return np.concatenate(([0], np.searchsorted(hashes, np.array(limits, np.uint64)), [len(hashes)]))
-
-
 def _count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     names = ["level", "bucket", "block", "keys", "counts"]
 
@@ -173,7 +147,7 @@ def _count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
                 for level, own in enumerate(_decoded(batch, k, order)[1], 1):
-                    edges = _bucket_edges(own.hashes, buckets)
+                    edges = bucket_edges(own.hashes, buckets)
                     rows = [(level, b, block, pack_sorted(own.hashes[x:y]), pack(own.trained[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
 
@@ -322,7 +296,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
                 hashes, doc = context_hash[pair // len(sizes)], pair % len(sizes)
                 by_hash = np.argsort(hashes, kind="stable")
                 hashes, doc, times = hashes[by_hash], doc[by_hash], times[by_hash]
-                edges = _bucket_edges(hashes, buckets)
+                edges = bucket_edges(hashes, buckets)
                 yield rows_of(
                     [
                         {"kind": "need", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(doc[x:y].astype(np.uint32)), "y": pack(times[x:y].astype(np.uint32))}
@@ -342,7 +316,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
                 which, first_of, inverse = np.unique(context, return_index=True, return_inverse=True)
                 context_hash = np.append(grams[0].hashes, BEGIN) if n == 2 else grams[n - 2].hashes
                 _, hashes, freed, covered, times = _ordered(context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered), before[n - 1][mine][first_of].astype(np.uint64))
-                edges = _bucket_edges(hashes, buckets)
+                edges = bucket_edges(hashes, buckets)
                 yield rows_of(
                     [
                         {"kind": "context", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(freed[x:y]), "y": pack(covered[x:y]), "z": pack(times[x:y])}

@@ -26,6 +26,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
+def pack_values(values: np.ndarray) -> bytes:
+    """Floats of which many are equal: the distinct ones once, and which each is."""
+    distinct, code = np.unique(np.asarray(values, np.float64), return_inverse=True)
+    return len(distinct).to_bytes(8, "little") + pack(np.concatenate((distinct.view(np.uint64), code.astype(np.uint64))))
+
+
+def unpack_values(data: bytes) -> np.ndarray:
+    n, found = int.from_bytes(data[:8], "little"), unpack(data[8:])
+    return found[:n].view(np.float64)[found[n:].astype(np.int64)]
+
+
 def pack_words(words: list[str]) -> bytes:
     """Words, none of which holds a line break."""
     return zstandard.ZstdCompressor(level=1).compress("\n".join(words).encode())

@@ -26,18 +26,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonespan.llm import _words
-from tonespan.llm._packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
-from tonespan.llm._tables import drop_shared, release, write_shared
+from tonespan.llm._packed import bucket_edges, pack, pack_sorted, pack_values, unpack, unpack_sorted, unpack_values
+from tonespan.llm._tables import bucketed, drop, drop_shared, release, shared_dir, write_shared
 
-ORDER = 2
+ORDER = 3
 #: Counts up to this one are discounted.
 GOOD_TURING = 5
 #: What larger counts lose, in occurrences.
 LARGE = 0.5
-BLOCK_TOKENS = 5 << 18
+BLOCK_TOKENS = 1 << 20
 #: Tokens of the corpus for each bucket of n-gram hashes, and of contexts.
 BUCKET_TOKENS = 1 << 20
-CONTEXT_TOKENS = 1 << 22
+CONTEXT_TOKENS = 1 << 21
+#: Parts of the range of contexts that are exchanged one after another, so that on disk
+#: lie the exchange of one part and what others wait for, not twice the whole.
+PARTS = 4
 
 # names with a space cannot be words
 END = _words.word_hashes([" end"])[0]
@@ -139,14 +142,17 @@ def _decoded(batch: pa.RecordBatch, k: int, order: int) -> tuple[np.ndarray, lis
     return starts, grams, sizes, train
 
 
-def _count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def _count_requests(blocks: DataFrame, levels: range, buckets: int) -> DataFrame:
+    """The distinct n-grams of each block for each bucket, of some orders."""
     names = ["level", "bucket", "block", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
-                for level, own in enumerate(_decoded(batch, k, order)[1], 1):
+                grams = _decoded(batch, k, levels[-1])[1]
+                for level in levels:
+                    own = grams[level - 1]
                     edges = bucket_edges(own.hashes, buckets)
                     rows = [(level, b, block, pack_sorted(own.hashes[x:y]), pack(own.trained[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
@@ -154,7 +160,7 @@ def _count_requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     return blocks.mapInArrow(run, "level int, bucket int, block long, keys binary, counts binary")
 
 
-_REPLY = "kind string, level int, bucket int, block long, keys binary, counts binary"
+_REPLY = "kind string, level int, bucket int, block long, keys binary, counts binary, of_counts array<long>"
 
 
 def _add_up(request: pa.Table) -> pa.Table:
@@ -170,14 +176,14 @@ def _add_up(request: pa.Table) -> pa.Table:
     some = total > 0
     of_counts = np.bincount(np.minimum(total[some], GOOD_TURING + 2).astype(np.int64), minlength=GOOD_TURING + 3)
     summary = np.append(of_counts, total.sum()).astype(np.int64)
-    rows = [("counts", level, bucket, None, pack_sorted(distinct[some]), pack(total[some])), ("summary", level, bucket, None, None, summary.tobytes())]
+    rows = [("counts", level, bucket, None, pack_sorted(distinct[some]), pack(total[some]), None), ("summary", level, bucket, None, None, None, summary.tolist())]
     at = 0
     for block, own in zip(request["block"].to_pylist(), keys, strict=True):
         part = slice(at, at + len(own))
-        rows.append(("reply", level, bucket, block, np.packbits(owner[part]).tobytes(), pack(total[inverse[part]])))
+        rows.append(("reply", level, bucket, block, np.packbits(owner[part]).tobytes(), pack(total[inverse[part]]), None))
         at += len(own)
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "level", "bucket", "block", "keys", "counts"])
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "level", "bucket", "block", "keys", "counts", "of_counts"])
 
 
 class Discounts(NamedTuple):
@@ -239,7 +245,7 @@ def _probabilities(grams: list[Grams], totals: list[Totals], params: list[Discou
     return seen, before
 
 
-_PARTIAL = "kind string, level int, bucket int, block long, doc int, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, keys binary, x binary, y binary, z binary"
+_PARTIAL = "kind string, part int, level int, bucket int, block long, doc int, doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double, keys binary, x binary, y binary, z binary, over binary"
 
 
 def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], texts: int, buckets: int) -> DataFrame:
@@ -299,7 +305,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
                 edges = bucket_edges(hashes, buckets)
                 yield rows_of(
                     [
-                        {"kind": "need", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(doc[x:y].astype(np.uint32)), "y": pack(times[x:y].astype(np.uint32))}
+                        {"kind": "need", "part": b % PARTS, "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(doc[x:y].astype(np.uint32)), "y": pack(times[x:y].astype(np.uint32))}
                         for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False))
                         if x < y
                     ]
@@ -309,17 +315,21 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
             if len(mine):
                 context = grams[n - 1].context[mine]
                 count = totals[n - 1].total[mine]
-                # in occurrences, not shares: mostly few different values, which pack well
+                # in occurrences, not shares: these are few different values, which pack well
                 freed = (1 - params[n - 1].of(count)) * count
                 suffix = grams[n - 1].suffix[mine]
-                covered = params[0].of(totals[0].total[suffix]) * totals[0].total[suffix] if n == 2 else seen[n - 2][suffix]
+                below = totals[n - 2].total[suffix]
+                covered = params[n - 2].of(below) * below
+                over = np.full(len(mine), first.total) if n == 2 else before[n - 2][suffix]
                 which, first_of, inverse = np.unique(context, return_index=True, return_inverse=True)
                 context_hash = np.append(grams[0].hashes, BEGIN) if n == 2 else grams[n - 2].hashes
-                _, hashes, freed, covered, times = _ordered(context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered), before[n - 1][mine][first_of].astype(np.uint64))
+                _, hashes, freed, covered, times, over = _ordered(
+                    context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered), before[n - 1][mine][first_of], over[first_of]
+                )
                 edges = bucket_edges(hashes, buckets)
                 yield rows_of(
                     [
-                        {"kind": "context", "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y]), "x": pack(freed[x:y]), "y": pack(covered[x:y]), "z": pack(times[x:y])}
+                        {"kind": "context", "part": b % PARTS, "level": n, "bucket": b, "block": block, "keys": pack_sorted(hashes[x:y])} | {name: pack_values(v[x:y]) for name, v in (("x", freed), ("y", covered), ("z", times), ("over", over))}
                         for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False))
                         if x < y
                     ]
@@ -331,7 +341,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
         ids = batch.column(1)[k].as_py()
         yield rows_of(
             [
-                {"kind": "doc", "block": block, "doc": d, "doc_id": i, "train": bool(t), "n_tokens": int(n), "n_known": int(w), "base_score": float(b), "score": float(s)}
+                {"kind": "doc", "part": 0, "block": block, "doc": d, "doc_id": i, "train": bool(t), "n_tokens": int(n), "n_known": int(w), "base_score": float(b), "score": float(s)}
                 for d, (i, t, n, w, b, s) in enumerate(zip(ids, train, sizes, known, base, score, strict=True))
             ]
         )
@@ -339,7 +349,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
     return joined.mapInArrow(run, _PARTIAL)
 
 
-def _weights(rows: pa.Table, tokens: int) -> pa.Table:
+def _weights(rows: pa.Table) -> pa.Table:
     """Backoff weights of one bucket of contexts, and what they add to each document."""
     kinds = np.array(rows["kind"].to_pylist())
     level, bucket = rows["level"][0].as_py(), rows["bucket"][0].as_py()
@@ -347,16 +357,15 @@ def _weights(rows: pa.Table, tokens: int) -> pa.Table:
     at = np.flatnonzero(kinds == "context").tolist()
     keys = np.concatenate([unpack_sorted(rows["keys"][i].as_py()) for i in at]) if at else np.zeros(0, np.uint64)
     distinct, inverse = np.unique(keys, return_inverse=True)
-    def summed(column: str) -> np.ndarray:
-        values = np.concatenate([unpack(rows[column][i].as_py(), np.float64) for i in at]) if at else np.zeros(0)
-        return np.bincount(inverse, weights=values, minlength=len(distinct))
-
-    times = np.zeros(len(distinct))
-    if at:
-        times[inverse] = np.concatenate([unpack(rows["z"][i].as_py()) for i in at])
-    covered = summed("y") / (max(1, tokens) if level == 2 else 1)
-    log_weight = np.log10(summed("x") / times / np.maximum(1 - covered, 1e-12))
-    out.append(("weights", level, bucket, None, None, None, pack_sorted(distinct), pack(log_weight)))
+
+    def values(column: str) -> np.ndarray:
+        return np.concatenate([unpack_values(rows[column][i].as_py()) for i in at]) if at else np.zeros(0)
+
+    freed, covered = (np.bincount(inverse, weights=values(c), minlength=len(distinct)) for c in ("x", "y"))
+    times, over = np.zeros(len(distinct)), np.ones(len(distinct))
+    times[inverse], over[inverse] = values("z"), values("over")
+    log_weight = np.log10(freed / times / np.maximum(1 - covered / over, 1e-12))
+    out.append(("weights", level, bucket, None, None, None, pack_sorted(distinct), pack_values(log_weight)))
     for i in np.flatnonzero(kinds == "need").tolist():
         own = unpack_sorted(rows["keys"][i].as_py())
         doc = unpack(rows["x"][i].as_py(), np.uint32)
@@ -388,35 +397,40 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     probability is then one; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    block_path = write_shared(_blocks(docs, id_col, text_col, train), "katz-blocks")
-    blocks = spark.read.parquet(block_path)
+    blocks = bucketed(_blocks(docs, id_col, text_col, train), "katz_blocks", "block")
     sizes = blocks.select(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
     tokens, texts = int(sizes[0]), int(sizes[1])
-    answers = _count_requests(blocks, order, max(1, tokens // BUCKET_TOKENS)).groupBy("level", "bucket").applyInArrow(_add_up, _REPLY)
-    counts_path = write_shared(answers, "katz-counts", ["kind", "level"])
-    del answers
-    release(spark)
+    # the highest order by itself: its exchange is as large as that of all others
+    counts_path = f"{shared_dir(spark)}/katz-counts-{uuid.uuid4().hex}"
+    for levels in (range(1, order), range(order, order + 1)):
+        if len(levels):
+            answers = _count_requests(blocks, levels, max(1, tokens // BUCKET_TOKENS)).groupBy("level", "bucket").applyInArrow(_add_up, _REPLY)
+            answers.write.mode("append").partitionBy("kind", "level").parquet(counts_path)
+            del answers
+            release(spark)
 
     stored = spark.read.schema(_REPLY).parquet(counts_path)
     summed = {n: np.zeros(GOOD_TURING + 4, np.int64) for n in range(1, order + 1)}
-    for level, data in stored.where("kind = 'summary'").select("level", "counts").toLocalIterator():
-        summed[level] += np.frombuffer(bytes(data), np.int64)
+    listed = stored.where("kind = 'summary'").select("level", F.posexplode("of_counts").alias("r", "n"))
+    for level, r, n in listed.groupBy("level", "r").agg(F.sum("n")).collect():
+        summed[level][r] = n
     params = [discounts(summed[n][:-1], int(summed[n][-1])) for n in range(1, order + 1)]
 
-    replies = stored.where("kind = 'reply'").drop("kind")
-    partial_path = write_shared(_evaluate(blocks, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)), "katz-partial", ["kind"])
-    del replies, stored, blocks
+    replies = stored.where("kind = 'reply'").drop("kind", "of_counts")
+    partial_path = write_shared(_evaluate(blocks, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)), "katz-partial", ["kind", "part"])
     # nothing reads the blocks and the answers again
-    drop_shared(spark, block_path)
+    drop(blocks)
     drop_shared(spark, f"{counts_path}/kind=reply")
+    del replies, stored, blocks, listed
     release(spark)
-    partial = spark.read.schema(_PARTIAL).parquet(partial_path)
-    exchanged = partial.where("kind in ('context', 'need')").select("kind", "level", "bucket", "block", "keys", "x", "y", "z")
-    total = params[0].total
-    weights_path = write_shared(exchanged.groupBy("level", "bucket").applyInArrow(lambda rows: _weights(rows, total), _WEIGHTS), "katz-weights", ["kind"])
-    drop_shared(spark, f"{partial_path}/kind=context")
-    drop_shared(spark, f"{partial_path}/kind=need")
-    release(spark)
+    weights_path = f"{shared_dir(spark)}/katz-weights-{uuid.uuid4().hex}"
+    for part in range(PARTS):
+        exchanged = spark.read.schema(_PARTIAL).parquet(partial_path).where(f"kind in ('context', 'need') and part = {part}").select("kind", "level", "bucket", "block", "keys", "x", "y", "z", "over")
+        exchanged.groupBy("level", "bucket").applyInArrow(_weights, _WEIGHTS).write.mode("append").partitionBy("kind").parquet(weights_path)
+        del exchanged
+        for kind in ("context", "need"):
+            drop_shared(spark, f"{partial_path}/kind={kind}/part={part}")
+        release(spark)
     partial = spark.read.schema(_PARTIAL).parquet(partial_path)
     added = spark.read.schema(_WEIGHTS).parquet(weights_path).where("kind = 'add'").groupBy("block", "doc").agg(F.sum("add").alias("add"))
     rows = partial.where("kind = 'doc'").join(added, ["block", "doc"], "left")

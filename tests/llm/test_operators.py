@@ -434,6 +434,41 @@ def test_similar_paragraphs_are_linked(spark):
     assert paragraphs == {(2, 60, 1)}
 
 
+def test_lines_become_paragraphs():
+    sizes = [[7, 1, 2, 3, 9, 2], [1, 3], [0, 0, 5], [], [4, 0, 1, 0]]
+    size = np.array([n for x in sizes for n in x], np.int64)
+    doc = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
+    first, lines = substring._joined_lines(size, doc)
+    got = [(int(doc[a]), int(a), int(n)) for a, n in zip(first, lines, strict=True)]
+    assert [(d, int(size[a : a + n].sum())) for d, a, n in got] == [(0, 7), (0, 6), (0, 9), (2, 5), (4, 5)]
+    assert all((doc[a : a + n] == d).all() for d, a, n in got)
+
+
+def test_paragraph_links_match_all_pairs(spark):
+    """Short and long lines, exact and edited: classes equal those of all pairs by exact
+    similarity; the share of links that the bands meet is at least 0.99."""
+    rng = random.Random(31)
+    lines = []
+    for k in range(150):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([5, 7, 8, 9, 12, 18, 30, 80]))]
+        lines.append(base)
+        for _ in range(3):
+            other = base[:]
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                other[rng.choice([0, -1, rng.randrange(len(other))])] = f"w{rng.randrange(3000)}"
+            if rng.random() < 0.3:
+                other.append("more")
+            lines.append(other)
+    rng.shuffle(lines)
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in lines]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if lines[a] == lines[b] or (sets[a] & sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))]
+    want = roots(len(lines), links)
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(lines)], "doc_id long, text string")
+    removed = {r.doc_id for r in substring.repeated_spans(df).where("first_word = 0").collect() if r.n_words == len(lines[r.doc_id])}
+    expected = {k for k in range(len(lines)) if want[k] != k}
+    assert len(expected) > 150 and removed <= expected and len(removed) >= 0.99 * len(expected)
+
+
 def test_anchors_are_in_every_long_run():
     rng = np.random.default_rng(4)
     starts = np.array([0, 300, 310, 340, 400])

@@ -1,10 +1,10 @@
 """Removal of repeated passages.
 
-Paragraphs (lines of MIN_WORDS words or more) get MinHash signatures of their word
-shingles, cut into bands; paragraphs that share a band are compared by exact Jaccard
-similarity, and links form components. A passage that repeats inside longer paragraphs is
-no paragraph, so banding alone cannot see it: besides, windows of MIN_WORDS words at
-winnowed anchors are linked when equal. Anchors depend on the words near them alone, and
+Paragraphs (lines; those shorter than a shingle join such neighbours) get MinHash
+signatures of their word shingles, cut into bands; paragraphs that share a band are
+compared by exact Jaccard similarity, and links form components. A passage that repeats
+inside longer paragraphs is no paragraph, so banding alone cannot see it: besides, windows
+of MIN_WORDS words at winnowed anchors are linked when equal. Anchors depend on the words near them alone, and
 every run of PASSAGE words holds a whole window. In every class, one occurrence stays (the
 smallest document, then the first place); the others are cut. A window grows to both sides
 as far as the words equal those around the occurrence that stays, REACH words at most: if
@@ -38,6 +38,9 @@ PASSAGE = 50
 REACH = PASSAGE - MIN_WORDS
 #: Bands and rows a band: similarity 0.8 shares a band with probability 0.995.
 BANDS, ROWS = 10, 4
+#: Shingles from which a paragraph can be similar to one with other shingles: with fewer,
+#: one shingle more or less is already below the similarity.
+BANDED = 4
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,8 +56,8 @@ class Units(NamedTuple):
     start: np.ndarray
     words: np.ndarray
     content: np.ndarray
-    bands: np.ndarray | None = None
-    shingles: list | None = None
+    bands: pa.ListArray | None = None
+    shingles: pa.ListArray | None = None
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -109,6 +112,28 @@ def _runs_as_two(doc: np.ndarray, at: np.ndarray, content: np.ndarray, starts: n
     return Units(doc[rows], at[rows] - starts[doc[rows]], size, content[rows])
 
 
+def _joined_lines(size: np.ndarray, doc: np.ndarray, words: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(first line, lines) of each paragraph: a line of ``words`` words, or as many shorter
+    lines that follow each other in a text as have them together."""
+    first: list[int] = []
+    count: list[int] = []
+    begin, have, own = 0, 0, -1  # of the shorter lines that wait for more
+    for i, (n, d) in enumerate(zip(size.tolist(), doc.tolist(), strict=True)):
+        if n >= words or d != own:
+            have = 0
+        own = d
+        if not n:
+            continue
+        if not have:
+            begin = i
+        have += n
+        if have >= words:
+            first.append(begin)
+            count.append(i + 1 - begin)
+            have = 0
+    return np.array(first, np.int64), np.array(count, np.int64)
+
+
 def units_of(texts: pa.Array) -> tuple[Units, Units]:
     """Windows and paragraphs of some texts."""
     split = pc.split_pattern(pc.ascii_lower(texts), "\n")
@@ -129,13 +154,13 @@ def units_of(texts: pa.Array) -> tuple[Units, Units]:
         content = _words.pair_hash(content, hashes[at + k])
     windows = _runs_as_two(np.searchsorted(starts, at, "right") - 1, at, content, starts)
 
-    size = np.diff(line_starts)
-    which = np.flatnonzero(size >= MIN_WORDS)
-    begin, size = line_starts[:-1][which], size[which]
-    doc = np.repeat(np.arange(len(texts)), np.diff(per_text))[which]
-    if not len(which):
+    of_line = np.repeat(np.arange(len(texts)), np.diff(per_text))
+    line, lines = _joined_lines(np.diff(line_starts), of_line)
+    begin, doc = line_starts[line], of_line[line]
+    size = line_starts[line + lines] - begin
+    if not len(line):
         none = np.zeros(0, np.int64)
-        return windows, Units(none, none, none, np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64), [])
+        return windows, Units(none, none, none, np.zeros(0, np.uint64))
     word_at = np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     inside = word_at - np.repeat(begin, size)
     content = np.add.reduceat(_words.pair_hash(hashes[word_at], inside.astype(np.uint64)), np.cumsum(size) - size)
@@ -143,16 +168,23 @@ def units_of(texts: pa.Array) -> tuple[Units, Units]:
     first = np.cumsum(count) - count
     own = grams[np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(first, count)]
     factor, add = hash_parameters()
-    bands = np.zeros((len(which), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(which), b, np.uint64)
+    banded = count >= BANDED
+    of_gram = np.repeat(banded, count)
+    own, size_of = own[of_gram], count[banded]
+    first = np.cumsum(size_of) - size_of
+    bands = np.zeros((len(size_of), BANDS), np.uint64)
+    for b in range(BANDS if len(size_of) else 0):
+        key = np.full(len(size_of), b, np.uint64)
         for k in range(b * ROWS, (b + 1) * ROWS):
             key = _words.pair_hash(key, np.minimum.reduceat(own * factor[k] + add[k], first))
         bands[:, b] = key
-    edges = np.append(first, len(own))
     short = (own >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    shingles = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(short))
-    return windows, Units(doc, begin - starts[doc], size, content, bands, shingles)
+
+    def lists(each: np.ndarray, values: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(each))), pa.int32()), pa.array(values))
+
+    listed = lists(np.where(banded, BANDS, 0), bands.view(np.int64).ravel()), lists(np.where(banded, count, 0), short)
+    return windows, Units(doc, begin - starts[doc], size, content, *listed)
 
 
 _UNITS = "kind string, doc_id long, doc_key long, start int, words int, content long, bands array<long>, shingles array<int>"
@@ -172,8 +204,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if found.bands is None:
                     bands, shingles = pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))
                 else:
-                    flat = pa.array(found.bands.view(np.int64).ravel())
-                    bands, shingles = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), flat), found.shingles
+                    bands, shingles = found.bands, found.shingles
                 columns = [pa.array([kind] * n), piece.column(0).take(take), piece.column(1).take(take), pa.array(found.start, pa.int32()), pa.array(found.words, pa.int32()), pa.array(found.content.view(np.int64)), bands, shingles]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -311,8 +342,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is not the one its class keeps; ``kept_doc_id`` holds that one. Windows are grown to the
     whole run of words that equal those around the one that stays.
 
-    Words are compared lower-cased (A-Z); white space does not count. Null, empty and short
-    texts have no units. Rows that agree in id and text are one document; a null id counts
+    Words are compared lower-cased (A-Z); white space does not count. Null and empty texts
+    and those of fewer words than a shingle have no units. Rows that agree in id and text are one document; a null id counts
     as the largest. An empty table gives an empty one; other columns are not read.
     """
     units = staged(_units(docs, id_col, text_col), "units")

@@ -200,16 +200,21 @@ def test_calls_out_of_turn_and_on_cycles(spark):
 
 def test_min_cut_is_least_of_all_labellings():
     rng = random.Random(5)
-    for _ in range(60):
-        n = rng.randrange(1, 8)
-        scores = [rng.uniform(-3, 3) for _ in range(n)]
-        edges = {(i, j): rng.uniform(0, 2) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4}
+    for _ in range(150):
+        n = rng.randrange(1, 10)
+        parent = [-1, *(rng.randrange(0, i) for i in range(1, n))]
+        cost = [rng.choice([0, rng.uniform(-3, 3)]) for _ in range(n)]
+        held, adjacent = [rng.uniform(0, 2) for _ in range(n)], rng.uniform(0, 2)
+        edges = [(i, parent[i], held[i]) for i in range(1, n)]
+        for p in range(n):
+            own = [i for i in range(1, n) if parent[i] == p]
+            edges += [(x, y, adjacent) for x, y in zip(own, own[1:], strict=False)]
 
-        def cost(keep):
-            return sum(max(s, 0) if not k else max(-s, 0) for s, k in zip(scores, keep, strict=True)) + sum(c for (i, j), c in edges.items() if keep[i] != keep[j])  # noqa: B023
+        def total(keep):
+            return sum(max(c, 0) if not k else max(-c, 0) for c, k in zip(cost, keep, strict=True)) + sum(w for i, j, w in edges if keep[i] != keep[j])  # noqa: B023
 
-        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
-        assert cost(html.min_cut(scores, edges)) == pytest.approx(best)
+        best = min(total([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert total(html.min_cut(parent, cost, held, adjacent)) == pytest.approx(best)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style></head><body>
@@ -227,6 +232,92 @@ def test_article_without_the_rest():
     assert html.main_text(PAGE).split("\n") == ["Title & more", "First paragraph, with bold and a link. Next line.", "Second <paragraph> is short.", "An item of the article", "Another one", "Last words."]
 
 
+# pages labelled by hand: what is kept, one line a block
+LONG = ["A river ran through the town for many years, and people loved to sit beside it in the evening.", "When the mill was closed, the water was led into a pipe, and nobody has seen it ever since then."]
+LABELLED = [
+    ("<body><div class=topnav><a href=/>Home</a> <a href=/b>About</a></div><article><h1>A</h1><p>Short.</p><p>Ja</p><p>A longer paragraph of the article, with words.</p></article></body>", "A\nShort.\nJa\nA longer paragraph of the article, with words."),
+    ("<main><h1>Title</h1><p>Text one is here.</p><div class=share-links><a href=x>Share this</a></div><p>So</p><aside><p>Read also this long piece of other prose, it is good.</p></aside><p>Text two.</p></main>", "Title\nText one is here.\nSo\nText two."),
+    ("<body><article><h2>Head</h2><div><p>One, and then another sentence of it.</p><blockquote>Quote</blockquote></div></article><section class=comments><article><p>I liked this article very much, and so did all of my friends.</p></article><article><p>Me too, what a fine and long text this was to read today.</p></article></section></body>", "Head\nOne, and then another sentence of it.\nQuote"),
+    ("<body><div id=cookie-banner><p>This site uses cookies to give you the best of all experiences.</p></div><main><p>no</p><p>The body of the text is this paragraph, which is long.</p></main><footer><p>Imprint and so on, a sentence that looks like prose in all respects.</p></footer></body>", "no\nThe body of the text is this paragraph, which is long."),
+    ("<article><p>First of all paragraphs.</p><form><label>Your name</label><input><p>Please fill in the form below to get our letters every week.</p></form><div class='ad'>A very good product can be bought here, and it is cheap too.</div><p>The end</p></article>", "First of all paragraphs.\nThe end"),
+    ("<body><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul><p>This page has no article element, but it has a long paragraph of text, which is its content.</p><p>And it has another paragraph that is long enough to be seen as one.</p></body>", "This page has no article element, but it has a long paragraph of text, which is its content.\nAnd it has another paragraph that is long enough to be seen as one."),
+    ("<article><table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table><p>What the table says.</p><p><a href=x>Only a link</a></p></article>", "a\nb\n1\n2\nWhat the table says.\nOnly a link"),
+    ("<header><h1>Site</h1></header><article><header><h1>Headline</h1><p>By someone</p></header><p>Body text follows here, as it should.</p><footer>Tags: <a href=t>t</a></footer></article>", "Headline\nBy someone\nBody text follows here, as it should."),
+    (f"<div class=wrap><div><a href=1>Home</a> <a href=2>News</a></div><div><h1>Title</h1><p>{LONG[0]}</p><p>Yes</p><p>{LONG[1]}</p><p>No more</p></div></div>", f"Title\n{LONG[0]}\nYes\n{LONG[1]}\nNo more"),
+    (f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a><li>Sign up for our weekly letter, it is free.<li><a href=3>Three</a></ul><div><p>{LONG[0]}</p><p>{LONG[1]}</p></div></body>", "\n".join(LONG)),
+    (f"<div><h2>Poem</h2><p>{LONG[0]}</p><p>Roses are red</p><p>Violets blue</p><p>{LONG[1]}</p></div>", f"Poem\n{LONG[0]}\nRoses are red\nViolets blue\n{LONG[1]}"),
+    (f"<body><section><p>{LONG[0]}</p><p>Well</p><p>{LONG[1]}</p></section><div><a href=1>Next page of this site</a></div></body>", f"{LONG[0]}\nWell\n{LONG[1]}"),
+]
+
+
+def test_pages_labelled_by_hand_and_what_the_cut_adds():
+    """All are right; by the blocks' own costs alone, without the cut, several are wrong."""
+    alone = 0
+    for page, want in LABELLED:
+        assert html.main_text(page) == want
+        found = html.parse(page)
+        own = html.graph_of(found, html.DEFAULT).cost
+        alone += "\n".join(found.texts[b] for b, c in zip(found.block, own, strict=True) if b >= 0 and c > 0) != want
+    assert alone >= 4
+
+
+def test_fitted_costs_and_share_of_flipped_blocks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    w = html.train(pages)
+    flipped = n = 0
+    for r in pages.collect():
+        found = html.parse(r.html or "")
+        own, held = html.graph_of(found, w)
+        side = html.min_cut(found.parent, own, held, w.adjacent)
+        n += len(found.texts)
+        flipped += sum(b >= 0 and k != (c > 0) for b, c, k in zip(found.block, own, side, strict=True))
+    assert 0.01 < flipped / n < 0.5
+
+
+def test_text_of_every_page_is_its_article(spark, sf_dir):
+    """The pages of the table hold one article element each, without noise inside: their
+    texts equal a plain reading of it by the standard parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "ul", "li"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            if tag in ("p", "h1", "ul", "li"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    got = {r.page_id: (r.text, r.n_chars) for r in html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()}
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = Article()
+        plain.feed(r.html or "")
+        plain.close()
+        want = "\n".join(x for x in (" ".join(b.split()) for b in plain.blocks) if x)
+        assert got[r.page_id] == (want, len(want))
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in (("<nav><ul>" + "<li><a href=x>link</a>" * 20 + "</ul></nav><p>" + "Some words of content here now. " * 10 + "</p>") * 4000, "<a " * 500_000, "<a \" '" * 200_000, "<div>" * 200_000 + "x", "<p>x" * 300_000, "<div>" * 30_000 + "</q>" * 100_000):
+        start = time.process_time()
+        html.main_text(page)
+        assert time.process_time() - start < 15
+
+
 def test_broken_pages_do_no_harm():
     for page in ("<", "<p", "a < b > c", "<p>x</q></p>", "<!-- open", "<script>x", "<a title=\"x>y", "</p></div>", "&#xZZ; &bogus; &#0;", "<p>" * 3000):
         html.main_text(page)

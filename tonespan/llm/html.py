@@ -1,44 +1,65 @@
 """Main text of web pages by minimum cut.
 
-A page becomes its text blocks. A linear classifier of each block's ancestors, class
-names, links, length and punctuation gives a log-odds cost, which becomes the capacity of
-the block's edge to the content terminal or to the boilerplate terminal. Blocks that
-follow each other, and blocks of one container, are joined by smoothness edges. The
-maximum flow between the terminals finds the labelling of least total cost.
+A page becomes its text blocks and the elements that hold them. A logistic classifier of
+each block's words, links, punctuation and tag, fitted on a bounded sample of blocks whose
+place in the page tells their class, gives a log-odds cost, which becomes the capacity of
+the block's edge to the content terminal or to the boilerplate terminal. Elements that say
+what they hold (article, nav, class names, of which the fit weighs the last) have such an
+edge too, for every block inside. An element and what it holds, and neighbours in one
+element, are joined by smoothness edges, scaled to the fitted costs. The minimum cut, equal
+to the maximum flow between the terminals, is the labelling of least total cost; as the
+edges form a tree with chains of siblings, it is found exactly from the leaves up, in time
+linear in the page.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonespan.llm import _words
 
+#: Pages of which about so many are read to fit the classifier, and blocks that are used.
+FIT_PAGES, FIT_BLOCKS = 2_000, 20_000
+#: Blocks that the first weights below are worth in the fit.
+PRIOR_BLOCKS = 200
 
-class Weights(NamedTuple):
-    """Costs in log-odds; positive speaks for content."""
+#: What the classifier sees of a block, and the weights it starts from (log-odds; positive
+#: speaks for content). The last two tell whether an element around it has such a name.
+FEATURES = ("bias", "words", "links", "sentence", "heading", "mark", "bad_name", "good_name")
+PRIOR = np.array([-0.6, 0.7, -3.0, 0.8, 0.8, -2.0, -9.0, 1.0])
+#: Words of a block that count, and how many of them are a unit of the feature.
+MOST_WORDS, WORD_UNIT = 40, 10
 
-    bias: float = 0.2
-    word: float = 0.05  # each word, up to max_words
-    max_words: int = 40
-    links: float = -3.0  # times the share of linked characters
-    sentence: float = 0.5  # ends like a sentence
-    heading: float = 0.8
-    content: float = 4.0  # inside an article or main element
-    boilerplate: float = -9.0  # inside an element that is never content
-    page_header: float = -6.0  # header element outside an article
-    adjacent: float = 0.5  # smoothness of neighbours
-    sibling: float = 1.0  # smoothness of neighbours in one container
 
+class Weights(NamedTuple):
+    text: np.ndarray  # of the features of a block itself
+    limit: float  # of a block's own cost
+    bad_name: float  # evidence of elements, for each block inside
+    good_name: float
+    content: float
+    boilerplate: float
+    inside: float  # of a block somewhere inside an element that says content (less: boilerplate)
+    leaf: float  # smoothness of a block and the element that holds it
+    element: float  # of an element and the one that holds it, for each block that they part
+    adjacent: float  # of neighbours in an element
+
+
+def weights_of(fitted: np.ndarray, spread: float) -> Weights:
+    """Costs from the fitted weights and the median size of a block's log-odds. Whatever the
+    spread, one block inside an element that says what it is can be parted from the rest."""
+    limit = 2.0 * spread
+    least = 4.5 * limit
+    return Weights(fitted[:-2], limit, min(float(fitted[-2]), -least), max(0.0, min(float(fitted[-1]), limit)), least, -least, 0.75 * limit, 1.25 * limit, 0.5 * limit, 0.25 * limit)
 
-WEIGHTS = Weights()
 
 # Element and class names of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,61 +72,71 @@ ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "sidebar sidenav aside nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
+    "sidebar sidenav aside nav navbar navigation topnav subnav menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget hidden".split()
 )
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*?)/?>""", re.S)
+_NAME_OF_TAG = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*+"|'[^']*+'|[^\s"'>]++))?""", re.I)
 _NAME = re.compile("[a-z0-9]+")
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_MARK = re.compile("[©®|·•»›→]")
+#: Elements that hold one block and say nothing of it by themselves.
+PLAIN = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 html body tr td th tbody thead tfoot".split())
+BAD, GOOD, SAID_CONTENT, SAID_BOILERPLATE = 1, 2, 4, 8
 
 
-class Block(NamedTuple):
-    text: str
-    score: float
-    parent: int
+class Page(NamedTuple):
+    """Nodes in order of the page, elements before what they hold; node 0 is the page."""
 
+    parent: list[int]
+    says: list[int]  # what an element says of itself (BAD, GOOD, SAID_...)
+    block: list[int]  # number of the block that the node is, or -1
+    texts: list[str]
+    features: list[tuple[float, ...]]
+    around: list[int]  # what the elements around each block say
 
-def _own_weight(tag: str, attributes: str, in_article: bool, w: Weights) -> float:
+
+def _says(tag: str, attributes: str, in_article: bool) -> int:
+    said = 0
     if tag in CONTENT:
-        own = w.content
-    elif tag in BOILERPLATE:
-        own = w.boilerplate
-    elif tag == "header":
-        own = 0.0 if in_article else w.page_header
-    else:
-        own = 0.0
-    if attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "role":
-                own += w.boilerplate if value in BAD_ROLES else w.content if value in CONTENT else 0
-            elif key == "style":
-                own += w.boilerplate if _HIDDEN_STYLE.search(value) else 0
-            elif key == "hidden" or (key == "aria-hidden" and value == "true"):
-                own += w.boilerplate
-            elif key in ("class", "id") and tag not in ("html", "body"):
-                names = set(_NAME.findall(value))
-                if names & BAD_NAMES:
-                    own += w.boilerplate
-                elif names & GOOD_NAMES and tag not in CONTENT:
-                    own += w.content / 4
-    return own
-
-
-def blocks(page: str, w: Weights = WEIGHTS) -> list[Block]:
-    """Text blocks of a page in order, each with its classifier score and container."""
-    out: list[Block] = []
-    # open elements: tag, weight of all ancestors, in an article, in a link, number
-    stack: list[tuple[str, float, bool, bool, int]] = [("", 0.0, False, False, 0)]
-    number = 0
+        said = SAID_CONTENT
+    elif tag in BOILERPLATE or (tag == "header" and not in_article):
+        said = SAID_BOILERPLATE
+    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "role":
+            said |= SAID_BOILERPLATE if value in BAD_ROLES else SAID_CONTENT if value in CONTENT else 0
+        elif key == "style":
+            said |= SAID_BOILERPLATE if _HIDDEN_STYLE.search(value) else 0
+        elif key == "hidden" or (key == "aria-hidden" and value == "true"):
+            said |= SAID_BOILERPLATE
+        elif key in ("class", "id") and tag not in ("html", "body"):
+            names = set(_NAME.findall(value))
+            said |= BAD if names & BAD_NAMES else GOOD if names & GOOD_NAMES else 0
+    return said
+
+
+class _Open(NamedTuple):
+    tag: str
+    node: int
+    around: int
+    in_article: bool
+    in_link: bool
+    in_heading: bool
+
+
+def parse(page: str) -> Page:
+    out = Page([-1], [0], [-1], [], [], [])
+    stack = [_Open("", 0, 0, False, False, False)]
     parts: list[str] = []
     linked = 0
     heading = False
-    at, end = 0, len(page)
+    open_tags: dict[str, int] = {}  # how many of each are open, so that stray ends cost nothing
+    at, end, last = 0, len(page), page.rfind(">")
 
     def flush() -> None:
         nonlocal parts, linked, heading
@@ -113,13 +144,12 @@ def blocks(page: str, w: Weights = WEIGHTS) -> list[Block]:
             words = "".join(parts).split()
             if words:
                 text = " ".join(words)
-                score = w.bias + stack[-1][1] + w.word * min(len(words), w.max_words) + w.links * min(1.0, linked / len(text))
-                if text[-1] in ".!?:;…\"”":
-                    score += w.sentence
-                if heading:
-                    score += w.heading
-                container = next((e[4] for e in reversed(stack) if e[0] not in INLINE and e[0] not in ("p", "li") and e[0] not in HEADINGS), 0)
-                out.append(Block(text, score, container))
+                out.parent.append(stack[-1].node)
+                out.says.append(0)
+                out.block.append(len(out.texts))
+                out.texts.append(text)
+                out.around.append(stack[-1].around)
+                out.features.append((1.0, min(len(words), MOST_WORDS) / WORD_UNIT, min(1.0, linked / len(text)), float(text[-1] in ".!?:;…\"”"), float(heading), float(bool(_MARK.search(text[:200])))))
             parts = []
         linked, heading = 0, False
 
@@ -128,145 +158,266 @@ def blocks(page: str, w: Weights = WEIGHTS) -> list[Block]:
         if "&" in text:
             text = unescape(text)
         parts.append(text)
-        if stack[-1][3]:
+        top = stack[-1]
+        if top.in_link:
             linked += len(text)
-        if any(e[0] in HEADINGS for e in stack[-3:]):
-            heading = True
+        heading = heading or top.in_heading
 
     def close(k: int) -> None:
-        if any(e[0] not in INLINE for e in stack[k:]):
+        if any(e.tag not in INLINE for e in stack[k:]):
             flush()
+        for e in stack[k:]:
+            open_tags[e.tag] -= 1
         del stack[k:]
 
+    def close_items(tag: str) -> None:
+        """End the open item that a new one ends without a tag of its own."""
+        for k in range(len(stack) - 1, 0, -1):
+            have = stack[k].tag
+            if have == tag or (tag in ("dt", "dd") and have in ("dt", "dd")) or (tag in ("td", "th") and have in ("td", "th")):
+                close(k)
+                break
+            if have in ITEMS[tag]:
+                break
+
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or (start > last and not page.startswith("<!--", start)):
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        if start > at:
+            add(page[at:start])
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else end
             continue
-        tag = tag.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+        ending = page.startswith("/", start + 1)
+        named = _NAME_OF_TAG.match(page, start + 1 + ending)
+        if named is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                stop = page.find(">", start)
+                at = stop + 1 if stop >= 0 else end
+            else:
+                add("<")
+                at = start + 1
+            continue
+        tag = named[0].lower()
+        stop = _ATTRIBUTES.match(page, named.end()).end()
+        if stop >= end or page[stop] != ">":  # a quote that nothing ends
+            stop = page.find(">", named.end())
+        if stop < 0:
+            add(page[start:])
+            break
+        attributes, at = page[named.end() : stop], stop + 1
+        if ending:
+            if open_tags.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag in INLINE and stack[k].tag not in INLINE:
+                        break
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
+            found = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
+            at = found.end() if found else end
             if tag not in INLINE:
                 flush()
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags.get("p"):
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
+                if stack[k].tag == "p":
                     close(k)
                     break
-                if stack[k][0] not in INLINE:
+                if stack[k].tag not in INLINE:
                     break
         if tag in ITEMS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag or (tag in ("dt", "dd") and stack[k][0] in ("dt", "dd")) or (tag in ("td", "th") and stack[k][0] in ("td", "th")):
-                    close(k)
-                    break
-                if stack[k][0] in ITEMS[tag]:
-                    break
+            close_items(tag)
         if tag == "head":
             flush()
-            stop = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
-            if stop:
-                at = stop.start()
+            found = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
+            at = found.start() if found else at
             continue
         if tag not in INLINE:
             flush()
-        if tag in VOID or m[0].endswith("/>") and tag in VOID:
+        if tag in VOID:
             continue
         above = stack[-1]
-        number += 1
-        own = _own_weight(tag, m[3], above[2], w)
-        if own > 0:  # content within content counts once
-            own = max(0.0, min(own, w.content - above[1])) if above[1] >= 0 else own
-        stack.append((tag, above[1] + own, above[2] or tag in CONTENT, above[3] or tag == "a", number))
+        node, around = above.node, above.around
+        if tag not in INLINE:
+            said = _says(tag, attributes, above.in_article)
+            if around & (BAD | SAID_BOILERPLATE):  # an article among comments is a comment
+                said &= BAD | SAID_BOILERPLATE
+            if said or tag not in PLAIN:
+                out.parent.append(node)
+                out.says.append(said)
+                out.block.append(-1)
+                node = len(out.parent) - 1
+            around |= said
+        stack.append(_Open(tag, node, around, above.in_article or tag in CONTENT, above.in_link or tag == "a", above.in_heading or tag in HEADINGS))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     return out
 
 
-def min_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Content side of the cut of least cost: a block on the boilerplate side costs its
-    positive score, on the content side its negative score, a parted edge its weight.
-    Shortest augmenting paths from all blocks with flow left from the content terminal."""
-    n = len(scores)
-    left = list(scores)  # > 0: still from the content terminal; < 0: still to the other one
-    residual: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), c in edges.items():
-        residual[a][b] = residual[a].get(b, 0.0) + c
-        residual[b][a] = residual[b].get(a, 0.0) + c
-    while True:
-        parent: dict[int, int] = {i: -1 for i in range(n) if left[i] > 1e-9}
-        queue = deque(parent)
-        goal = -1
-        while queue and goal < 0:
-            i = queue.popleft()
-            for j, c in residual[i].items():
-                if c > 1e-9 and j not in parent:
-                    parent[j] = i
-                    if left[j] < -1e-9:
-                        goal = j
-                        break
-                    queue.append(j)
-        if goal < 0:
-            return [i in parent for i in range(n)]
-        flow, j = -left[goal], goal
-        while parent[j] >= 0:
-            flow = min(flow, residual[parent[j]][j])
-            j = parent[j]
-        flow = min(flow, left[j])
-        left[j] -= flow
-        j = goal
-        left[goal] += flow
-        while parent[j] >= 0:
-            i = parent[j]
-            residual[i][j] -= flow
-            residual[j][i] = residual[j].get(i, 0.0) + flow
-            j = i
-
-
-def smoothness(found: list[Block], w: Weights = WEIGHTS) -> dict[tuple[int, int], float]:
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = w.adjacent
-        before = last.get(b.parent)
-        if before is not None:
-            edges[before, i] = edges.get((before, i), 0.0) + w.sibling
-        last[b.parent] = i
-    return edges
-
-
-def main_text(page: str, w: Weights = WEIGHTS) -> str:
+class Graph(NamedTuple):
+    """Of each node the capacity of its edge to a terminal (positive to content, negative to
+    boilerplate) and of the edge to the element that holds it."""
+
+    cost: list[float]
+    held: list[float]
+
+
+def graph_of(page: Page, w: Weights) -> Graph:
+    """What an element says counts for every block inside. An element is tied to the one that
+    holds it by as many blocks as are inside, or as the other holds besides, whichever are
+    fewer; what the page itself holds is parted at no cost."""
+    n = len(page.parent)
+    score = np.clip(np.array(page.features) @ w.text, -w.limit, w.limit).tolist() if page.texts else []
+    inside = [int(b >= 0) for b in page.block]
+    for i in range(n - 1, 0, -1):
+        inside[page.parent[i]] += inside[i]
+    cost, held = [0.0] * n, [0.0] * n
+    for i, (parent, block, said) in enumerate(zip(page.parent, page.block, page.says, strict=True)):
+        if block >= 0:
+            around = page.around[block]
+            cost[i] = score[block] + (-w.inside if around & (BAD | SAID_BOILERPLATE) else w.inside if around & SAID_CONTENT else 0.0)
+            held[i] = w.leaf
+            continue
+        each = w.boilerplate if said & SAID_BOILERPLATE else w.bad_name if said & BAD else w.content if said & SAID_CONTENT else w.good_name if said & GOOD else 0.0
+        cost[i] = each * inside[i]
+        held[i] = w.element * min(inside[i], max(1, inside[parent] - inside[i])) if parent > 0 else 0.0
+    return Graph(cost, held)
+
+
+def min_cut(parent: list[int], cost: list[float], held: list[float], adjacent: float) -> list[bool]:
+    """Content side of the cut of least cost. ``cost``: a node on the boilerplate side costs
+    its positive cost, on the content side its negative cost; an element and a child on two
+    sides cost the child's ``held``, two neighbouring children ``adjacent``. Parents come before their
+    children, and children in their order. Ties go to content.
+
+    From the last node to the first: the least cost of a node's subtree and of its later
+    siblings', for either side of the node and of its parent."""
+    n = len(parent)
+    # of a node's children so far, the first of them on a side (0 boilerplate, 1 content)
+    # under the node on a side; None: no child yet
+    first: list[tuple[float, float, float, float] | None] = [None] * n
+    mine: list[tuple[float, float, float, float]] = [(0.0, 0.0, 0.0, 0.0)] * n
+    later: list[int] = [-1] * n  # the sibling after
+    eldest: list[int] = [-1] * n
+    root = (0.0, 0.0)
+    for i in range(n - 1, -1, -1):
+        below = first[i]
+        c = cost[i]
+        off, on = (c if c > 0 else 0.0), (-c if c < 0 else 0.0)
+        if below is not None:
+            off += min(below[0], below[1])
+            on += min(below[2], below[3])
+        p = parent[i]
+        if p < 0:
+            root = (off, on)
+            continue
+        after, h = first[p], held[i]
+        if after is None:
+            mine[i] = (off, on + h, off + h, on)
+        else:
+            a, b, c, d = after
+            mine[i] = (off + min(a, b + adjacent), on + h + min(b, a + adjacent), off + h + min(c, d + adjacent), on + min(d, c + adjacent))
+        later[i], eldest[p], first[p] = eldest[p], i, mine[i]
+    side = [False] * n
+    side[0] = root[1] <= root[0]
+    for i in range(n):
+        k, before = eldest[i], None
+        while k >= 0:
+            off, on = mine[k][2:] if side[i] else mine[k][:2]
+            if before is not None:
+                off, on = (off + adjacent, on) if before else (off, on + adjacent)
+            side[k] = before = on <= off
+            k = later[k]
+    return side
+
+
+def main_text(page: str, w: Weights | None = None) -> str:
     """The content blocks of a page, joined by one newline; empty if there are none."""
-    found = blocks(page, w)
-    keep = min_cut([b.score for b in found], smoothness(found, w))
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    w = w or DEFAULT
+    found = parse(page)
+    side = min_cut(found.parent, *graph_of(found, w), w.adjacent)
+    return "\n".join(found.texts[b] for b, keep in zip(found.block, side, strict=True) if keep and b >= 0)
+
+
+def labelled(page: Page) -> Iterator[tuple[tuple[float, ...], bool]]:
+    """(features, content) of blocks whose place tells their class, on pages that have an
+    article or main element: inside it content, outside it or in an element that is never
+    content boilerplate. A block in an article under a name that speaks against it is left
+    out."""
+    if not any(a & SAID_CONTENT for a in page.around):
+        return
+    for features, a in zip(page.features, page.around, strict=True):
+        inside = bool(a & SAID_CONTENT) and not a & SAID_BOILERPLATE
+        if not (inside and a & BAD):
+            yield (*features, float(bool(a & BAD)), float(bool(a & GOOD))), inside
+
+
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Logistic weights of FEATURES by Newton steps, drawn to PRIOR as if by PRIOR_BLOCKS
+    blocks, so that features which the sample does not show keep their first weight. Both
+    classes weigh the same."""
+    weight = PRIOR.copy()
+    if not len(x):
+        return weight
+    each = np.where(y, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (~y).sum()))
+    pull = PRIOR_BLOCKS * 0.05
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
+        slope = x.T @ (each * (y - p)) - pull * (weight - PRIOR)
+        curve = (x * (each * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(weight))
+        step = np.linalg.solve(curve, slope)
+        weight = weight + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return weight
+
+
+def _spread(x: np.ndarray, weight: np.ndarray) -> float:
+    sizes = np.abs(x[:, :-2] @ weight[:-2]) if len(x) else np.ones(1)
+    return float(np.clip(np.median(sizes), 0.5, 3.0))
+
 
+DEFAULT = weights_of(PRIOR, 1.0)
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), w: Weights = WEIGHTS) -> DataFrame:
-    """Columns ``keep`` and ``text``, ``n_chars`` of every row.
+
+def train(pages: DataFrame, html_col: str = "html") -> Weights:
+    """Weights fitted on blocks of about FIT_PAGES pages, FIT_BLOCKS at most, chosen by hash;
+    those of PRIOR if no page has blocks with a class."""
+    text = F.col(html_col).cast("string")
+    rows = pages.select(text.alias("_html")).where(text.isNotNull())
+    n = rows.count()
+    chosen = rows.where(F.pmod(F.xxhash64("_html"), F.lit(max(1, n))) < FIT_PAGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _words.slices(batches, "_html"):
+            for page in piece.column(0).to_pylist():
+                found = list(labelled(parse(page)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found])], ["x", "y"])
+
+    sample = chosen.mapInArrow(run, "x array<double>, y boolean").orderBy(F.xxhash64("x", "y")).limit(FIT_BLOCKS).collect()
+    x = np.array([r[0] for r in sample]).reshape(-1, len(FEATURES))
+    fitted = fit(x, np.array([r[1] for r in sample], bool))
+    return weights_of(fitted, _spread(x, fitted))
+
+
+def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), w: Weights | None = None) -> DataFrame:
+    """Columns ``keep`` and ``text``, ``n_chars`` of every row; without ``w`` the classifier is
+    fitted on a sample of the pages first.
 
     A null or empty page has an empty text; pages of any length are read whole; rows come
     back as they are, repeated ones repeated; other columns are not read. No shuffle.
     """
+    w = w or train(pages, html_col)
     rows = pages.select(F.col(html_col).cast("string").alias("_html"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +426,5 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
             columns = [*piece.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*piece.schema.names[1:], "text", "n_chars"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*rows.schema.fields[1:], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return rows.mapInArrow(run, schema)

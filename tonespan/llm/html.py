@@ -47,9 +47,9 @@ class Weights(NamedTuple):
     good_name: float
     content: float
     boilerplate: float
-    inside: float  # of a block somewhere inside an element that says content (less: boilerplate)
     leaf: float  # smoothness of a block and the element that holds it
     element: float  # of an element and the one that holds it, for each block that they part
+    inside: float  # besides, for each block inside, if an element around says what it is
     adjacent: float  # of neighbours in an element
 
 
@@ -58,7 +58,7 @@ def weights_of(fitted: np.ndarray, spread: float) -> Weights:
     spread, one block inside an element that says what it is can be parted from the rest."""
     limit = 2.0 * spread
     least = 4.5 * limit
-    return Weights(fitted[:-2], limit, min(float(fitted[-2]), -least), max(0.0, min(float(fitted[-1]), limit)), least, -least, 0.75 * limit, 1.25 * limit, 0.5 * limit, 0.25 * limit)
+    return Weights(fitted[:-2], limit, min(float(fitted[-2]), -least), max(0.0, min(float(fitted[-1]), limit)), least, -least, 1.25 * limit, 0.5 * limit, 0.75 * limit, 0.25 * limit)
 
 
 # Element and class names of HTML pages.
@@ -274,22 +274,24 @@ class Graph(NamedTuple):
 def graph_of(page: Page, w: Weights) -> Graph:
     """What an element says counts for every block inside. An element is tied to the one that
     holds it by as many blocks as are inside, or as the other holds besides, whichever are
-    fewer; what the page itself holds is parted at no cost."""
+    fewer, and closer if an element around says what it holds; elements that the page itself
+    holds are parted at no cost."""
     n = len(page.parent)
     score = np.clip(np.array(page.features) @ w.text, -w.limit, w.limit).tolist() if page.texts else []
     inside = [int(b >= 0) for b in page.block]
     for i in range(n - 1, 0, -1):
         inside[page.parent[i]] += inside[i]
     cost, held = [0.0] * n, [0.0] * n
+    under = [False] * n
     for i, (parent, block, said) in enumerate(zip(page.parent, page.block, page.says, strict=True)):
+        under[i] = i > 0 and (under[parent] or bool(page.says[parent] & ~GOOD))
         if block >= 0:
-            around = page.around[block]
-            cost[i] = score[block] + (-w.inside if around & (BAD | SAID_BOILERPLATE) else w.inside if around & SAID_CONTENT else 0.0)
-            held[i] = w.leaf
+            cost[i], held[i] = score[block], w.leaf
             continue
         each = w.boilerplate if said & SAID_BOILERPLATE else w.bad_name if said & BAD else w.content if said & SAID_CONTENT else w.good_name if said & GOOD else 0.0
         cost[i] = each * inside[i]
-        held[i] = w.element * min(inside[i], max(1, inside[parent] - inside[i])) if parent > 0 else 0.0
+        if parent > 0:
+            held[i] = w.element * min(inside[i], max(1, inside[parent] - inside[i])) + w.inside * inside[i] * under[i]
     return Graph(cost, held)
 
 
@@ -402,9 +404,10 @@ def train(pages: DataFrame, html_col: str = "html") -> Weights:
             for page in piece.column(0).to_pylist():
                 found = list(labelled(parse(page)))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found])], ["x", "y"])
+                    at = _words.mix(_words.word_hashes([page]) + np.arange(len(found), dtype=np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([y for _, y in found]), pa.array(at)], ["x", "y", "at"])
 
-    sample = chosen.mapInArrow(run, "x array<double>, y boolean").orderBy(F.xxhash64("x", "y")).limit(FIT_BLOCKS).collect()
+    sample = chosen.mapInArrow(run, "x array<double>, y boolean, at long").orderBy("at", "x", "y").limit(FIT_BLOCKS).collect()
     x = np.array([r[0] for r in sample]).reshape(-1, len(FEATURES))
     fitted = fit(x, np.array([r[1] for r in sample], bool))
     return weights_of(fitted, _spread(x, fitted))

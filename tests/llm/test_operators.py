@@ -622,6 +622,17 @@ def test_plan_uses_every_piece(seed):
     assert sum(n for n, _ in groups) <= 1.05 * -(-int((counts * np.arange(257)).sum()) // 256) + 2
 
 
+@pytest.mark.parametrize("pieces", [200, 900, 20_000])
+def test_patterns_make_the_plan_at_every_size(pieces):
+    rng = np.random.default_rng(pieces)
+    lengths = np.minimum(2047, np.maximum(1, rng.lognormal(6, 1, pieces).astype(int)))
+    counts = np.bincount(lengths, minlength=2049)
+    bound = -(-int(lengths.sum()) // 2048)
+    fitted = sum(n for n, _ in packing._by_patterns(counts.copy(), 2048))
+    assert fitted > 0.5 * bound
+    assert sum(n for n, _ in packing.plan(counts)) <= 1.005 * bound + 2
+
+
 def test_ids_of_text_with_special_strings():
     ids = packing.WordIds(packing.tokenizer_path())
     values = ["a <|endoftext|> b", "x<|startoftext|>y", "İ ΑΣ ﬁ", "don't  'LL\t1234", "", "<|", "á é"]

@@ -2,9 +2,9 @@
 
 Token counts come from a public tokenizer. The histogram of piece lengths (at most
 ``capacity`` rows) goes to the driver, where non-negative least squares fits repeat counts
-of few-document length patterns to it; the counts are rounded down and the remaining
-pieces are packed best-fit, longest first, by length and count. The plan's size depends on
-the capacity and not on the corpus. Each piece then finds its place from its rank among
+of few-document length patterns to it; the counts are rounded, what they leave is fitted
+again, and the pieces that no pattern takes are packed best-fit, longest first, by length
+and count. The plan's size depends on the capacity and not on the corpus. Each piece then finds its place from its rank among
 the pieces of its length.
 """
 
@@ -26,8 +26,13 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Words whose ids a Python worker remembers; beyond that it starts anew.
 REMEMBER = 1_200_000
+#: Fits of patterns, each to what those before have left, and the fitted repeats from which
+#: a pattern is taken once at least.
+FITS, TAKEN_FROM = 12, 0.02
+#: Shares of the patterns that are tried to be opened for the pieces that are left.
+OPENED = (0, 0.05, 0.1, 0.2, 0.3, 0.4)
 #: Pieces of one length that are ranked together.
-RANKED = 1000
+RANKED = 400
 
 _SEPARATOR = "<|endoftext|>"
 
@@ -203,24 +208,36 @@ def nnls(pattern: np.ndarray, length: np.ndarray, target: np.ndarray, rounds: in
 
 
 def _by_patterns(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Groups of nearly full patterns as often as the fit says; takes them from ``left``."""
+    """Groups of nearly full patterns, taken from ``left``: of each fit the whole parts, then
+    once more those patterns whose fractions are largest as long as their pieces last, then
+    a fit of what is left, until no pattern is taken. The whole parts alone would leave
+    nearly everything where each length has few pieces."""
     groups: list[tuple[int, dict[int, int]]] = []
-    if not left.any():
-        return groups
-    pattern, length = patterns(left, capacity)
-    repeats = np.floor(nnls(pattern, length, left.astype(float)) + 1e-9).astype(np.int64)
-    edges = np.searchsorted(pattern, np.arange(len(repeats) + 1))
-    for p in np.argsort(-repeats, kind="stable").tolist():
-        if not repeats[p]:
+    for _ in range(FITS):
+        if not left.any():
+            break
+        pattern, length = patterns(left, capacity)
+        n = int(pattern.max()) + 1
+        total = np.bincount(pattern, weights=length, minlength=n)
+        x = np.where(total >= capacity - capacity // 256, nnls(pattern, length, left.astype(float)), 0.0)
+        whole = np.floor(x + 1e-9)
+        edges = np.searchsorted(pattern, np.arange(n + 1))
+        before = len(groups)
+        for repeats, order in ((whole, np.argsort(-whole, kind="stable")), (np.ones(n), np.argsort(whole - x, kind="stable"))):
+            for p in order.tolist():
+                wanted = int(repeats[p]) if x[p] > TAKEN_FROM else 0
+                if not wanted:
+                    continue
+                need: dict[int, int] = {}
+                for one in length[edges[p] : edges[p + 1]].tolist():
+                    need[one] = need.get(one, 0) + 1
+                times = min(wanted, *(int(left[k]) // v for k, v in need.items()))
+                if times > 0:
+                    groups.append((times, need))
+                    for k, v in need.items():
+                        left[k] -= times * v
+        if len(groups) == before:
             break
-        need: dict[int, int] = {}
-        for one in length[edges[p] : edges[p + 1]].tolist():
-            need[one] = need.get(one, 0) + 1
-        n = min(int(repeats[p]), *(int(left[k]) // v for k, v in need.items()))
-        if n > 0 and sum(k * v for k, v in need.items()) >= capacity - capacity // 256:
-            groups.append((n, need))
-            for k, v in need.items():
-                left[k] -= n * v
     return groups
 
 
@@ -254,18 +271,39 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]
     return [g for spaces in room for g in spaces]
 
 
+def _repaired(groups: list[tuple[int, dict[int, int]]], left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """``groups`` and best-fit groups of what is ``left``. Rounding can leave large pieces
+    without small ones to go with: then some patterns, those of most pieces first and never
+    half of all, are opened and packed best-fit with the rest, as many as make the fewest
+    sequences."""
+    by_pieces = sorted(groups, key=lambda g: (-sum(g[1].values()), g[0]))
+    total = sum(n for n, _ in groups)
+    best: list[tuple[int, dict[int, int]]] | None = None
+    for share in OPENED:
+        loose, kept, opened = left.copy(), [], 0
+        for n, what in by_pieces:
+            now = min(n, int(share * total) - opened)
+            opened += now
+            for k, v in what.items():
+                loose[k] += now * v
+            if n > now:
+                kept.append((n - now, what))
+        made = kept + _best_fit(loose, capacity)
+        if best is None or sum(n for n, _ in made) < sum(n for n, _ in best):
+            best = made
+    return best
+
+
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(repeats, {length: documents}) groups of sequences that use up ``counts`` exactly;
-    ``counts[l]`` pieces have length l (1 to ``capacity``). A corpus of so few pieces that
-    rounding the fit costs more than it gains has its residual, then all of it, packed
+    ``counts[l]`` pieces have length l (1 to ``capacity``). Full pieces are sequences of
+    their own; patterns are fitted to the others, and what no pattern takes is packed
     best-fit."""
     left = counts.astype(np.int64).copy()
     full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
     left[capacity] = 0
-    plain = _best_fit(left, capacity)
     fitted = _by_patterns(left, capacity)
-    fitted += _best_fit(left, capacity)
-    return full + min(fitted, plain, key=lambda groups: sum(n for n, _ in groups))
+    return full + _repaired(fitted, left, capacity)
 
 
 def _slots(groups: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, ...]]:
@@ -292,18 +330,22 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     the end id alone; rows with a null id and repeated rows are packed like any other; an
     empty table gives an empty one; columns other than the two named are not read.
     """
-    rows = staged(pieces_of(docs, id_col, text_col, capacity, tokenizer), "pieces")
+    # the lot deals rows that agree in everything to different ranks
+    rows = staged(pieces_of(docs, id_col, text_col, capacity, tokenizer).withColumn("lot", F.monotonically_increasing_id()), "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in rows.groupBy("length").agg(F.count(F.lit(1))).collect():
         counts[length] = n
+    counts[capacity] = 0
     slots = _slots(plan(counts, capacity))
-    # rank among the pieces of a length: hot lengths are ranked in parts
+    # full pieces are sequences by themselves, of negative numbers; the others are ranked
+    # among those of their length, in parts
+    full = rows.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.col("lot"), "offset": F.lit(0).cast("long")}).drop("lot")
     parts = F.array(*[F.lit(int(-(-n // RANKED)) or 1) for n in counts])
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.element_at(parts, (F.col("length") + 1).cast("int"))).cast("int"))
+    salted = rows.where(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("lot"), F.element_at(parts, (F.col("length") + 1).cast("int"))).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "lot")
     ranked = salted.withColumn("place", F.row_number().over(within)).join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("place") - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,4 +364,4 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     wanted = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return wanted.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return wanted.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").unionByName(full)

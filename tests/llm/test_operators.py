@@ -195,6 +195,45 @@ def test_calls_out_of_turn_and_on_cycles(spark):
     assert {(r.result, r.n_results) for r in got if r.call_id == "k0" and r.conv_id == "c"} == {("q", 2)}
 
 
+def test_conversations_in_one_task_and_in_rounds_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    nodes = [(c, f"k{i:02}", i) for c in range(6) for i in range(14)]
+    needs = [(c, f"k{i:02}", [f"k{rng.randrange(14):02}" for _ in range(rng.randrange(3))]) for c in range(6) for i in range(14)]
+    calls = spark.createDataFrame([(*n, "t", "{}") for n in nodes], "conv_id long, call_id string, turn int, name string, arguments string")
+    edges = spark.createDataFrame(needs, "conv_id long, call_id string, needs array<string>")
+    found = []
+    for most in (100, 2):
+        monkeypatch.setattr(tools, "TOGETHER", most)
+        found.append(sorted((r.conv_id, r.call_id, r.topo_rank) for r in tools.order_calls(calls, edges).collect()))
+    assert found[0] == found[1]
+    rank = {x[:2]: x[2] for x in found[0]}
+    assert any(r >= 0 for r in rank.values()) and any(r < 0 for r in rank.values())
+    for c, k, own in needs:
+        assert rank[c, k] < 0 or all(0 <= rank[c, x] < rank[c, k] for x in own)
+
+
+def test_calls_without_identifiers_and_ties_of_results(spark):
+    calls = spark.createDataFrame([(1, None, 0, "t", "{}"), (None, "a", 0, "t", "{}"), (1, "a", 1, "t", "[1]"), (1, "a", 1, "t", "[1]")], "conv_id long, call_id string, turn int, name string, arguments string")
+    results = spark.createDataFrame([(1, None, 0, "lost"), (None, "a", 0, "lost"), (1, "a", 2, "zz"), (1, "a", 2, "b"), (1, "a", 3, "a")], "conv_id long, call_id string, turn int, result string")
+    got = tools.link_calls(calls, results, {"t": {"type": "object"}}).collect()
+    assert sorted((r.conv_id is None, r.call_id or "", r.result or "", r.n_results, r.valid) for r in got) == [(False, "", "", 0, True), (False, "a", "b", 3, False), (False, "a", "b", 3, False), (True, "a", "", 0, True)]
+
+
+def test_linked_conversations_equal_their_sql(spark):
+    import duckdb
+
+    from tonespan.llm import catalogue
+
+    sql = duckdb.connect()
+    sql.execute("create view conversations as select * from read_parquet('/root/testdata/sf0.01/conversations.parquet')")
+    got = catalogue.QUERIES["op3_tool_call_linking"](spark, "/root/testdata/sf0.01")
+    want = sql.execute(f"select {','.join(got.columns)} from ({tools.oracle()})").fetchall()
+    rows = list(map(tuple, got.collect()))
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    at = {c: k for k, c in enumerate(got.columns)}
+    assert {r[at["name"]] for r in rows} == {"reply", "search", "lookup"} and {r[at["valid"]] for r in rows} == {True, False} and any(r[at["topo_rank"]] < 0 for r in rows)
+
+
 # 4: pages
 
 

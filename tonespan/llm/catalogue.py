@@ -90,3 +90,6 @@ def op3_tool_call_linking(spark, sf_dir):
     """Linked calls of all conversations: user turns as calls, answers as results."""
     linked = tools.link_conversations(table(spark, sf_dir, "conversations"))
     return linked.select("conv_id", "call_id", "turn", "name", "n_results", "arguments", "valid", "error", "topo_rank", "linked_json")
+
+
+ORACLE_SQL["op3_tool_call_linking"] = tools.oracle()

@@ -24,6 +24,12 @@ from tonespan.llm._tables import release, staged
 #: Turns of a conversation that are ranked together.
 RUN = 500
 
+#: Calls of a conversation that are ordered in one task, by identifiers alone; larger
+#: conversations are ordered in rounds.
+TOGETHER = 50_000
+#: Bytes of results that a task of the hash join holds.
+HASHED_BYTES = 64 << 20
+
 #: Schemas of the tools that turns of the ``conversations`` table are read as.
 TURN_SCHEMAS = {
     "reply": {
@@ -31,7 +37,19 @@ TURN_SCHEMAS = {
         "required": ["prompt", "position"],
         "additionalProperties": False,
         "properties": {"prompt": {"type": "string", "minLength": 1}, "position": {"type": "integer", "minimum": 0}, "system": {"type": ["string", "null"]}},
-    }
+    },
+    "search": {
+        "type": "object",
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+        "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 50}},
+    },
+    "lookup": {
+        "type": "object",
+        "required": ["key"],
+        "additionalProperties": False,
+        "properties": {"key": {"type": "string", "minLength": 1}, "depth": {"type": "integer", "minimum": 0}},
+    },
 }
 
 _TYPES = {
@@ -140,12 +158,15 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     turn counts (ties: the least text) and ``n_results`` tells how many there were, added
     up before the join, so that a repeated identifier multiplies no rows. A call without a
     result has a null one and n_results 0; results without a call are dropped; null
-    identifiers never meet. Repeated calls are each linked. Invalid JSON, unknown tools
+    identifiers never meet. The results of a partition are held in memory for that, so there
+    are as many partitions as their size needs. Repeated calls are each linked. Invalid JSON, unknown tools
     and schema violations keep their row, with valid false and the error.
     """
+    held = results.agg(F.coalesce(F.sum(F.length("result").cast("long") + 64), F.lit(0))).first()[0]
+    tasks = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(held) // HASHED_BYTES)
     first = results.where(F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "result")).alias("first"), F.count(F.lit(1)).alias("n_results"))
-    met = calls.select("conv_id", "call_id", "turn", "name", F.col("arguments").cast("string").alias("given")).join(
-        first.select("conv_id", "call_id", F.col("first.result").alias("result"), F.col("first.turn").alias("result_turn"), "n_results").hint("shuffle_hash"), ["conv_id", "call_id"], "left"
+    met = calls.select("conv_id", "call_id", "turn", "name", F.col("arguments").cast("string").alias("given")).repartition(tasks, "conv_id", "call_id").join(
+        first.select("conv_id", "call_id", F.col("first.result").alias("result"), F.col("first.turn").alias("result_turn"), "n_results").repartition(tasks, "conv_id", "call_id").hint("shuffle_hash"), ["conv_id", "call_id"], "left"
     )
     met = met.select("conv_id", "call_id", "turn", "name", F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), "result", "result_turn", "given")
     names = ["conv_id", "call_id", "turn", "name", "n_results", "result"]
@@ -209,7 +230,44 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def order_calls(linked: DataFrame, dependencies: DataFrame) -> DataFrame:
+def _small_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, topo_rank) of conversations of at most TOGETHER calls."""
+    needs = edges.groupBy("conv_id", "call_id").agg(F.collect_list("need").alias("needs"))
+    rows = nodes.join(needs, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "turn", "needs")
+    kinds = dict(rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["call_id"].to_pylist()
+        turns = table["turn"].to_pylist()
+        place = {x: k for k, x in enumerate(ids)}
+        needs = [[place[x] for x in own or ()] for own in table["needs"].to_pylist()]
+        waiting = [len(x) for x in needs]
+        after: list[list[int]] = [[] for _ in ids]
+        for k, own in enumerate(needs):
+            for x in own:
+                after[x].append(k)
+        depth = [-1] * len(ids)
+        free = [k for k, n in enumerate(waiting) if not n]
+        level = 0
+        while free:
+            now = []
+            for k in free:
+                depth[k] = level
+                for x in after[k]:
+                    waiting[x] -= 1
+                    if not waiting[x]:
+                        now.append(x)
+            free, level = now, level + 1
+        rank = [-1] * len(ids)
+        done = [k for k in range(len(ids)) if depth[k] >= 0]
+        for r, k in enumerate(sorted(done, key=lambda k: (depth[k], turns[k] is not None, turns[k], ids[k]))):
+            rank[k] = r
+        return pa.table({"conv_id": table["conv_id"], "call_id": table["call_id"], "topo_rank": pa.array(rank, pa.int32())})
+
+    return rows.groupBy("conv_id").applyInArrow(run, f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, topo_rank int")
+
+
+def order_calls(linked: DataFrame, dependencies: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """``linked`` with ``topo_rank``: the calls of a conversation in an order in which each
     follows what it depends on. Where the order by turn, then identifier does so, it is
     taken. Else the longest chain of needs before a call counts first; a call on a cycle,
@@ -217,10 +275,11 @@ def order_calls(linked: DataFrame, dependencies: DataFrame) -> DataFrame:
 
     ``dependencies``: conv_id, call_id, needs (identifiers; those that are no call of the
     conversation are ignored). Calls of no conversation (null) have no rank; repeated
-    identifiers share a rank.
+    identifiers share a rank. ``calls``: the calls that ``linked`` was made of, if they are
+    at hand, so that it need not be made twice.
     """
     known = "conv_id is not null and call_id is not null"
-    nodes = linked.where(known).groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
+    nodes = (linked if calls is None else calls).where(known).groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"))
     nodes = staged(nodes, "calls")
     needs = dependencies.where(known).select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     of_need = nodes.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
@@ -229,36 +288,102 @@ def order_calls(linked: DataFrame, dependencies: DataFrame) -> DataFrame:
     late = staged(late, "out-of-turn")
     ranks = _turn_ranks(nodes.join(late, "conv_id", "left_anti"))
     if not late.isEmpty():
-        deep = staged(_depths(nodes.join(late, "conv_id", "left_semi"), edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "need")), "depths")
-        sizes = deep.where("depth >= 0").groupBy("conv_id", "depth").agg(F.count(F.lit(1)).alias("n"))
-        before = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-        first = sizes.select("conv_id", "depth", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-        place = F.row_number().over(Window.partitionBy("conv_id", "depth").orderBy("turn", "call_id")) - 1
-        placed = deep.withColumn("place", place).join(first, ["conv_id", "depth"], "left")
-        ranks = ranks.unionByName(placed.select("conv_id", "call_id", F.coalesce(F.col("first") + F.col("place"), F.lit(-1)).cast("int").alias("topo_rank")))
+        mine, needs = nodes.join(late, "conv_id", "left_semi"), edges.join(late, "conv_id", "left_semi").select("conv_id", "call_id", "need")
+        large = staged(mine.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TOGETHER).select("conv_id"), "large-conversations")
+        ranks = ranks.unionByName(_small_ranks(mine.join(large, "conv_id", "left_anti"), needs.join(large, "conv_id", "left_anti")))
+        if not large.isEmpty():
+            ranks = ranks.unionByName(_ranks_in_rounds(mine.join(large, "conv_id", "left_semi"), needs.join(large, "conv_id", "left_semi")))
     return linked.join(ranks, ["conv_id", "call_id"], "left")
 
 
+def _ranks_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, topo_rank) of conversations of any size."""
+    deep = staged(_depths(nodes, edges), "depths")
+    sizes = deep.where("depth >= 0").groupBy("conv_id", "depth").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("conv_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("conv_id", "depth", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "depth").orderBy("turn", "call_id")) - 1
+    placed = deep.withColumn("place", place).join(first, ["conv_id", "depth"], "left")
+    return placed.select("conv_id", "call_id", F.coalesce(F.col("first") + F.col("place"), F.lit(-1)).cast("int").alias("topo_rank"))
+
+
+def _digest(call_id):
+    """Four hexadecimal digits of the identifier's MD5, as a number."""
+    return F.conv(F.substring(F.md5(call_id), 1, 4), 16, 10).cast("int")
+
+
 def turns_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(calls, results, dependencies) from plain turns, for a table without tool calls: each
-    user turn is a call of ``reply`` with the identifier ``conv_id:turn``, the assistant
-    turn after it is the result that names it, and a call needs the call of two turns
-    before. The arguments are the prompt and its position; a null text gives a null prompt."""
+    user turn is a call with the identifier ``conv_id:turn``, the assistant turn after it is
+    the result that names it. A digest d of the identifier chooses what real calls vary in:
+
+    the tool is ``reply`` (d mod 3 = 0; the prompt, its position and the conversation's first
+    system turn), ``search`` (1; the text and a limit of d mod 60, of which some are not
+    allowed) or ``lookup`` (2; the text and a depth of d mod 5, the word "deep" instead of
+    4, which is not allowed, and for d mod 11 = 0 a property that is not known);
+
+    a call needs the call of two turns before; for d mod 16 = 0 it needs the one of two turns
+    after instead, and that one, unless its own d mod 3 is 0, then needs nothing. Where it
+    is, the two are a cycle. A null text gives a null argument.
+    """
     rows = conversations.select(F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text").cast("string").alias("text"))
 
     def call_id(turn):
         return F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
 
+    def json_of(text):
+        listed = F.to_json(F.array(text))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
     known = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     user, assistant = rows.where((F.col("role") == "user") & known), rows.where((F.col("role") == "assistant") & known)
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").alias("position")), {"ignoreNullFields": "false"})
-    calls = user.select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", F.lit("reply").alias("name"), arguments.alias("arguments"))
-    results = assistant.select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("result"))
-    needs = user.select("conv_id", call_id(F.col("turn")).alias("call_id"), F.array(call_id(F.col("turn") - 2)).alias("needs"))
-    return calls, results, needs
+    system = rows.where((F.col("role") == "system") & known).groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("first")).select("conv_id", F.col("first.text").alias("system"))
+    turn, d = F.col("turn"), F.col("d")
+    asked = user.withColumn("call_id", call_id(turn)).withColumn("d", _digest(F.col("call_id"))).join(system, "conv_id", "left")
+    text = json_of(F.col("text"))
+    reply = F.concat(F.lit('{"prompt":'), text, F.lit(',"position":'), turn.cast("string"), F.lit(',"system":'), json_of(F.col("system")), F.lit("}"))
+    search = F.concat(F.lit('{"query":'), text, F.lit(',"limit":'), (d % 60).cast("string"), F.lit("}"))
+    lookup = F.concat(F.lit('{"key":'), text, F.lit(',"depth":'), F.when(d % 5 == 4, '"deep"').otherwise((d % 5).cast("string")), F.when(d % 11 == 0, ',"note":true').otherwise(""), F.lit("}"))
+    name = F.when(d % 3 == 0, "reply").when(d % 3 == 1, "search").otherwise("lookup")
+    arguments = F.when(d % 3 == 0, reply).when(d % 3 == 1, search).otherwise(lookup)
+    calls = asked.select("conv_id", "call_id", "turn", name.alias("name"), arguments.alias("arguments"))
+    results = assistant.select("conv_id", call_id(turn - 1).alias("call_id"), "turn", F.col("text").alias("result"))
+    before = _digest(call_id(turn - 2)) % 16 == 0
+    needs = F.when(d % 16 == 0, F.array(call_id(turn + 2))).when(before & (d % 3 != 0), F.array().cast("array<string>")).otherwise(F.array(call_id(turn - 2)))
+    dependencies = user.withColumn("call_id", call_id(turn)).withColumn("d", _digest(F.col("call_id"))).select("conv_id", "call_id", needs.alias("needs"))
+    return calls, results, dependencies
 
 
 def link_conversations(conversations: DataFrame, schemas: dict | None = None) -> DataFrame:
     """Linked, validated and ordered calls of a table of plain turns."""
     calls, results, needs = turns_as_calls(conversations)
-    return order_calls(link_calls(calls, results, schemas or TURN_SCHEMAS), needs)
+    return order_calls(link_calls(calls, results, schemas or TURN_SCHEMAS), needs, calls)
+
+
+def oracle() -> str:
+    """DuckDB SQL of the query on plain turns: the same calls, checks and order."""
+    digest = "CAST('0x' || substr(md5({}), 1, 4) AS INT)"
+    return f"""
+WITH RECURSIVE u AS (SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, {digest.format("conv_id || ':' || turn")} AS d, {digest.format("conv_id || ':' || (turn - 2)")} AS d_before
+  FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL),
+sy AS (SELECT conv_id, first(text ORDER BY turn NULLS FIRST, text NULLS FIRST) AS system FROM conversations WHERE role = 'system' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+re AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, first(text ORDER BY turn, text NULLS FIRST) AS result, count(*) AS n_results
+  FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+ca AS (SELECT u.*, CASE d % 3 WHEN 0 THEN 'reply' WHEN 1 THEN 'search' ELSE 'lookup' END AS name, coalesce(CAST(to_json(text) AS VARCHAR), 'null') AS t,
+  coalesce(CAST(to_json(system) AS VARCHAR), 'null') AS s, CASE WHEN text IS NULL THEN 'not string' WHEN text = '' THEN 'too short' END AS bad FROM u LEFT JOIN sy USING (conv_id)),
+ar AS (SELECT *, CASE d % 3 WHEN 0 THEN '{{"position":' || turn || ',"prompt":' || t || ',"system":' || s || '}}' WHEN 1 THEN '{{"limit":' || d % 60 || ',"query":' || t || '}}'
+  ELSE '{{"depth":' || CASE WHEN d % 5 = 4 THEN '"deep"' ELSE CAST(d % 5 AS VARCHAR) END || ',"key":' || t || CASE WHEN d % 11 = 0 THEN ',"note":true' ELSE '' END || '}}' END AS arguments,
+  CASE d % 3 WHEN 0 THEN concat_ws('; ', CASE WHEN turn < 0 THEN '$.position: too small' END, '$.prompt: ' || bad)
+  WHEN 1 THEN concat_ws('; ', CASE WHEN d % 60 < 1 THEN '$.limit: too small' WHEN d % 60 > 50 THEN '$.limit: too large' END, '$.query: ' || bad)
+  ELSE concat_ws('; ', CASE WHEN d % 5 = 4 THEN '$.depth: not integer' END, '$.key: ' || bad, CASE WHEN d % 11 = 0 THEN '$.note: not known' END) END AS found FROM ca),
+no AS (SELECT conv_id, call_id, min(turn) AS turn, any_value(d) AS d, any_value(d_before) AS d_before FROM u GROUP BY ALL),
+ed AS (SELECT a.conv_id, a.call_id, a.turn, b.call_id AS need, b.turn AS need_turn FROM no a JOIN no b ON a.conv_id = b.conv_id
+  AND b.turn = CASE WHEN a.d % 16 = 0 THEN a.turn + 2 WHEN a.d_before % 16 = 0 AND a.d % 3 <> 0 THEN NULL ELSE a.turn - 2 END),
+la AS (SELECT DISTINCT conv_id FROM ed WHERE need_turn >= turn),
+de AS (SELECT conv_id, call_id, turn, 0 AS depth FROM no WHERE (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM ed)
+  UNION ALL SELECT e.conv_id, e.call_id, e.turn, de.depth + 1 FROM ed e JOIN de ON e.conv_id = de.conv_id AND e.need = de.call_id),
+ra AS (SELECT no.conv_id, no.call_id, CASE WHEN no.conv_id NOT IN (SELECT conv_id FROM la) THEN row_number() OVER (PARTITION BY no.conv_id ORDER BY no.turn, no.call_id) - 1
+  WHEN depth IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY no.conv_id ORDER BY depth NULLS LAST, no.turn, no.call_id) - 1 END AS topo_rank FROM no LEFT JOIN de USING (conv_id, call_id))
+SELECT ar.conv_id, ar.call_id, ar.turn, ar.name, coalesce(n_results, 0) AS n_results, arguments, found = '' AS valid, nullif(found, '') AS error, CAST(topo_rank AS INT) AS topo_rank,
+  '{{"arguments":' || arguments || ',"id":' || CAST(to_json(ar.call_id) AS VARCHAR) || ',"name":"' || name || '","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}}' AS linked_json
+FROM ar LEFT JOIN re USING (conv_id, call_id) LEFT JOIN ra USING (conv_id, call_id)"""

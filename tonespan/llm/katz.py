@@ -34,7 +34,7 @@ ORDER = 3
 GOOD_TURING = 5
 #: What larger counts lose, in occurrences.
 LARGE = 0.5
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 3 << 18
 #: Tokens of the corpus for each bucket of n-gram hashes, and of contexts.
 BUCKET_TOKENS = 1 << 20
 CONTEXT_TOKENS = 1 << 21
@@ -156,6 +156,8 @@ def _count_requests(blocks: DataFrame, levels: range, buckets: int) -> DataFrame
                     edges = bucket_edges(own.hashes, buckets)
                     rows = [(level, b, block, pack_sorted(own.hashes[x:y]), pack(own.trained[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
+                del grams
+                _words.trim()
 
     return blocks.mapInArrow(run, "level int, bucket int, block long, keys binary, counts binary")
 

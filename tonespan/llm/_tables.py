@@ -53,16 +53,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, part: str | None = None) -> DataFrame:
     """The rows written to a table of the warehouse, dealt into buckets by ``key``: joins on
     it move the other side alone. As many buckets as the plan's scan has parts, within what
-    Spark allows; a part writes a file only for the buckets it has rows of."""
+    Spark allows; a part writes a file only for the buckets it has rows of. With ``part`` the
+    table has a folder for each value of that column."""
     spark = df.sparkSession
     parts = min(10_000, max(1, df.select(F.lit(1)).rdd.getNumPartitions()))
     table_name = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, key).sortBy(key).saveAsTable(table_name)
+    writer = df.write.bucketBy(parts, key).sortBy(key)
+    (writer.partitionBy(part) if part else writer).saveAsTable(table_name)
     out = spark.table(table_name)
-    out.table_name, out.buckets = table_name, parts
+    out.table_name = table_name
+    out.location = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name}").where("col_name = 'Location'").first()["data_type"]
     return out
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tonespan.llm import _words
 from tonespan.llm._packed import bucket_edges, pack, pack_sorted, pack_values, unpack, unpack_sorted, unpack_values
-from tonespan.llm._tables import bucketed, drop, drop_shared, release, shared_dir, write_shared
+from tonespan.llm._tables import bucketed, drop, drop_shared, release, shared_dir
 
 ORDER = 3
 #: Counts up to this one are discounted.
@@ -38,9 +38,10 @@ BLOCK_TOKENS = 3 << 18
 #: Tokens of the corpus for each bucket of n-gram hashes, and of contexts.
 BUCKET_TOKENS = 1 << 20
 CONTEXT_TOKENS = 1 << 21
-#: Parts of the range of contexts that are exchanged one after another, so that on disk
-#: lie the exchange of one part and what others wait for, not twice the whole.
-PARTS = 4
+#: Parts of the range of contexts that are exchanged, and of the blocks that are evaluated,
+#: one after another: what a part needed goes before the next, so that on disk lie the
+#: exchange of one part and what others wait for, not twice the whole.
+PARTS, BLOCK_PARTS = 8, 4
 
 # names with a space cannot be words
 END = _words.word_hashes([" end"])[0]
@@ -142,21 +143,20 @@ def _decoded(batch: pa.RecordBatch, k: int, order: int) -> tuple[np.ndarray, lis
     return starts, grams, sizes, train
 
 
-def _count_requests(blocks: DataFrame, levels: range, buckets: int) -> DataFrame:
-    """The distinct n-grams of each block for each bucket, of some orders."""
+def _count_requests(blocks: DataFrame, level: int, buckets: int) -> DataFrame:
+    """The distinct n-grams of an order of each block for each bucket."""
     names = ["level", "bucket", "block", "keys", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
-                grams = _decoded(batch, k, levels[-1])[1]
-                for level in levels:
-                    own = grams[level - 1]
-                    edges = bucket_edges(own.hashes, buckets)
-                    rows = [(level, b, block, pack_sorted(own.hashes[x:y]), pack(own.trained[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+                own = _decoded(batch, k, level)[1][-1]
+                edges = bucket_edges(own.hashes, buckets)
+                rows = [(level, b, block, pack_sorted(own.hashes[x:y]), pack(own.trained[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if x < y]
+                if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names)
-                del grams
+                del own, rows
                 _words.trim()
 
     return blocks.mapInArrow(run, "level int, bucket int, block long, keys binary, counts binary")
@@ -399,32 +399,39 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     probability is then one; an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
-    blocks = bucketed(_blocks(docs, id_col, text_col, train), "katz_blocks", "block")
+    part_of = F.pmod(F.xxhash64("block"), F.lit(BLOCK_PARTS)).cast("int")
+    blocks = bucketed(_blocks(docs, id_col, text_col, train).withColumn("part", part_of), "katz_blocks", "block", "part")
     sizes = blocks.select(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("train", lambda x: x))), F.lit(0))).first()
     tokens, texts = int(sizes[0]), int(sizes[1])
-    # the highest order by itself: its exchange is as large as that of all others
+    # order by order, the largest exchange while least else is stored
     counts_path = f"{shared_dir(spark)}/katz-counts-{uuid.uuid4().hex}"
-    for levels in (range(1, order), range(order, order + 1)):
-        if len(levels):
-            answers = _count_requests(blocks, levels, max(1, tokens // BUCKET_TOKENS)).groupBy("level", "bucket").applyInArrow(_add_up, _REPLY)
-            answers.write.mode("append").partitionBy("kind", "level").parquet(counts_path)
-            del answers
-            release(spark)
-
-    stored = spark.read.schema(_REPLY).parquet(counts_path)
+    for level in range(order, 0, -1):
+        answers = _count_requests(blocks.drop("part"), level, max(1, tokens // BUCKET_TOKENS)).groupBy("level", "bucket").applyInArrow(_add_up, _REPLY)
+        answers.withColumn("part", F.coalesce(part_of, F.lit(0))).write.mode("append").partitionBy("kind", "part", "level").parquet(counts_path)
+        del answers
+        release(spark)
+
+    stored = spark.read.schema(f"{_REPLY}, part int").parquet(counts_path)
     summed = {n: np.zeros(GOOD_TURING + 4, np.int64) for n in range(1, order + 1)}
     listed = stored.where("kind = 'summary'").select("level", F.posexplode("of_counts").alias("r", "n"))
     for level, r, n in listed.groupBy("level", "r").agg(F.sum("n")).collect():
         summed[level][r] = n
     params = [discounts(summed[n][:-1], int(summed[n][-1])) for n in range(1, order + 1)]
-
-    replies = stored.where("kind = 'reply'").drop("kind", "of_counts")
-    partial_path = write_shared(_evaluate(blocks, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)), "katz-partial", ["kind", "part"])
-    # nothing reads the blocks and the answers again
+    del stored, listed
+
+    partial_path = f"{shared_dir(spark)}/katz-partial-{uuid.uuid4().hex}"
+    location = blocks.location
+    for k in range(BLOCK_PARTS):
+        mine = spark.table(blocks.table_name).where(F.col("part") == k).drop("part")
+        replies = spark.read.schema(f"{_REPLY}, part int").parquet(counts_path).where((F.col("kind") == "reply") & (F.col("part") == k)).select("level", "bucket", "block", "keys", "counts")
+        _evaluate(mine, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)).write.mode("append").partitionBy("kind", "part").parquet(partial_path)
+        # nothing reads these blocks and answers again
+        del mine, replies
+        drop_shared(spark, f"{location}/part={k}")
+        drop_shared(spark, f"{counts_path}/kind=reply/part={k}")
+        release(spark)
     drop(blocks)
-    drop_shared(spark, f"{counts_path}/kind=reply")
-    del replies, stored, blocks, listed
-    release(spark)
+    del blocks
     weights_path = f"{shared_dir(spark)}/katz-weights-{uuid.uuid4().hex}"
     for part in range(PARTS):
         exchanged = spark.read.schema(_PARTIAL).parquet(partial_path).where(f"kind in ('context', 'need') and part = {part}").select("kind", "level", "bucket", "block", "keys", "x", "y", "z", "over")

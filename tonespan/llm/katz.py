@@ -41,7 +41,7 @@ CONTEXT_TOKENS = 1 << 21
 #: Parts of the range of contexts that are exchanged, and of the blocks that are evaluated,
 #: one after another: what a part needed goes before the next, so that on disk lie the
 #: exchange of one part and what others wait for, not twice the whole.
-PARTS, BLOCK_PARTS = 8, 4
+PARTS, BLOCK_PARTS = 16, 8
 
 # names with a space cannot be words
 END = _words.word_hashes([" end"])[0]
@@ -370,15 +370,23 @@ def _weights(rows: pa.Table) -> pa.Table:
     out.append(("weights", level, bucket, None, None, None, pack_sorted(distinct), pack_values(log_weight)))
     for i in np.flatnonzero(kinds == "need").tolist():
         own = unpack_sorted(rows["keys"][i].as_py())
-        doc = unpack(rows["x"][i].as_py(), np.uint32)
-        add = log_weight[np.searchsorted(distinct, own)] * unpack(rows["y"][i].as_py(), np.uint32)
-        which, inverse = np.unique(doc, return_inverse=True)
-        out += [("add", level, bucket, rows["block"][i].as_py(), d, a, None, None) for d, a in zip(which.tolist(), np.bincount(inverse, weights=add).tolist(), strict=True)]
-    types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary())
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "level", "bucket", "block", "doc", "add", "keys", "log_weight"])
+        which, place = np.unique(unpack(rows["x"][i].as_py(), np.uint32), return_inverse=True)
+        add = np.bincount(place, weights=log_weight[np.searchsorted(distinct, own)] * unpack(rows["y"][i].as_py(), np.uint32))
+        out.append(("add", level, bucket, rows["block"][i].as_py(), which.astype(np.uint32).tobytes(), add.tobytes(), None, None))
+    types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["kind", "level", "bucket", "block", "docs", "adds", "keys", "log_weight"])
 
 
-_WEIGHTS = "kind string, level int, bucket int, block long, doc int, add double, keys binary, log_weight binary"
+_WEIGHTS = "kind string, level int, bucket int, block long, docs binary, adds binary, keys binary, log_weight binary"
+
+
+def _added(rows: pa.Table) -> pa.Table:
+    """(block, doc, add): what backoff weights add to the documents of one block."""
+    rows = rows.sort_by([("level", "ascending"), ("bucket", "ascending")])
+    doc = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["docs"]])
+    which, place = np.unique(doc, return_inverse=True)
+    add = np.bincount(place, weights=np.concatenate([np.frombuffer(x.as_py()) for x in rows["adds"]]))
+    return pa.table({"block": pa.array([rows["block"][0].as_py()] * len(which), pa.int64()), "doc": pa.array(which.astype(np.int32)), "add": pa.array(add)})
 
 
 class Tables(NamedTuple):
@@ -441,7 +449,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
             drop_shared(spark, f"{partial_path}/kind={kind}/part={part}")
         release(spark)
     partial = spark.read.schema(_PARTIAL).parquet(partial_path)
-    added = spark.read.schema(_WEIGHTS).parquet(weights_path).where("kind = 'add'").groupBy("block", "doc").agg(F.sum("add").alias("add"))
+    added = spark.read.schema(_WEIGHTS).parquet(weights_path).where("kind = 'add'").select("level", "bucket", "block", "docs", "adds").groupBy("block").applyInArrow(_added, "block long, doc int, add double")
     rows = partial.where("kind = 'doc'").join(added, ["block", "doc"], "left")
     scores = rows.select("doc_id", "train", "n_tokens", "n_known", F.lit(params[0].total).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("add", F.lit(0.0))).alias("score"))
     return scores, Tables(counts_path, weights_path)

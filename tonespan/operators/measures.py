@@ -150,3 +150,17 @@ def change_point(rows: DataFrame, keys: Keys, dt: float, block: float = BLOCK, m
     scored = fair.select(*keys, (F.col("_b") * block).alias("at"), (100 * (F.exp(mb - ma) - 1)).alias("pct"), ((mb - ma) / F.sqrt(F.abs(va + vb) + 1e-12)).alias("z"))
     best = scored.groupBy(*keys).agg(F.min_by(F.struct("at", "pct", "z"), F.struct(-F.round(F.abs("z"), 9), "at")).alias("_best")).select(*keys, "_best.*")
     return best.withColumn("change", (F.abs("pct") >= CHANGE_PERCENT) & (F.abs("z") >= CHANGE_Z))
+
+
+def page(rows: DataFrame, index: str, start: int, limit: int = 60_000) -> DataFrame:
+    """The rows numbered from ``start`` on, ``limit`` numbers at most: what a view that has
+    seen the earlier ones asks for next. A filter on the number, without a sort."""
+    return rows.where(F.col(index).between(start, start + limit - 1))
+
+
+def pixel_means(rows: DataFrame, keys: Keys, index: str, value: str, width: int) -> DataFrame:
+    """(keys, pixel, mean, n): means of ``value`` in ``width`` equal stretches of the numbers
+    0 to the highest of each key; stretches without a value are left out."""
+    last = rows.groupBy(*keys).agg(F.max(index).alias("_last"))
+    pixel = F.floor(F.col(index) * width / (F.col("_last") + 1)).cast("int")
+    return rows.join(last, keys).where(F.col(value).isNotNull()).groupBy(*keys, pixel.alias("pixel")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))

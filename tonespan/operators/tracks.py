@@ -17,6 +17,12 @@ def track_thresholds(levels: DataFrame, keys: Keys) -> DataFrame:
     return levels.groupBy(*keys, "input").agg(F.greatest(low, high, F.lit(-75.0)).alias("threshold"))
 
 
+def loudest(levels: DataFrame, keys: Keys, digits: int = 6) -> DataFrame:
+    """(keys, i, input): the input with the highest level at each moment, the first of equals
+    (to ``digits`` decimals). One grouped minimum, combined before the shuffle."""
+    return levels.groupBy(*keys, "i").agg(F.min_by("input", F.struct(-F.round("db", digits), "input")).alias("input"))
+
+
 def activity(levels: DataFrame, limits: DataFrame, keys: Keys) -> DataFrame:
     """(keys, input, i) of the frames above the input's threshold, as far as all inputs go."""
     until = levels.groupBy(*keys, "input").agg(F.max("i").alias("_last")).groupBy(*keys).agg(F.min("_last").alias("_last"))

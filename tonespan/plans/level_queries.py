@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.operators import levels, tracks
+from tonespan.operators import levels, measures, tracks
 from tonespan.plans import inputs
 from tonespan.plans.inputs import sql
 
@@ -212,3 +212,20 @@ def q32_is_mix_of(spark, sf_dir):
     rows = _track_levels(spark, sf_dir)
     found = tracks.mix_likeness(_mix(rows), rows.where("input < 3"), REC)
     return found.select("rec", F.round("r", 6).alias("r"), "is_mix")
+
+
+@query(sql(f", {_TR} SELECT rec, i, input FROM (SELECT rec, i, input, row_number() OVER (PARTITION BY rec, i ORDER BY round(db, 6) DESC, input) AS p FROM tl) WHERE p = 1", "ev"))
+def q67_loudest_input(spark, sf_dir):
+    return tracks.loudest(_track_levels(spark, sf_dir), REC).select("rec", "i", "input")
+
+
+@query(sql(f", {_TR} SELECT rec, input, i, round(db, 6) AS db FROM tl WHERE i BETWEEN 40 AND 139", "ev"))
+def q68_page(spark, sf_dir):
+    return measures.page(_track_levels(spark, sf_dir), "i", 40, 100).select("rec", "input", "i", F.round("db", 6).alias("db"))
+
+
+@query(sql(f""", {_TR}, n AS (SELECT rec, input, max(i) AS last FROM tl GROUP BY ALL)
+SELECT rec, input, CAST(floor(i * 50 / (last + 1)) AS INT) AS pixel, round(avg(db), 6) AS mean, count(*) AS n FROM tl JOIN n USING (rec, input) GROUP BY ALL""", "ev"))
+def q69_pixel_means(spark, sf_dir):
+    found = measures.pixel_means(_track_levels(spark, sf_dir), ["rec", "input"], "i", "db", 50)
+    return found.select("rec", "input", "pixel", F.round("mean", 6).alias("mean"), "n")

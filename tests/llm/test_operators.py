@@ -89,7 +89,7 @@ def test_large_buckets_are_cut_without_losing_links(spark, block):
 
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_matches_sequential_evaluation(documents, texts, order, monkeypatch):
-    for name, value in (("BLOCK_TOKENS", 9000), ("BUCKET_TOKENS", 20_000), ("CONTEXT_TOKENS", 30_000)):
+    for name, value in (("BLOCK_TOKENS", 9000), ("BUCKET_TOKENS", 20_000), ("CONTEXT_TOKENS", 30_000), ("PARTS", 2), ("BLOCK_PARTS", 2)):
         monkeypatch.setattr(katz, name, value)
     train = F.crc32(F.col("doc_id").cast("string")) % 10 != 0
     got = {r.doc_id: r for r in katz.katz_scores(documents, train, order=order)[0].collect()}

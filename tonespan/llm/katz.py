@@ -429,7 +429,8 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     partial_path = f"{shared_dir(spark)}/katz-partial-{uuid.uuid4().hex}"
     location = blocks.location
-    for k in range(BLOCK_PARTS):
+    present = sorted(r[0] for r in blocks.select("part").distinct().collect()) or [0]
+    for k in present:
         mine = spark.table(blocks.table_name).where(F.col("part") == k).drop("part")
         replies = spark.read.schema(f"{_REPLY}, part int").parquet(counts_path).where((F.col("kind") == "reply") & (F.col("part") == k)).select("level", "bucket", "block", "keys", "counts")
         _evaluate(mine, replies, params, texts, max(1, tokens // CONTEXT_TOKENS)).write.mode("append").partitionBy("kind", "part").parquet(partial_path)
@@ -441,7 +442,7 @@ def katz_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     drop(blocks)
     del blocks
     weights_path = f"{shared_dir(spark)}/katz-weights-{uuid.uuid4().hex}"
-    for part in range(PARTS):
+    for part in range(min(PARTS, max(1, tokens // CONTEXT_TOKENS))):  # the others have no bucket
         exchanged = spark.read.schema(_PARTIAL).parquet(partial_path).where(f"kind in ('context', 'need') and part = {part}").select("kind", "level", "bucket", "block", "keys", "x", "y", "z", "over")
         exchanged.groupBy("level", "bucket").applyInArrow(_weights, _WEIGHTS).write.mode("append").partitionBy("kind").parquet(weights_path)
         del exchanged

@@ -481,7 +481,26 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     pages = spark.createDataFrame([(k, f"http://common.example.org/{'rare' if k == 3 else 'x'}") for k in range(9)], "page_id long, url string")
     rules = [urls.parse_rule("||common.^*/rare^")]
     assert rules[0][2] == ["common", "rare"]
-    assert urls._indexed(rules, urls.rarest_tokens(F.col("url"), pages, rules)) == ({"rare": [0]}, [])
+    filed = urls.file_rules(pages, F.col("url"), ["||common.^*/rare^", "|http*"])
+    assert sorted((r.token, r.k) for r in filed.collect()) == [("", 1), ("rare", 0)]
+
+
+@pytest.mark.parametrize("bound", [urls.BROADCAST_CHARS, 0])
+def test_a_long_rule_list_gives_few_candidates(spark, monkeypatch, bound):
+    monkeypatch.setattr(urls, "BROADCAST_CHARS", bound)
+    rules = [f"||h{k}." if k % 3 else f"@@||h{k // 3}.*^ok^" for k in range(100_000)]
+    rng = random.Random(5)
+    rows = [f"http://h{rng.randrange(100_000)}.org/{'ok' if k % 2 else 'no'}/x" for k in range(300)] + ["http://h1.org/ok/1"] * 50 + ["http://other.org/", None]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    pages = pages.withColumn("address", F.coalesce("url", F.lit("")))
+    fetched = urls.candidates(pages, F.col("address"), urls.file_rules(pages, F.col("url"), rules), rules)
+    assert fetched.groupBy("address").count().agg(F.max("count")).first()[0] <= 2
+    got = {r.id: r.verdict for r in urls.judge(pages, host_rules=(), pattern_rules=rules).collect()}
+    for k, url in enumerate(rows):
+        host = int(url[8:].split(".")[0]) if url and url.startswith("http://h") else None
+        blocked = host is not None and host % 3 != 0
+        allowed = host is not None and "/ok/" in url and 3 * host < 100_000
+        assert got[k] == ("block" if blocked and not allowed else "allow"), url
 
 
 # 8: benchmark

@@ -11,6 +11,7 @@ expressions run. A rule without a literal token is a candidate for every address
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,11 @@ PATTERN_RULES = (
     "@@^responsible-gambling^",
 )
 
+#: Characters of all pattern rules up to which the filed rules are broadcast (some 100,000
+#: rules); longer lists meet the tokens in a shuffled join.
+BROADCAST_CHARS = 4_000_000
+SALTS = 16
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SEPARATOR = r"(?:[^a-z0-9_.%-]|$)"
 _LABEL = r"^[a-z0-9+.-]*://(?:[^/?#]*\.)?"
@@ -87,28 +93,42 @@ def parse_rule(rule: str) -> tuple[str, str, list[str]]:
     return verdict, regex, tokens
 
 
-def rarest_tokens(urls: Column, rows: DataFrame, rules: list[tuple[str, str, list[str]]]) -> dict[str, int]:
-    """How many of the addresses have each literal token of the rules (zero: absent)."""
-    wanted = sorted({t for _, _, tokens in rules for t in tokens})
-    if not wanted:
-        return {}
-    found = rows.select(F.explode(F.array_intersect(_tokens(urls), F.array(*map(F.lit, wanted)))).alias("token"))
-    return {t: 0 for t in wanted} | dict(found.groupBy("token").count().collect())
-
-
 def _tokens(url: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(F.coalesce(url, F.lit(""))), F.lit("([a-z0-9]+)"), 1))
 
 
-def _indexed(rules: list[tuple[str, str, list[str]]], counts: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
-    index: dict[str, list[int]] = {}
-    general = []
-    for k, (_, _, tokens) in enumerate(rules):
-        if tokens:
-            index.setdefault(min(tokens, key=lambda t: (counts[t], t)), []).append(k)
-        else:
-            general.append(k)
-    return index, general
+def file_rules(rows: DataFrame, url: Column, pattern_rules: Sequence[str]) -> DataFrame:
+    """(token, k, pattern, regex, verdict): every pattern rule under its literal token that
+    fewest of the addresses have (ties: the least token), those without one under the empty
+    token. The addresses' tokens are counted on the map side and join the rules' tokens."""
+    spark = rows.sparkSession
+    parsed = [parse_rule(r) for r in pattern_rules]
+    listed = spark.createDataFrame(
+        [(k, pattern, regex, verdict, tokens) for k, (pattern, (verdict, regex, tokens)) in enumerate(zip(pattern_rules, parsed, strict=True))],
+        "k int, pattern string, regex string, verdict string, tokens array<string>",
+    )
+    wanted = listed.select("k", F.explode("tokens").alias("token"))
+    counts = rows.select(F.explode(_tokens(url)).alias("token")).groupBy("token").count().join(_small(wanted.select("token").distinct(), pattern_rules), "token", "left_semi")
+    rarest = wanted.join(counts, "token", "left").groupBy("k").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
+    return listed.join(rarest, "k", "left").select(F.coalesce("token", F.lit("")).alias("token"), "k", "pattern", "regex", "verdict")
+
+
+def _small(df: DataFrame, pattern_rules: Sequence[str]) -> DataFrame:
+    """Broadcast what comes from the rules, if the rules' characters are few enough."""
+    return F.broadcast(df) if sum(map(len, pattern_rules)) <= BROADCAST_CHARS else df
+
+
+def candidates(rows: DataFrame, address: Column, filed: DataFrame, pattern_rules: Sequence[str]) -> DataFrame:
+    """(address, k, pattern, regex, verdict): for each different address the rules that its
+    tokens fetch. Beyond the broadcast bound an address takes one of SALTS copies of the
+    filed rules, so that a token of very many addresses spreads over as many tasks."""
+    words = F.concat(_tokens(F.col("address")), F.array(F.lit("")))
+    asked = rows.select(address.alias("address")).distinct().select("address", F.explode(words).alias("token"))
+    if sum(map(len, pattern_rules)) <= BROADCAST_CHARS:
+        return asked.join(F.broadcast(filed), "token").drop("token")
+    salted = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("address"), F.lit(SALTS)).cast("int"))
+    return asked.join(salted, ["token", "salt"]).drop("token", "salt")
 
 
 def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> DataFrame:
@@ -119,14 +139,12 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", host_
     matching pattern rule, null if none or if a host rule decided. A null address or one
     without ``://`` has an empty host and path and is allowed unless a pattern matches it;
     null ids, repeated rows, empty tables and further columns do no harm.
-    The rule lists are parameters and are sent with the plan; no row is shuffled apart from
-    the token counts, which are grouped on the map side.
+    Host rules are few and are sent with the plan. Pattern rules are a table: the tokens of
+    each different address fetch candidates by an equality join, only their regular
+    expressions run, and the addresses that match join the rows again.
     """
-    rules = [parse_rule(r) for r in pattern_rules]
     url = F.col("url")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    index, general = _indexed(rules, rarest_tokens(url, rows, rules))
-
     host, path = host_and_path(url)
     rows = rows.withColumn("host", host).withColumn("path", path).withColumn("address", _lower(F.coalesce(url, F.lit(""))))
     by_length = sorted(host_rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1])))
@@ -135,23 +153,15 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", host_
     said = F.coalesce(*[F.when(f, F.lit(v)) for f, (v, _, _) in zip(fits, by_length, strict=True)], F.lit(None).cast("string"))
     rows = rows.withColumn("rule", rule).withColumn("said", said)
 
-    kind = "array<struct<k:int,pattern:string,regex:string,verdict:string>>"
-    none = F.array().cast(kind)
-
-    def entries(ks: list[int]) -> Column:
-        return F.array(*[F.struct(F.lit(k).alias("k"), F.lit(pattern_rules[k]).alias("pattern"), F.lit(rules[k][1]).alias("regex"), F.lit(rules[k][0]).alias("verdict")) for k in ks]).cast(kind) if ks else none
-
-    candidates = entries(general)
-    if index:
-        filed = F.create_map(*[x for t, ks in sorted(index.items()) for x in (F.lit(t), entries(ks))])
-        fetched = F.flatten(F.transform(F.array_intersect(_tokens(url), F.array(*map(F.lit, sorted(index)))), lambda t: F.coalesce(F.element_at(filed, t), none)))
-        candidates = F.concat(candidates, fetched)
-    matched = F.filter(candidates, lambda r: F.call_function("rlike", F.col("address"), r["regex"]))
-    rows = rows.withColumn("matched", F.when(F.col("said").isNull(), F.array_sort(matched)).otherwise(none))
-    blocked = F.exists("matched", lambda r: r["verdict"] == "block") & ~F.exists("matched", lambda r: r["verdict"] == "allow")
-    verdict = F.coalesce("said", F.when(blocked, "block").otherwise("allow"))
-    first = F.when(F.size("matched") > 0, F.element_at("matched", 1)["pattern"])
-    return rows.select("id", "host", "path", "rule", verdict.alias("verdict"), first.alias("pattern"))
+    fetched = candidates(rows.where("said is null"), F.col("address"), file_rules(rows, url, pattern_rules), pattern_rules)
+    matched = (
+        fetched.where(F.call_function("rlike", F.col("address"), F.col("regex")))
+        .groupBy("address")
+        .agg(F.min_by("pattern", "k").alias("pattern"), (F.bool_or(F.col("verdict") == "block") & ~F.bool_or(F.col("verdict") == "allow")).alias("blocked"))
+    )
+    open_ = F.col("said").isNull()
+    verdict = F.coalesce("said", F.when(F.col("blocked"), "block").otherwise("allow"))
+    return rows.join(matched, "address", "left").select("id", "host", "path", "rule", verdict.alias("verdict"), F.when(open_, F.col("pattern")).alias("pattern"))
 
 
 def oracle(host_rules=HOST_RULES, pattern_rules=PATTERN_RULES) -> str:

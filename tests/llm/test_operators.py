@@ -506,6 +506,24 @@ def test_a_long_rule_list_gives_few_candidates(spark, monkeypatch, bound):
 # 8: benchmark
 
 
+@pytest.mark.parametrize("radius", [0, 2, 3, 9, 15])
+def test_index_finds_all_within_the_radius_and_few_others(radius):
+    rng = np.random.default_rng(radius)
+    items = decontaminate.Items([(k, " ".join(f"w{x}" for x in rng.integers(0, 50_000, 12 if k % 3 else 13))) for k in range(3_000)], radius=radius)
+    start = rng.integers(0, 3_000, 200)
+    asked = items.fingerprints[start].copy()
+    for k in range(200):
+        for bit in rng.choice(64, k % (radius + 3), replace=False):
+            asked[k] ^= np.uint64(1 << int(bit))
+    length = np.where(start % 3, 12, 13)
+    got = set(zip(*(x.tolist() for x in items.candidates(asked, length, 5)), strict=True))
+    own = np.where(np.arange(3_000) % 3, 12, 13)
+    near = (np.bitwise_count(asked[:, None] ^ items.fingerprints[None, :]) <= radius) & (length[:, None] == own[None, :])
+    assert got == set(zip(*(x.tolist() for x in np.nonzero(near)), strict=True)) and len(got) >= sum(k % (radius + 3) <= radius for k in range(200))
+    looked = {p for at, item in items.fetched(asked, length, 5) for p in zip(at.tolist(), item.tolist(), strict=True)}
+    assert len(looked) < 0.08 * (length[:, None] == own[None, :]).sum()
+
+
 def test_leaks_match_brute_force(spark, documents, texts, sf_dir):
     items = {r.item_id: split(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
 

@@ -2,14 +2,18 @@
 
 Every benchmark item has a 64-bit SimHash of its word shingles. Documents are read in
 windows as long as the items, one from each word; the fingerprints of windows are looked
-up in a multi-index of the items' fingerprints, cut into radius + 1 blocks of which a
-fingerprint within the radius must share one. The weighted shingle similarity then
-verifies each candidate. A window of which less than the wanted share of shingles stands
+up in a multi-index of the items' fingerprints: of four 16-bit blocks one differs by at most
+three bits within the radius of 15. The index holds every block with up to two bits turned,
+a window asks for its blocks with up to one, so equality finds all fingerprints within the
+radius and about a twentieth of the rest. The weighted shingle similarity then verifies
+each candidate. A window of which less than the wanted share of shingles stands
 in any item cannot reach the similarity with any of them and needs no fingerprint.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,12 @@ RADIUS = 15
 #: Items that are indexed and sent to the executors at once; more are taken in turns, each
 #: turn reading all documents.
 ITEMS_AT_ONCE = 20_000
+#: Blocks of a fingerprint, and how many of a block's differing bits a window turns; the
+#: index turns the others.
+BLOCKS, ASKED_BITS = 4, 1
 _FILTER_BITS = 20
+#: Windows looked up at once.
+_ASKED = 1 << 12
 #: Words of a document whose windows are fingerprinted at once.
 _REGION = 1 << 15
 
@@ -55,28 +64,36 @@ class Items:
             self.grams.append(np.unique(grams, return_counts=True))
             fingerprints.append(simhash(grams, np.array([0, len(grams)]))[0] if n else np.uint64(0))
         self.fingerprints = np.array(fingerprints, np.uint64)
-        cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-        self.blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+        n_blocks = max(2, min(BLOCKS, radius + 1))
+        cuts = [64 * k // n_blocks for k in range(n_blocks + 1)]
+        # if every block differed by more than its bits, all would by more than the radius
+        spare = max(0, radius + 1 - n_blocks)
+        self.blocks = [(low, high - low, spare // n_blocks + (k < spare % n_blocks)) for k, (low, high) in enumerate(itertools.pairwise(cuts))]
         self.vocabulary = {size: np.unique(np.concatenate([self.grams[k][0] for ks in by.values() for k in ks])) for size, by in self.groups.items()}
         self.filters = {}
         for size, known in self.vocabulary.items():
             bits = np.zeros(1 << _FILTER_BITS, bool)
             bits[(known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
             self.filters[size] = bits
-        # for each block the items ordered by length and block value
-        self.index: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    @functools.cached_property
+    def index(self) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        """For each shingle size and block the keys of the items, some bits turned, in order.
+        Made where it is used and not sent."""
+        out: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for size, by in self.groups.items():
-            which = np.array([k for ks in by.values() for k in ks], np.int64)
+            which = np.array([k for ks in by.values() for k in ks], np.int32)
             length = np.array([n for n, ks in by.items() for _ in ks], np.int64)
-            tables = []
-            for block in range(len(self.blocks)):
-                keys = self._key(self.fingerprints[which], length, block)
+            out[size] = []
+            for block, (_, width, bits) in enumerate(self.blocks):
+                turns = turned(width, max(0, bits - ASKED_BITS))
+                keys = (self._key(self.fingerprints[which], length, block)[:, None] ^ turns).ravel()
                 order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], which[order]))
-            self.index[size] = tables
+                out[size].append((keys[order], which[order // len(turns)]))
+        return out
 
     def _key(self, fingerprints: np.ndarray, lengths: np.ndarray, block: int) -> np.ndarray:
-        shift, width = self.blocks[block]
+        shift, width, _ = self.blocks[block]
         value = (fingerprints >> np.uint64(shift)) & np.uint64((1 << width) - 1)
         return (lengths << width) | value.astype(np.int64)
 
@@ -89,18 +106,26 @@ class Items:
         out[maybe] = vocabulary[at] == grams[maybe]
         return out
 
-    def candidates(self, fingerprints: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, items): windows and items of their length within the radius. Equality of
-        a block finds the pairs, the full distance confirms them; each pair comes once."""
-        found = []
-        for block, (keys, which) in enumerate(self.index[size]):
-            own = self._key(fingerprints, lengths, block)
+    def fetched(self, fingerprints: np.ndarray, lengths: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, items) that equal keys of a block fetch; pairs may come again."""
+        for (keys, which), block in zip(self.index[size], range(len(self.blocks)), strict=True):
+            _, width, bits = self.blocks[block]
+            turns = turned(width, min(bits, ASKED_BITS))
+            own = (self._key(fingerprints, lengths, block)[:, None] ^ turns).ravel()
             low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
             n = high - low
             at = np.repeat(np.arange(len(own)), n)
-            item = which[np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
-            near = np.bitwise_count(fingerprints[at] ^ self.fingerprints[item]) <= self.radius
-            found.append(at[near] * len(self.ids) + item[near])
+            yield at // len(turns), which[np.repeat(low, n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+
+    def candidates(self, fingerprints: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, items): windows and items of their length within the radius. Equality of
+        a block finds the pairs, the full distance confirms them; each pair comes once."""
+        found = [np.zeros(0, np.int64)]
+        for a in range(0, len(fingerprints), _ASKED):
+            some = fingerprints[a : a + _ASKED]
+            for at, item in self.fetched(some, lengths[a : a + _ASKED], size):
+                near = np.bitwise_count(some[at] ^ self.fingerprints[item]) <= self.radius
+                found.append(np.unique((a + at[near]) * len(self.ids) + item[near]))
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.ids), pairs % len(self.ids)
 
@@ -116,6 +141,13 @@ class Items:
         return float(both / (times.sum() + count.sum() - both))
 
 
+@functools.cache
+def turned(width: int, most: int) -> np.ndarray:
+    """Every value of ``width`` bits of which at most ``most`` are set."""
+    chosen = (bits for n in range(most + 1) for bits in itertools.combinations(range(width), n))
+    return np.array([sum(1 << b for b in bits) for bits in chosen], np.int64)
+
+
 def simhash(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """SimHash of the shingles between consecutive bounds (none empty)."""
     bits = np.unpackbits(_words.mix(grams).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

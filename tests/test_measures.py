@@ -41,6 +41,52 @@ def test_lag_is_found(spark):
     assert tracks.best_lag(tracks.lag_correlations(mix, track, ["rec"]), ["rec"]).first().lag == 7
 
 
+def _plain_linkage(points):
+    groups, out = {k: [k] for k in range(len(points))}, []
+    while len(groups) > 1:
+        mean = {k: points[m].mean(axis=0) for k, m in groups.items()}
+        apart, a, b = min((float(np.linalg.norm(mean[a] - mean[b])), a, b) for a in groups for b in groups if a < b)
+        groups[len(points) + len(out)] = groups.pop(a) + groups.pop(b)
+        out.append((a, b, apart, len(groups[len(points) + len(out)])))
+    return np.array(out)
+
+
+def test_linkage_and_wanted_number_match_a_plain_version():
+    rng = np.random.default_rng(3)
+    for _ in range(5):
+        points = rng.normal(size=(40, 5)) + 3 * rng.normal(size=(4, 5))[rng.integers(0, 4, 40)]
+        tree, plain = vectors.linkage(points), _plain_linkage(points)
+        assert np.allclose(tree, plain)
+        need, cut = 4, 2.0
+        for wanted in (2, 3, 5, 9, 30):
+            groups, large = {k: 1 for k in range(40)}, []
+            for k, (a, b, _, _) in enumerate(plain):
+                groups[40 + k] = groups.pop(int(a)) + groups.pop(int(b))
+                large.append(sum(v >= need for v in groups.values()))
+            best, off = 39, abs(1 - wanted)
+            for k in sorted(range(39), key=lambda k: abs(plain[k, 2] - cut)):
+                if plain[k, 3] >= need and abs(large[k] - wanted) < off:
+                    best, off = k + 1, abs(large[k] - wanted)
+            assert vectors.merges_for(tree, 40, need, wanted, cut) == best
+
+
+def test_speakers_of_a_known_number(spark):
+    rng = np.random.default_rng(2)
+    voices = np.eye(6)[:4]
+    rows = [(rec, k, [float(x) for x in voices[k % 4] + rng.normal(0, 0.05, 6)], 1.0 + (k % 4 == 2)) for rec in range(2) for k in range(80)]
+    df = spark.createDataFrame([*rows, (0, 99, None, 1.0)], "rec int, item int, vec array<double>, seconds double")
+    for n, want in ((None, 4), (1, 1), (2, 2), (4, 4), (6, 6)):
+        got = vectors.speakers(df, ["rec"], "item", n=n).collect()
+        assert len(got) == 160
+        for rec in range(2):
+            own = {r.item: r.speaker for r in got if r.rec == rec}
+            if n != 6:  # no sixth voice: as near as groups of a tenth allow
+                assert set(own.values()) == set(range(want))
+                assert all(own[k] == own[k % 4] for k in own)
+            assert own[2] == 0
+    assert vectors.speakers(df.where("false"), ["rec"], "item", n=2).count() == 0
+
+
 def test_refine_reads_an_own_input(spark):
     # speaker 0 alone on input 0, speaker 1 alone on input 1
     active = [(0, 0, i) for i in range(0, 300)] + [(0, 1, i) for i in range(400, 700)]

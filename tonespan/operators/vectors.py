@@ -7,7 +7,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonespan.functions.signal import cosine
@@ -53,7 +53,8 @@ def local_distances(rows: DataFrame, keys: Keys, item: str, vector: str = "vec",
 
 def linkage(points: np.ndarray) -> np.ndarray:
     """Centroid linkage: rows (left, right, distance, size), merged closest first. Squared
-    distances to a merged group follow from those to its parts."""
+    distances to a merged group follow from those to its parts; each row's least distance is
+    kept and read anew only where it led to a part."""
     n = len(points)
     square = (points * points).sum(axis=1)
     d = np.maximum(square[:, None] + square[None, :] - 2 * points @ points.T, 0)
@@ -73,10 +74,14 @@ def linkage(points: np.ndarray) -> np.ndarray:
         row = (size[i] * d[i] + size[j] * d[j]) / total - size[i] * size[j] * apart / total**2
         row[[i, j]] = np.inf
         row[np.isinf(d[i]) & np.isinf(d[j])] = np.inf
+        stale = np.isfinite(least) & ((least == d[i]) | (least == d[j]))
         d[i] = d[:, i] = np.maximum(row, 0)
         d[j] = d[:, j] = np.inf
         size[i], label[i] = total, n + step
-        least = d.min(axis=1)
+        least = np.minimum(least, d[i])
+        stale[i] = True
+        least[stale] = d[stale].min(axis=1)
+        least[j] = np.inf
     return out
 
 
@@ -98,16 +103,36 @@ def cut_tree(tree: np.ndarray, n: int, distance: float) -> np.ndarray:
     return out
 
 
-def group_vectors(points: np.ndarray, cut: float = CUT, smallest: int = SMALLEST) -> np.ndarray:
+def merges_for(tree: np.ndarray, n: int, need: int, wanted: int, cut: float) -> int:
+    """After how many merges the groups of at least ``need`` vectors are nearest in number to
+    ``wanted``. Only merges into such a group may be the last; of equally near numbers the
+    one whose last merge lies nearest to ``cut``; all merges if none is nearer than one group."""
+    size = np.concatenate((np.ones(n), tree[:, 3])) >= need
+    left, right = tree[:, 0].astype(int), tree[:, 1].astype(int)
+    large = size[:n].sum() + np.cumsum(size[n:].astype(int) - size[left] - size[right])
+    off = np.where(size[n:], np.abs(large - wanted), n + wanted)
+    best = np.lexsort((np.abs(tree[:, 2] - cut), off))[0]
+    return int(best) + 1 if off[best] < abs(1 - wanted) else n - 1
+
+
+def group_vectors(points: np.ndarray, cut: float = CUT, smallest: int = SMALLEST, wanted: int | None = None) -> np.ndarray:
     """Group of each vector: the tree cut at ``cut``; groups under ``smallest`` (at most a
-    tenth of all) join the nearest large one by cosine; numbers by first appearance."""
+    tenth of all) join the nearest large one by cosine; numbers by first appearance. If
+    ``wanted`` groups are asked for and the cut gives another number of large ones, the tree
+    is cut where their number is nearest to that."""
     n = len(points)
-    if n < 2:
+    if n < 2 or wanted == 1:
         return np.zeros(n, int)
     unit = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
-    found = cut_tree(linkage(unit), n, cut)
+    tree = linkage(unit)
+    found = cut_tree(tree, n, cut)
     need = min(smallest, max(1, round(0.1 * n)))
     count = np.bincount(found)
+    target = None if wanted is None else min(n, wanted)
+    if target is not None and (count >= need).sum() != target:
+        in_turn = np.column_stack((tree[:, :2], np.arange(1, n), tree[:, 3]))
+        found = cut_tree(in_turn, n, merges_for(tree, n, need, target, cut))
+        count = np.bincount(found)
     large = np.flatnonzero(count >= need)
     if not len(large):
         return np.zeros(n, int)
@@ -120,14 +145,15 @@ def group_vectors(points: np.ndarray, cut: float = CUT, smallest: int = SMALLEST
     return np.array([first.setdefault(int(g), len(first)) for g in goes[found]])
 
 
-def cluster(rows: DataFrame, keys: Keys, item: str, vector: str = "vec", cut: float = CUT, smallest: int = SMALLEST) -> DataFrame:
-    """(keys, item, cluster) of each recording's voiceprints. A recording is one group in
-    one task; its distance matrix takes 8 bytes for each pair of its voiceprints."""
+def cluster(rows: DataFrame, keys: Keys, item: str, vector: str = "vec", cut: float = CUT, smallest: int = SMALLEST, wanted: int | None = None) -> DataFrame:
+    """(keys, item, cluster) of each recording's voiceprints, as many groups as are ``wanted``
+    if that is given. A recording is one group in one task; its distance matrix takes 8 bytes
+    for each pair of its voiceprints."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(item)
         out = pdf[[*keys, item]].copy()
-        out["cluster"] = group_vectors(np.stack(pdf[vector].to_list()).astype(float), cut, smallest)
+        out["cluster"] = group_vectors(np.stack(pdf[vector].to_list()).astype(float), cut, smallest, wanted)
         return out
 
     kinds = dict(rows.dtypes)
@@ -135,6 +161,31 @@ def cluster(rows: DataFrame, keys: Keys, item: str, vector: str = "vec", cut: fl
     return rows.where(F.col(vector).isNotNull()).select(*keys, item, vector).groupBy(*keys).applyInPandas(run, schema)
 
 
+def speakers(rows: DataFrame, keys: Keys, item: str, vector: str = "vec", seconds: str = "seconds", n: int | None = None, cut: float = CUT) -> DataFrame:
+    """(keys, item, speaker): whose each voiceprint is, speaker 0 talks most (ties: the group
+    that appears first). ``seconds``: how long each one's turn is.
+
+    Voiceprints are grouped as if the number were unknown and groups become families. With
+    ``n`` speakers known, recordings with more families fold those that talk least; those
+    with fewer are grouped again, asked for ``n`` groups. Null vectors are left out.
+    """
+    voiced = rows.where(F.col(vector).isNotNull()).select(*keys, item, F.col(vector).alias("vec"), F.col(seconds).alias("seconds"))
+    if n == 1:
+        return voiced.select(*keys, item, F.lit(0).cast("long").alias("speaker"))
+    grouped = cluster(voiced, keys, item, cut=cut).withColumnRenamed("cluster", "speaker")
+    told = voiced.join(grouped, [*keys, item])
+    groups = told.groupBy(*keys, "speaker").agg(F.sum("seconds").alias("talk"), F.max("seconds").alias("longest")).join(centroids(told, [*keys, "speaker"]), [*keys, "speaker"])
+    label = relabel(groups, keys, "families" if n is None else "count", n or 0)
+    out = grouped.join(label, [*keys, "speaker"]).select(*keys, item, "label")
+    if n is not None:
+        short = label.groupBy(*keys).agg(F.count_distinct("label").alias("_found")).where(F.col("_found") < n).select(*keys)
+        again = cluster(voiced.join(short, keys, "left_semi"), keys, item, cut=cut, wanted=n)
+        out = out.join(short, keys, "left_anti").unionByName(again.withColumnRenamed("cluster", "label"))
+    talk = out.join(voiced.select(*keys, item, "seconds"), [*keys, item]).groupBy(*keys, "label").agg(F.sum("seconds").alias("_talk"))
+    rank = talk.withColumn("speaker", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_talk"), "label")).cast("long") - 1)
+    return out.join(rank, [*keys, "label"]).select(*keys, item, "speaker")
+
+
 class Group:
     """Talk and voice of a group while groups are merged."""
 
@@ -183,6 +234,18 @@ def family_of(groups: dict[int, Group], merge_from: float = FAMILY, min_turn: fl
     return {m: f for f, own in members.items() for m in own}
 
 
+def families(groups: dict[int, Group], label: dict[int, int]) -> dict[int, Group]:
+    """The families as groups: talk and talk-weighted voices added up."""
+    out = {}
+    for f in set(label.values()):
+        own = [groups[k] for k in sorted(groups) if label[k] == f]
+        voices = [g.sum for g in own if g.sum is not None]
+        out[f] = Group(sum(g.talk for g in own), max(g.longest for g in own), None)
+        if voices:
+            out[f].sum = np.sum(voices, axis=0)
+    return out
+
+
 def fold(groups: dict[int, Group], n: int) -> dict[int, int]:
     """Who each group ends up as when, until ``n`` are left, the one that talks least goes
     to whoever it sounds most like."""
@@ -203,12 +266,16 @@ def fold(groups: dict[int, Group], n: int) -> dict[int, int]:
 
 
 def relabel(groups: DataFrame, keys: Keys, how: str, n: int = 2) -> DataFrame:
-    """(keys, speaker, label): ``how`` is "families" or "fold". ``groups``: (keys, speaker,
-    talk, longest, vec), one row each; a recording's groups fit one task."""
+    """(keys, speaker, label): ``how`` is "families", "fold" to ``n``, or "count": families,
+    folded to ``n`` where they are more. ``groups``: (keys, speaker, talk, longest, vec), one
+    row each; a recording's groups fit one task."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = {int(r.speaker): Group(r.talk, r.longest, None if r.vec is None else np.asarray(r.vec, float)) for r in pdf.itertuples()}
-        label = family_of(made) if how == "families" else fold(made, n)
+        label = fold(made, n) if how == "fold" else family_of(made)
+        if how == "count":
+            folded = fold(families(made, label), n)
+            label = {k: folded[f] for k, f in label.items()}
         out = pdf[[*keys, "speaker"]].copy()
         out["label"] = [label[int(k)] for k in out["speaker"]]
         return out

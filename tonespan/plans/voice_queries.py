@@ -146,6 +146,11 @@ def q45_fold_to_n(spark, sf_dir):
     return vectors.relabel(_voices(spark, sf_dir), REC, "fold", 3)
 
 
+@query()
+def q70_speakers_of_known_number(spark, sf_dir):
+    return vectors.speakers(_recorded(spark, sf_dir).withColumn("seconds", F.col("vec_id") % 17 / 10.0), REC, "vec_id", n=3, cut=1.2)
+
+
 @query()
 def q46_stable_ids(spark, sf_dir):
     old = inputs.turns(spark, sf_dir).select("rec", F.col("speaker").alias("old"), "start", "end")

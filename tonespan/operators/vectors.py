@@ -53,8 +53,8 @@ def local_distances(rows: DataFrame, keys: Keys, item: str, vector: str = "vec",
 
 def linkage(points: np.ndarray) -> np.ndarray:
     """Centroid linkage: rows (left, right, distance, size), merged closest first. Squared
-    distances to a merged group follow from those to its parts; each row's least distance is
-    kept and read anew only where it led to a part."""
+    distances to a merged group follow from those to its parts. Each row's least distance is
+    kept as a lower bound and read anew only when its turn comes."""
     n = len(points)
     square = (points * points).sum(axis=1)
     d = np.maximum(square[:, None] + square[None, :] - 2 * points @ points.T, 0)
@@ -64,8 +64,12 @@ def linkage(points: np.ndarray) -> np.ndarray:
     least = d.min(axis=1)
     out = np.zeros((max(0, n - 1), 4))
     for step in range(n - 1):
-        i = int(least.argmin())
-        j = int(d[i].argmin())
+        while True:
+            i = int(least.argmin())
+            j = int(d[i].argmin())
+            if d[i, j] <= least[i]:
+                break
+            least[i] = d[i, j]
         i, j = min(i, j), max(i, j)
         apart = d[i, j]
         a, b = sorted((label[i], label[j]))
@@ -74,14 +78,11 @@ def linkage(points: np.ndarray) -> np.ndarray:
         row = (size[i] * d[i] + size[j] * d[j]) / total - size[i] * size[j] * apart / total**2
         row[[i, j]] = np.inf
         row[np.isinf(d[i]) & np.isinf(d[j])] = np.inf
-        stale = np.isfinite(least) & ((least == d[i]) | (least == d[j]))
         d[i] = d[:, i] = np.maximum(row, 0)
         d[j] = d[:, j] = np.inf
         size[i], label[i] = total, n + step
         least = np.minimum(least, d[i])
-        stale[i] = True
-        least[stale] = d[stale].min(axis=1)
-        least[j] = np.inf
+        least[i], least[j] = d[i].min(), np.inf
     return out
 
 

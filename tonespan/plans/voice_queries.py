@@ -324,6 +324,13 @@ def q66_input_stats(spark, sf_dir):
     return live.input_stats(inputs.events(spark, sf_dir).select("rec", (F.col("value") - 20).alias("v")), REC, "v")
 
 
+@query(sql(""", si AS (SELECT rec % 8 AS room, rec, min(t) AS fi, max(t) AS la, max(CASE WHEN value > 20 THEN t END) AS so FROM ev GROUP BY ALL), sn AS (SELECT *, max(la) OVER (PARTITION BY room) AS n FROM si)
+SELECT room, rec, CASE WHEN n - la >= 86400 THEN 'none' ELSE 'zeros' END AS kind, CAST(floor(CASE WHEN n - la >= 86400 THEN n - la ELSE n - coalesce(so, fi) END + 0.5) AS BIGINT) AS seconds FROM sn WHERE n - la >= 86400 OR n - coalesce(so, fi) >= 86400""", "ev"))
+def q71_silent_inputs(spark, sf_dir):
+    rows = inputs.events(spark, sf_dir).select((F.col("rec") % 8).alias("room"), "rec", "t", F.greatest(F.col("value") - 20, F.lit(0.0)).alias("v"))
+    return live.silent_inputs(rows, ["room"], "rec", "t", "v", after=86_400.0)
+
+
 @query(sql(""", bl AS (SELECT rec, t AS a, value * 100 AS n FROM ev), pl AS (SELECT *, max(a + n) OVER (PARTITION BY rec ORDER BY a, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS re FROM bl),
 p2 AS (SELECT *, coalesce(CASE WHEN a - re <= 60 THEN greatest(re, a - 60) ELSE a END, a) AS s FROM pl)
 SELECT rec, round(a, 6) AS "at", round(s, 6) AS start, round(greatest(s, a + n), 6) AS "end", round(greatest(0.0, least(n, coalesce(re - a, 0.0))), 6) AS trimmed, coalesce(a + n <= re, false) AS late FROM p2""", "ev"))

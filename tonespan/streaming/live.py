@@ -159,3 +159,17 @@ def input_stats(blocks: DataFrame, keys: Keys, value: str) -> DataFrame:
     """Counters of an input: blocks, peak, how many carry sound, how many are zero."""
     v = F.abs(F.col(value))
     return blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.max(v).alias("peak"), F.count_if(v > 0).alias("sound"), F.count_if(v == 0).alias("zeros"))
+
+
+def silent_inputs(blocks: DataFrame, keys: Keys, source: str, time: str, value: str, after: float = 3.0) -> DataFrame:
+    """(keys, source, kind, seconds) of the inputs silent for ``after`` seconds or more at the
+    session's last arrival: "none" if nothing arrives, "zeros" if only silence does. An input
+    that never had sound is silent from its first block on; whole seconds, halves up."""
+    t = F.col(time)
+    last = blocks.groupBy(*keys, source).agg(F.min(t).alias("_first"), F.max(t).alias("_arrived"), F.max(F.when(F.col(value) != 0, t)).alias("_sound"))
+    clock = last.groupBy(*keys).agg(F.max("_arrived").alias("_now"))
+    none = F.col("_now") - F.col("_arrived")
+    quiet = F.col("_now") - F.coalesce("_sound", "_first")
+    told = last.join(clock, keys).withColumn("kind", F.when(none >= after, "none").when(quiet >= after, "zeros"))
+    lasting = F.when(F.col("kind") == "none", none).otherwise(quiet)
+    return told.where("kind is not null").select(*keys, source, "kind", F.floor(lasting + 0.5).cast("long").alias("seconds"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, html, katz, language, packing, quality, simhash, substring, tools, urls
+from tonespan.llm import decontaminate, divergence, html, katz, language, packing, quality, simhash, substring, tools, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -93,3 +93,12 @@ def op3_tool_call_linking(spark, sf_dir):
 
 
 ORACLE_SQL["op3_tool_call_linking"] = tools.oracle()
+
+
+@query
+def op11_source_divergence(spark, sf_dir):
+    """How far each source differs from the others of its language, and in which terms."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_divergence"] = divergence.oracle()

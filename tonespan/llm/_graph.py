@@ -55,13 +55,28 @@ def _pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, n
             yield left, right
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], link: Callable) -> Iterator[pa.RecordBatch]:
+def _stars(starts: np.ndarray, ends: np.ndarray, test: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each group's first member, and whether they join the whole group."""
+    size = ends - starts
+    left = np.repeat(starts, size - 1)
+    right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1)
+    hit = test(left, right) if len(left) else np.zeros(0, bool)
+    linked = np.bincount(np.repeat(np.arange(len(starts)), size - 1), weights=hit, minlength=len(starts))
+    return left[hit], right[hit], linked == size - 1
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], link: Callable, stars: bool) -> Iterator[pa.RecordBatch]:
     def done(table: pa.Table, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1)) if len(keys) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(keys)) if len(keys) else starts
         many = ends - starts > 1
         nodes = table.column("node").to_numpy()
         test = link(table)
+        if stars and many.any():
+            left, right, whole = _stars(starts[many], ends[many], test)
+            if len(left):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[left], pa.int64()), pa.array(nodes[right], pa.int64())], ["a", "b"])
+            many[np.flatnonzero(many)[whole]] = False
         for left, right in _pairs(starts[many], ends[many]):
             hit = test(left, right)
             a, b = spanning(nodes[left[hit]], nodes[right[hit]])
@@ -104,8 +119,14 @@ def bucket_edges(index: DataFrame, link: Callable, block: int = BLOCK) -> DataFr
     ``index``: key long, node long and what ``link`` reads. ``link(table)`` returns a
     function of two arrays of row numbers that says which of the pairs are linked.
     """
-    pieces = shared_keys(index, block).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return pieces.mapInArrow(lambda batches: _link_batches(batches, link), "a long, b long").distinct()
+    return piece_edges(shared_keys(index, block), link)
+
+
+def piece_edges(pieces: DataFrame, link: Callable, stars: bool = False) -> DataFrame:
+    """The same of rows that ``shared_keys`` has dealt into pieces. ``stars``: a piece whose
+    first row is linked to all others needs no other pairs."""
+    dealt = pieces.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(lambda batches: _link_batches(batches, link, stars), "a long, b long").distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tonespan.llm import decontaminate, divergence, html, katz, language, packing, quality, simhash, substring, tools, urls
+from tonespan.llm import decontaminate, divergence, fingerprints, html, katz, language, packing, quality, simhash, spelling, substring, tools, urls
 from tonespan.llm._tables import table
 
 QUERIES: dict = {}
@@ -102,3 +102,17 @@ def op11_source_divergence(spark, sf_dir):
 
 
 ORACLE_SQL["op11_source_divergence"] = divergence.oracle()
+
+
+@query
+def op12_document_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited text, their likeness, and the least
+    fingerprint of those that are near."""
+    found = fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return found.join(fingerprints.near_groups(found), "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group")
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    """Words, their near words and the forms that they vary."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))

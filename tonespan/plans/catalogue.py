@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tonespan.plans import level_queries, span_queries, voice_queries
+from tonespan.plans import level_queries, live_queries, span_queries, voice_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (span_queries, level_queries, voice_queries):
+for _part in (span_queries, level_queries, voice_queries, live_queries):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
 

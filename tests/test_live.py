@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonespan.operators import features, halo
-from tonespan.streaming import aligned, overlay
+from tonespan.streaming import aligned, confirm, live, overlay, regroup
 
 CHUNK = "rec string, inputs int, source int, at long, pcm array<double>, arrived long, ended boolean"
 CLOCK = aligned.Clock(rate=160)
@@ -194,3 +194,133 @@ def test_windows_cover_all_and_give_each_moment_once(series, per):
     once = got.select("rec", "window", "heard", F.posexplode("pcm").alias("p", "v")).where("p < heard").withColumn("i", F.col("window") * 10 + F.col("p"))
     kept = once.where(halo.newest(F.col("window"), F.col("i"), 10, per * 10)).groupBy("rec").agg(F.count("i").alias("n"), F.countDistinct("i").alias("d")).collect()
     assert {(r.rec, r.n, r.d) for r in kept} == {(0, 95, 95), (1, 47, 47)}
+
+
+# confirmation, back-fill, regrouping
+
+
+def voices(rng, rounds=14):
+    """(rec, round, speaker, talk, longest, first, own): voices grow, fade and come back."""
+    rows = []
+    for rec in range(4):
+        for r in range(rounds):
+            for k in range(5):
+                talk = max(0.0, (r + 1) * rng.choice([0.02, 0.1, 0.6, 3.0]) * (0.1 if k == 3 and 5 < r < 11 else 1))
+                if rng.random() < 0.8:
+                    rows.append((rec, r, k, talk, min(talk, rng.choice([0.5, 0.9, 2.0])), k * 1.5, k == 4 and rec % 2 == 0))
+    return rows
+
+
+ROUND = "rec int, round int, speaker long, talk double, longest double, first double, own boolean"
+
+
+def test_confirmed_speakers_in_batch_and_stream(spark, tmp_path):
+    rows = voices(random.Random(8))
+    got = sorted(map(tuple, confirm.confirmed(spark.createDataFrame(rows, ROUND), ["rec"]).collect()))
+    for rec in range(4):
+        one, want = confirm.Confirmation(), []
+        for r in sorted({x[1] for x in rows if x[0] == rec}):
+            want += [(rec, r, *v) for v in one.round([x[2:] for x in rows if x[:2] == (rec, r)])]
+        assert [g for g in got if g[0] == rec] == sorted(want)
+    for k, some in enumerate([range(0, 1), range(1, 6), range(6, 14)]):
+        spark.createDataFrame([r for r in rows if r[1] in some], ROUND).coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
+        time.sleep(0.02)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(ROUND).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = confirm.confirmed_stream(stream, "rec").writeStream.format("memory").queryName("confirmed").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+    finally:
+        spark.conf.set(provider, before)
+    assert sorted(map(tuple, spark.table("confirmed").collect())) == got
+
+
+def test_a_voice_is_confirmed_and_dropped():
+    one = confirm.Confirmation()
+    main = (0, 50.0, 5.0, 0.0, False)
+    assert one.round([main]) == [(0, 0, 0)]  # the first needs one round
+    assert one.round([main, (1, 3.0, 1.0, 4.0, False)]) == [(0, 0, 0)]
+    assert one.round([main, (1, 3.0, 1.0, 4.0, False)]) == [(0, 0, 0), (1, 1, 1)]
+    assert one.round([main, (1, 3.0, 1.0, 4.0, False), (2, 0.1, 0.9, 9.0, True)])[-1] == (2, 2, 2)  # an input of their own
+    weak = [main, (1, 0.5, 0.5, 4.0, False), (2, 0.1, 0.9, 9.0, True)]
+    assert one.round(weak) == [(0, 0, 0), (1, 1, 1), (2, 2, 2)]
+    assert one.round(weak) == [(0, 0, 0), (2, 2, 1)]  # dropped, and the gap in the numbers closed
+    strong = [main, (1, 9.0, 2.0, 4.0, False), (2, 0.1, 0.9, 9.0, True)]
+    assert one.round(strong) == [(0, 0, 0), (2, 2, 1), (1, 3, 2)]
+
+
+def test_backlog_goes_oldest_first_two_at_a_time(spark):
+    rows = [(0, c, c in (2, 3, 4, 7, 9, 10)) for c in range(12)] + [(1, 0, True), (2, 5, False)]
+    df = spark.createDataFrame(rows, "rec int, chunk long, lacks boolean")
+    got = sorted(map(tuple, confirm.backlog(df, ["rec"], F.col("lacks")).collect()))
+    assert got == [(0, 2, 0), (0, 3, 0), (0, 4, 1), (0, 7, 2), (0, 9, 3), (0, 10, 3), (1, 0, 0)]
+
+
+def test_solo_speaker(spark):
+    grouped = spark.createDataFrame([(0, 0.0, 5.0, 3), (0, 6.0, 8.0, 1), (0, 9.0, 12.0, 1)], "rec int, start double, end double, speaker int")
+    known = spark.createDataFrame([(0, 3), (0, 1), (1, 4), (2, None)], "rec int, speaker int")
+    assert sorted(map(tuple, confirm.solo(grouped, ["rec"], known).collect())) == [(0, 1), (1, 5), (2, 0)]
+
+
+def test_regroupings_are_whole_spaced_and_final(spark, tmp_path):
+    now, runs = [0.0], []
+
+    def group(seen):
+        runs.append(now[0])
+        now[0] += 6.0  # how long a regrouping takes
+        return seen.groupBy("v").count()
+
+    one = regroup.Regrouper(str(tmp_path / "out"), group, lambda seen: float(seen.count()), clock=lambda: now[0])
+
+    def add(number, gap):
+        now[0] += gap
+        one.batch(spark.createDataFrame([(number, number % 2)], "id long, v long"), number)
+        return {r.v: r["count"] for r in regroup.current(spark, str(tmp_path / "out")).collect()}
+
+    assert add(0, 0) == {0: 1}
+    assert add(1, 3) == {0: 1} and add(2, 2.9) == {0: 1}  # not before as long as it took
+    before = regroup.current(spark, str(tmp_path / "out"))
+    assert add(3, 0.2) == {0: 2, 1: 2} and regroup.state(spark, str(tmp_path / "out"))["until"] == 4.0
+    assert before.count() == 1  # who reads the version before still can
+    one.ask()
+    assert add(3, 0) == {0: 2, 1: 2}  # a repeated batch replaces itself
+    add(4, 1)
+    for number in range(5, 7):
+        spark.createDataFrame([(number, 0)], "id long, v long").coalesce(1).write.parquet(str(tmp_path / f"in/{number}"))
+    stream = spark.readStream.schema("id long, v long").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    other = regroup.Regrouper(str(tmp_path / "out2"), group, lambda seen: float(seen.count()), clock=lambda: now[0])
+    other.finish(other.start(stream, str(tmp_path / "check")))
+    assert {r.v: r["count"] for r in regroup.current(spark, str(tmp_path / "out2")).collect()} == {0: 2}
+    assert sorted(p.name for p in (tmp_path / "out/labels").iterdir()) == ["version=1", "version=2"]
+
+
+def test_levels_of_a_stream_equal_the_whole(spark, tmp_path):
+    x = np.random.default_rng(5).normal(0, 0.2, 1037)
+    cuts = [0, 3, 10, 11, 250, 251, 999, 1037]
+    schema = "rec string, k long, pcm array<double>"
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        spark.createDataFrame([("r", k, x[a:b].tolist())], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        time.sleep(0.02)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    query = live.hop_levels(stream, "rec", "k", "pcm", 20).writeStream.format("memory").queryName("hops").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert query.awaitTermination(300)
+    got = {r.i: r.db for r in spark.table("hops").collect()}
+    want = [20 * np.log10(np.sqrt((x[k * 20 : k * 20 + 20] ** 2).mean())) for k in range(51)]
+    assert sorted(got) == list(range(51)) and np.allclose([got[k] for k in range(51)], want)
+
+
+def test_frames_of_a_home_input_or_primary_ones(spark):
+    rows = [(0, t, s, v) for t, loud in ((0.0, (0.5, 0.9)), (0.1, (0.7, 0.7)), (0.2, (None, float("nan"))), (0.3, (float("nan"), 0.1))) for s, v in enumerate(loud)]
+    frames = live.primary(spark.createDataFrame(rows, "rec int, t double, src int, loudness double"), ["rec"])
+    assert sorted((r.t, r.src) for r in frames.where("prim").collect()) == [(0.0, 1), (0.1, 0), (0.2, 0), (0.3, 1)]
+    homes = spark.createDataFrame([(0, "a", 0), (0, "b", None)], "rec int, speaker string, home int")
+    got = live.frames_of(frames, homes, ["rec"]).collect()
+    assert sorted((r.t, r.src) for r in got if r.speaker == "a") == [(0.0, 0), (0.1, 0), (0.2, 0), (0.3, 0)]
+    assert sorted((r.t, r.src) for r in got if r.speaker == "b") == [(0.0, 1), (0.1, 0), (0.2, 0), (0.3, 1)]
+
+
+def test_recordings_that_cannot_be_analysed(spark):
+    df = spark.createDataFrame([(0, 0.99, None), (1, 1.0, 20), (2, 5.0, 21), (3, 5.0, 0), (4, None, 2)], "rec int, duration double, num_speakers int")
+    assert {r.rec: r.error for r in live.checked(df).collect()} == {0: "shorter than 1 s", 1: None, 2: "the number of speakers is from 1 to 20", 3: "the number of speakers is from 1 to 20", 4: "shorter than 1 s"}

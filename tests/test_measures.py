@@ -171,14 +171,6 @@ def test_stream_labels_equal_batch(spark, tmp_path):
     assert set(batch.values()) == {0, 1, 2}
 
 
-def test_regroup_replaces_labels(spark, tmp_path):
-    spark.range(10).withColumn("v", F.col("id") % 2).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("id long, v long").parquet(str(tmp_path / "in"))
-    query = live.regroup(stream, str(tmp_path / "out"), lambda df: df.groupBy("v").count(), str(tmp_path / "check"))
-    assert query.awaitTermination(120)
-    assert {r.v: r["count"] for r in spark.read.parquet(str(tmp_path / "out/labels")).collect()} == {0: 5, 1: 5}
-
-
 def test_confirmation_needs_two_rounds(spark):
     rows = [(0, 0, 5, 3.0, 1.0, 0.0, False), (0, 0, 6, 3.0, 1.0, 1.0, False), (0, 1, 5, 5.0, 1.0, 0.0, False), (0, 1, 6, 4.0, 1.0, 1.0, False), (0, 1, 7, 9.0, 2.0, 2.0, True)]
     df = spark.createDataFrame(rows, "rec int, round int, speaker int, talk double, longest double, first double, own boolean")

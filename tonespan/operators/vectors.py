@@ -215,23 +215,35 @@ def family_of(groups: dict[int, Group], merge_from: float = FAMILY, min_turn: fl
         to = _most(voiced, lambda b: float(groups[k].unit @ groups[b].unit)) if voiced else _most(base, lambda b: groups[b].talk)
         members[to].append(k)
 
-    def likeness(f: int, g: int) -> float:
-        # the mean over pairs, weighted by both talks, is a product of sums
-        a = [groups[k] for k in members[f] if groups[k].sum is not None]
-        b = [groups[k] for k in members[g] if groups[k].sum is not None]
-        weight = sum(x.talk for x in a) * sum(x.talk for x in b)
-        return float(sum(x.sum for x in a) @ sum(x.sum for x in b)) / weight if weight > 0 else -math.inf
-
-    while len(members) > 1:
-        names = sorted(members)
-        scored = [(likeness(p, q), -p, -q) for i, p in enumerate(names) for q in names[i + 1 :]]
-        like, f, g = max(scored)
-        if like < merge_from:
+    # the mean over pairs, weighted by both talks, is a product of sums, and sums add up
+    names = sorted(members)
+    voiced = [[groups[k] for k in members[f] if groups[k].sum is not None] for f in names]
+    size = max((len(g.sum) for own in voiced for g in own), default=0)
+    voice = np.stack([np.sum([g.sum for g in own], axis=0) if own else np.zeros(size) for own in voiced])
+    weight = np.array([sum(g.talk for g in own) for own in voiced])
+    talk = np.array([sum(groups[k].talk for k in members[f]) for f in names])
+
+    def row(i: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = voice @ voice[i] / (weight * weight[i])
+        found[(weight * weight[i] <= 0) | (np.arange(len(names)) == i)] = -math.inf
+        found[gone] = -math.inf
+        return found
+
+    gone = np.zeros(len(names), bool)
+    like = np.stack([row(i) for i in range(len(names))])
+    while (~gone).sum() > 1:
+        # of equal pairs the first in order
+        f, g = sorted(np.unravel_index(int(like.argmax()), like.shape))
+        if like[f, g] < merge_from:
             break
-        f, g = -f, -g
-        talk = {k: sum(groups[m].talk for m in members[k]) for k in (f, g)}
         big, small = (f, g) if talk[f] >= talk[g] else (g, f)
-        members[big] += members.pop(small)
+        members[names[big]] += members.pop(names[small])
+        for total in (voice, weight, talk):
+            total[big] += total[small]
+        gone[small] = True
+        like[small] = like[:, small] = -math.inf
+        like[big] = like[:, big] = row(big)
     return {m: f for f, own in members.items() for m in own}
 
 
@@ -266,13 +278,17 @@ def fold(groups: dict[int, Group], n: int) -> dict[int, int]:
     return into
 
 
-def relabel(groups: DataFrame, keys: Keys, how: str, n: int = 2) -> DataFrame:
+def relabel(groups: DataFrame, keys: Keys, how: str, n: int = 2, summed: bool = False) -> DataFrame:
     """(keys, speaker, label): ``how`` is "families", "fold" to ``n``, or "count": families,
     folded to ``n`` where they are more. ``groups``: (keys, speaker, talk, longest, vec), one
-    row each; a recording's groups fit one task."""
+    row each; a recording's groups fit one task. ``summed``: vectors are already weighted by
+    talk and added up."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         made = {int(r.speaker): Group(r.talk, r.longest, None if r.vec is None else np.asarray(r.vec, float)) for r in pdf.itertuples()}
+        for r in pdf.itertuples():
+            if summed and made[int(r.speaker)].sum is not None:
+                made[int(r.speaker)].sum = np.asarray(r.vec, float)
         label = fold(made, n) if how == "fold" else family_of(made)
         if how == "count":
             folded = fold(families(made, label), n)

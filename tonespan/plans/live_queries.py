@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tonespan.operators import features, halo
+from tonespan.operators import diarize, features, halo, vectors
+from tonespan.operators.lineage import cut
 from tonespan.plans import inputs
 from tonespan.plans.inputs import sql
-from tonespan.streaming import aligned, overlay
+from tonespan.streaming import aligned, confirm, live, overlay
 
 REC = ["rec"]
 QUERIES, ORACLE_SQL = {}, {}
@@ -181,3 +182,94 @@ def s16_newest_step(spark, sf_dir):
     samples = found.select("rec", "window", "heard", F.posexplode("pcm").alias("p", "x")).where("p < heard")
     at = F.col("window") * SIZE + F.col("p")
     return samples.where(halo.newest(F.col("window"), at, SIZE, SIZE * 10)).select("rec", at.alias("i"), "window", F.round("x", 6).alias("x"))
+
+
+# confirmation, back-fill, frames of inputs
+
+
+def _rounds(spark, sf_dir):
+    """Four-day rounds of every recording: talk so far in minutes, the longest turn."""
+    t = inputs.turns(spark, sf_dir).select("rec", "speaker", "start", F.floor(F.col("start") / 345_600).cast("int").alias("round"), (F.col("end") - F.col("start")).alias("n"))
+    every = t.select("rec", "round").distinct().withColumnRenamed("round", "now")
+    grown = every.join(t, "rec").where("round <= now and round > now - 3")
+    found = grown.groupBy("rec", "now", "speaker").agg((F.sum("n") / 10_000).alias("talk"), (F.max("n") / 20_000).alias("longest"), F.min("start").alias("first"))
+    return found.select("rec", F.col("now").alias("round"), "speaker", "talk", "longest", "first", ((F.col("speaker") == "signup") & (F.col("rec") % 5 == 0)).alias("own"))
+
+
+@query(_recursive(sql(""", tr AS (SELECT rec, speaker, s, CAST(floor(s / 345600) AS INT) AS round, e - s AS n FROM turns),
+ev2 AS (SELECT DISTINCT rec, round FROM tr),
+vo AS (SELECT ev2.rec, ev2.round, tr.speaker, sum(n) / 10000 AS talk, max(n) / 20000 AS longest, min(s) AS first, tr.speaker = 'signup' AND ev2.rec % 5 = 0 AS own FROM ev2 JOIN tr ON tr.rec = ev2.rec AND tr.round <= ev2.round AND tr.round > ev2.round - 3 GROUP BY ev2.rec, ev2.round, tr.speaker),
+ri AS (SELECT rec, round, row_number() OVER (PARTITION BY rec ORDER BY round) AS i FROM ev2),
+vi AS (SELECT vo.*, ri.i FROM vo JOIN ri ON ri.rec = vo.rec AND ri.round = vo.round),
+st AS (SELECT rec, CAST(0 AS BIGINT) AS i, speaker, CAST(0 AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS ord, CAST(0 AS BIGINT) AS weak, CAST(0 AS BIGINT) AS nxt FROM (SELECT DISTINCT rec, speaker FROM vo)
+UNION ALL SELECT rec, i, speaker, seen, CASE WHEN new THEN nxt + row_number() OVER (PARTITION BY rec, new ORDER BY first, speaker) - 1 ELSE ord END, weak, nxt + count(*) FILTER (WHERE new) OVER (PARTITION BY rec)
+FROM (SELECT *, cand AND (strict OR (NOT anyone AND loose AND row_number() OVER (PARTITION BY rec, cand AND loose ORDER BY first, speaker) = 1)) AS new
+FROM (SELECT *, coalesce(bool_or(present AND ord IS NOT NULL) OVER (PARTITION BY rec), false) AS anyone, present AND ord IS NULL AND longest >= 0.8 AS cand, own OR talk >= 2 AS loose, own OR (talk >= 2 AND talk >= 0.05 * total AND seen >= 2) AS strict
+FROM (SELECT rec, i, speaker, seen, CASE WHEN gone THEN NULL ELSE ord END AS ord, CASE WHEN gone THEN 0 ELSE weak END AS weak, nxt, talk, longest, first, own, present, total
+FROM (SELECT *, ord IS NOT NULL AND weak >= 2 AS gone
+FROM (SELECT rec, i, speaker, CASE WHEN present THEN seen + 1 ELSE 0 END AS seen, ord, CASE WHEN ord IS NULL OR own OR most OR (talk >= 3 AND talk >= 0.03 * total) THEN 0 ELSE weak + 1 END AS weak, nxt, talk, longest, first, own, present, total
+FROM (SELECT st.rec, ri.i, st.speaker, st.seen, st.ord, st.weak, st.nxt, coalesce(v.talk, 0) AS talk, coalesce(v.longest, 0) AS longest, v.first, coalesce(v.own, false) AS own, v.speaker IS NOT NULL AS present, sum(coalesce(v.talk, 0)) OVER (PARTITION BY st.rec) AS total,
+v.speaker IS NOT NULL AND row_number() OVER (PARTITION BY st.rec ORDER BY v.talk DESC NULLS LAST, v.first, st.speaker) = 1 AS most
+FROM st JOIN ri ON ri.rec = st.rec AND ri.i = st.i + 1 LEFT JOIN vi v ON v.rec = st.rec AND v.i = ri.i AND v.speaker = st.speaker))))))
+)
+SELECT st.rec, ri.round, st.speaker, CAST(ord AS INT) AS "order", CAST(row_number() OVER (PARTITION BY st.rec, st.i ORDER BY ord) - 1 AS INT) AS number FROM st JOIN ri ON ri.rec = st.rec AND ri.i = st.i WHERE ord IS NOT NULL""", "turns")))
+def s17_confirmed_speakers(spark, sf_dir):
+    """Who counts after each round; the state runs through a recording's rounds."""
+    return confirm.confirmed(_rounds(spark, sf_dir), REC)
+
+
+@query(sql(""", ck AS (SELECT DISTINCT rec, CAST(floor(t / 86400) AS BIGINT) AS chunk FROM ev WHERE speaker <> 'error'),
+rn AS (SELECT *, chunk - row_number() OVER (PARTITION BY rec ORDER BY chunk) AS run FROM ck),
+ps AS (SELECT *, row_number() OVER (PARTITION BY rec, run ORDER BY chunk) - 1 AS p FROM rn)
+SELECT rec, chunk, CAST(sum(CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY rec ORDER BY chunk) - 1 AS INT) AS turn FROM ps""", "ev"))
+def s18_backlog(spark, sf_dir):
+    rows = inputs.events(spark, sf_dir).select("rec", F.floor(F.col("t") / 86_400).alias("chunk"), "speaker")
+    return confirm.backlog(rows, REC, F.col("speaker") != "error")
+
+
+@query(sql(""", fq AS (SELECT rec, round(t / 43200) AS q, src, max(loudness) AS loudness FROM fr GROUP BY ALL),
+bs AS (SELECT *, row_number() OVER (PARTITION BY rec, q ORDER BY loudness DESC, src) = 1 AS prim FROM fq)
+SELECT rec, CAST(q AS DOUBLE) AS t, src, loudness, who AS speaker FROM bs CROSS JOIN (SELECT unnest(['home', 'none']) AS who) w WHERE CASE WHEN who = 'home' THEN src = rec % 3 ELSE prim END""", "fr"))
+def s19_speaker_frames(spark, sf_dir):
+    rows = inputs.frames(spark, sf_dir).groupBy("rec", F.round(F.col("t") / 43_200).alias("t"), "src").agg(F.max("loudness").alias("loudness"))
+    recs = rows.select("rec").distinct()
+    homes = recs.select("rec", F.lit("home").alias("speaker"), (F.col("rec") % 3).cast("int").alias("home")).unionByName(recs.select("rec", F.lit("none").alias("speaker"), F.lit(None).cast("int").alias("home")))
+    return live.frames_of(live.primary(rows, REC), homes, REC).select("rec", "t", "src", "loudness", "speaker")
+
+
+# stored windows: sixteen frames, three local speakers, voices from the vectors
+
+SHAPE = diarize.Shape(frames=16, window=8.0, step=2.0, frame_step=0.5, frame_duration=0.2)
+
+
+def prepared(spark, sf_dir):
+    """A recording of forty windows; which frames are active comes from the line items."""
+    rows = inputs.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("w"), (F.col("l_suppkey") % 3).alias("local"), (F.col("l_partkey") % 16).alias("frame"), F.col("l_discount").alias("score"))
+    mean = rows.groupBy("w", "local", "frame").agg((F.avg("score") > 0.05).alias("on"))
+    marks = mean.groupBy("w", "local").agg(F.map_from_entries(F.collect_list(F.struct(F.col("frame").cast("int"), "on"))).alias("m"))
+    active = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(False)))
+    vecs = inputs.voiceprints(spark, sf_dir).where("vec is not null").withColumn("w", F.col("chunk") % 97)
+    told = vecs.join(marks.select("w", "local", active.alias("active")), ["w", "local"])
+    found = told.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("local", "active", "vec"))).alias("x")).where(F.size("x") == 3)
+    return found.select(F.expr("chunk div 40").alias("rec"), (F.col("chunk") % 40).alias("chunk"), F.transform("x", lambda x: x["active"]).alias("active"), F.transform("x", lambda x: x["vec"]).alias("vecs"))
+
+
+@query(sql(""", mn AS (SELECT l_orderkey % 97 AS w, l_suppkey % 3 AS local, l_partkey % 16 AS frame, avg(l_discount) > 0.05 AS on_ FROM lineitem GROUP BY ALL),
+ac AS (SELECT w.w, l.local, f.frame, coalesce(mn.on_, false) AS on_ FROM (SELECT DISTINCT w FROM mn) w CROSS JOIN (SELECT unnest(range(3)) AS local) l CROSS JOIN (SELECT unnest(range(16)) AS frame) f LEFT JOIN mn ON mn.w = w.w AND mn.local = l.local AND mn.frame = f.frame),
+tg AS (SELECT w, frame, count(*) FILTER (WHERE on_) AS n FROM ac GROUP BY w, frame),
+cl AS (SELECT ac.w, local, count(*) FILTER (WHERE on_) AS act, count(*) FILTER (WHERE on_ AND n < 2) AS clean FROM ac JOIN tg ON tg.w = ac.w AND tg.frame = ac.frame GROUP BY ac.w, local),
+wi AS (SELECT chunk FROM (SELECT chunk, local FROM vp WHERE vec IS NOT NULL) x JOIN (SELECT DISTINCT w, local FROM mn) y ON y.w = x.chunk % 97 AND y.local = x.local GROUP BY chunk HAVING count(*) = 3)
+SELECT wi.chunk // 40 AS rec, wi.chunk % 40 AS chunk, CAST(cl.local AS INT) AS local, CAST(CASE WHEN clean > 2 THEN clean ELSE act END AS INT) AS frames, clean <= 2 AND act > 0 AS fallback FROM wi JOIN cl ON cl.w = wi.chunk % 97""", "vp"))
+def q72_clean_masks(spark, sf_dir):
+    rows = prepared(spark, sf_dir)
+    masked = rows.select("rec", "chunk", F.posexplode(F.arrays_zip("active", diarize.clean_masks(F.col("active"), 2).alias("mask"))).alias("local", "x"), diarize.talking(F.col("active")).alias("all"))
+    clean = F.size(F.filter(F.zip_with("x.active", "all", lambda a, n: a & (n < 2)), lambda v: v))
+    act = F.size(F.filter("x.active", lambda v: v))
+    return masked.select("rec", "chunk", "local", F.size(F.filter("x.mask", lambda v: v)).alias("frames"), ((clean <= 2) & (act > 0)).alias("fallback"))
+
+
+@query()
+def q73_diarized_turns(spark, sf_dir):
+    """Turns of recordings grouped from stored windows for three speakers."""
+    turns, _ = diarize.assign(cut(prepared(spark, sf_dir)), REC, 3, shape=SHAPE, cut=1.2, smallest=vectors.SMALLEST)
+    return turns

@@ -4,19 +4,20 @@ the stateful ones have a batch form over whole sessions and a streaming form."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tonespan.streaming.scan import scan
+
 Keys = list[str]
-#: Fixed values of a session: seconds a late block is waited for, snap of a block to the
-#: end of the one before, distance of a new voice, confirmation.
-HOLD, SNAP, NEW_VOICE, CONFIRM_TALK, CONFIRM_TURN = 5.0, 0.02, 0.70456, 2.0, 0.8
+#: Fixed values of a session: snap of a block to the end of the one before, distance of a
+#: new voice, confirmation.
+SNAP, NEW_VOICE, CONFIRM_TALK, CONFIRM_TURN = 0.02, 0.70456, 2.0, 0.8
 
 
 def place(blocks: DataFrame, keys: Keys, snap: float = SNAP) -> DataFrame:
@@ -78,18 +79,23 @@ class Voices:
 
 def label_online(prints: DataFrame, keys: Keys, order: str, vector: str = "vec", most: int | None = None, distance: float = NEW_VOICE) -> DataFrame:
     """(keys, order, speaker): each voiceprint of a session to the nearest speaker so far, in
-    order. The outcome depends on the order, so a session is one group."""
+    order. The outcome depends on the order, so a session streams through one task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        voices = Voices(most=most, distance=distance)
-        out = pdf[[*keys, order]].copy()
-        out["speaker"] = [voices.label(np.asarray(v, float)) for v in pdf[vector]]
-        return out
+    kind = dict(prints.dtypes)[order]
+    return scan(prints, keys, [order], [order, vector], lambda _: _Labels(Voices(most=most, distance=distance)), f"{order} {kind}, speaker long")
 
-    kinds = dict(prints.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order]) + ", speaker long"
-    return prints.select(*keys, order, vector).groupBy(*keys).applyInPandas(run, schema)
+
+class _Labels:
+    """Voiceprints of a session in order; its speakers so far are all that is kept."""
+
+    def __init__(self, voices: Voices):
+        self.voices = voices
+
+    def step(self, at, vector) -> list[tuple]:
+        return [(at, self.voices.label(np.asarray(vector, float)))]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def label_stream(prints: DataFrame, key: str, order: str, vector: str = "vec", most: int | None = None, distance: float = NEW_VOICE) -> DataFrame:
@@ -111,18 +117,6 @@ def label_stream(prints: DataFrame, key: str, order: str, vector: str = "vec", m
     return prints.select(key, order, vector).groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def regroup(stream: DataFrame, path: str, group: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger) -> StreamingQuery:
-    """Every batch is added to ``path``/seen and everything so far grouped anew into
-    ``path``/labels, replacing the labels up to there."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
-        everything = batch.sparkSession.read.parquet(f"{path}/seen").drop("batch")
-        group(everything).write.mode("overwrite").parquet(f"{path}/labels")
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
 def merge_labels(grouped: DataFrame, online: DataFrame, until: Column) -> DataFrame:
     """Regrouped labels, and online ones that end past what the regrouping has seen."""
     return grouped.unionByName(online.where(F.col("end") > until))
@@ -134,25 +128,39 @@ def confirm(rounds: DataFrame, keys: Keys, talk: float = CONFIRM_TALK, turn: flo
     gives them enough talk and one long turn, and the one before had them too; the first
     speaker, and owners of an input, need one only."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        confirmed: list = []
-        streak: dict = {}
-        for _, now in pdf.sort_values(["round", "first", "speaker"]).groupby("round"):
-            streak = {s: streak.get(s, 0) + 1 for s in now["speaker"]}
-            some = any(s in confirmed for s in streak)
-            for r in now.itertuples():
-                ready = r.talk >= talk and r.longest >= turn and (streak[r.speaker] >= 2 or not some or r.own)
-                if ready and r.speaker not in confirmed:
-                    confirmed.append(r.speaker)
-                    some = True
-        out = pd.DataFrame({"speaker": pd.Series(confirmed, dtype=pdf["speaker"].dtype), "order": range(len(confirmed))})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
+    kinds = dict(rounds.dtypes)
+    columns = ["round", "speaker", "talk", "longest", "first", "own"]
+    return scan(rounds, keys, ["round", "first", "speaker"], columns, lambda _: _Confirmed(talk, turn), f"speaker {kinds['speaker']}, order int")
+
+
+class _Confirmed:
+    """Rounds of a session in order: who was there in the last one, and who counts."""
+
+    def __init__(self, talk: float, turn: float):
+        self.talk, self.turn = talk, turn
+        self.now, self.rows, self.streak, self.order = None, [], {}, []
+
+    def _close(self) -> list[tuple]:
+        self.streak = {r[0]: self.streak.get(r[0], 0) + 1 for r in self.rows}
+        some = any(s in self.order for s in self.streak)
+        out = []
+        for speaker, talk, longest, own in self.rows:
+            ready = talk >= self.talk and longest >= self.turn and (self.streak[speaker] >= 2 or not some or own)
+            if ready and speaker not in self.order:
+                out.append((speaker, len(self.order)))
+                self.order.append(speaker)
+                some = True
         return out
 
-    kinds = dict(rounds.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", speaker {kinds['speaker']}, order int"
-    return rounds.groupBy(*keys).applyInPandas(run, schema)
+    def step(self, number, speaker, talk, longest, first, own) -> list[tuple]:
+        out = []
+        if number != self.now:
+            out, self.now, self.rows = self._close(), number, []
+        self.rows.append((speaker, talk, longest, own))
+        return out
+
+    def end(self) -> list[tuple]:
+        return self._close()
 
 
 def input_stats(blocks: DataFrame, keys: Keys, value: str) -> DataFrame:
@@ -173,3 +181,48 @@ def silent_inputs(blocks: DataFrame, keys: Keys, source: str, time: str, value:
     told = last.join(clock, keys).withColumn("kind", F.when(none >= after, "none").when(quiet >= after, "zeros"))
     lasting = F.when(F.col("kind") == "none", none).otherwise(quiet)
     return told.where("kind is not null").select(*keys, source, "kind", F.floor(lasting + 0.5).cast("long").alias("seconds"))
+
+
+LEVEL_STATE = "hop long, tail array<double>"
+
+
+def hop_levels(blocks: DataFrame, key: str, order: str, pcm: str, hop: int, floor: float = 1e-10) -> DataFrame:
+    """(key, i, db): the level of every whole hop of a stream of sample blocks, extended as
+    sound comes. What a batch leaves of a hop is the state, so levels are those of the whole
+    recording however it is cut. Also for a batch, of which an input is one group."""
+
+    def run(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, tail = state.get if state.exists else (0, [])
+        rows = pd.concat(list(batches)).sort_values(order)
+        x = np.concatenate([np.asarray(tail, float), *[np.asarray(v, float) for v in rows[pcm]]])
+        n = len(x) // hop
+        power = (x[: n * hop].reshape(n, hop) ** 2).mean(axis=1)
+        state.update((int(at + n), x[n * hop :].tolist()))
+        yield pd.DataFrame({key: [name[0]] * n, "i": np.arange(at, at + n), "db": 20 * np.log10(np.maximum(np.sqrt(power), floor))})
+
+    kinds = dict(blocks.dtypes)
+    return blocks.select(key, order, pcm).groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, i long, db double", LEVEL_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def frames_of(frames: DataFrame, homes: DataFrame, keys: Keys, speaker: str = "speaker") -> DataFrame:
+    """Voice frames (keys, t, src, prim, ...) that measure a speaker: those of their home
+    input where ``homes`` (keys, speaker, home) has one, else each moment's primary ones. One
+    row for each frame and each row of ``homes`` (home null: none)."""
+    wanted = homes.select(*keys, speaker, "home")
+    own = F.when(F.col("home").isNotNull(), F.col("src") == F.col("home")).otherwise(F.col("prim"))
+    return frames.join(wanted, keys).where(own).drop("home")
+
+
+def primary(frames: DataFrame, keys: Keys, loudness: str = "loudness") -> DataFrame:
+    """``frames`` (keys, t, src, ...) with ``prim``: whether an input is the loudest of its
+    moment; no loudness is the least, of equal inputs the first."""
+    best = frames.groupBy(*keys, "t").agg(F.min_by("src", F.struct(-F.coalesce(F.when(~F.isnan(loudness), F.col(loudness)), F.lit(-1.0)), "src")).alias("_best"))
+    return frames.join(best, [*keys, "t"]).withColumn("prim", F.col("src") == F.col("_best")).drop("_best")
+
+
+def checked(recordings: DataFrame, shortest: float = 1.0, most: int = 20) -> DataFrame:
+    """Recordings (duration, num_speakers) with ``error``, null where they can be analysed:
+    under ``shortest`` seconds, or a number of speakers outside 1 to ``most``."""
+    short = F.when(F.coalesce(F.col("duration"), F.lit(0.0)) < shortest, F.format_string("shorter than %s s", F.lit(f"{shortest:g}")))
+    number = F.when((F.col("num_speakers") < 1) | (F.col("num_speakers") > most), F.format_string("the number of speakers is from 1 to %d", F.lit(most)))
+    return recordings.withColumn("error", F.coalesce(short, number))

@@ -164,3 +164,20 @@ def pixel_means(rows: DataFrame, keys: Keys, index: str, value: str, width: int)
     last = rows.groupBy(*keys).agg(F.max(index).alias("_last"))
     pixel = F.floor(F.col(index) * width / (F.col("_last") + 1)).cast("int")
     return rows.join(last, keys).where(F.col(value).isNotNull()).groupBy(*keys, pixel.alias("pixel")).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def visible_means(rows: DataFrame, keys: Keys, index: str, value: str, begin: float, stop: float, duration: float, buckets: int) -> DataFrame:
+    """(keys, bucket, t, mean): what lies between two moments of evenly spaced numbers 0 to
+    the highest of each key, as means of whole-number strides, ``buckets`` at most, each at
+    its middle in seconds. A stride without a value has a null mean, a gap of the curve."""
+    n = F.col("_n")
+    ends = rows.groupBy(*keys).agg((F.max(index) + 1).alias("_n"))
+    a = F.greatest(F.lit(0).cast("long"), F.floor(begin / duration * n))
+    b = F.least(n.cast("long"), F.ceil(stop / duration * n))
+    seen = ends.select(*keys, "_n", a.alias("_a"), b.alias("_b")).withColumn("_k", F.greatest(F.lit(1).cast("long"), F.ceil((F.col("_b") - F.col("_a")) / F.lit(buckets))))
+    every = seen.where("_b > _a").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_b") - F.col("_a") - 1) / F.col("_k")))))
+    inside = rows.select(*keys, F.col(index).alias("_i"), F.col(value).alias("_v")).join(seen, keys).where("_i >= _a and _i < _b")
+    means = inside.groupBy(*keys, F.floor((F.col("_i") - F.col("_a")) / F.col("_k")).alias("bucket")).agg(F.avg("_v").alias("mean"))
+    first = F.col("_a") + F.col("bucket") * F.col("_k")
+    middle = (first + (F.least(first + F.col("_k"), "_b") - first) / 2) / n * duration
+    return every.join(means, [*keys, "bucket"], "left").select(*keys, F.col("bucket").cast("int").alias("bucket"), middle.alias("t"), "mean")

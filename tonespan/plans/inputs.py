@@ -104,4 +104,6 @@ def sql(body: str, *names: str) -> str:
         for x in [*NEEDS.get(n, []), n]:
             if x not in wanted:
                 wanted.append(x)
+    if not wanted:
+        return "WITH " + body.lstrip(", ")
     return "WITH " + ",\n".join(SQL[n] for n in wanted) + body

@@ -199,7 +199,24 @@ def q30_own(spark, sf_dir):
     return own.select("rec", F.col("input").cast("int").alias("input"), "speaker")
 
 
-@query()
+def _runs_sql(name: str, frames: str) -> str:
+    """Spans of runs of the frames (rec, speaker, frame) of ``frames``, joined across an hour,
+    those under an hour dropped."""
+    return f"""{name}0 AS (SELECT rec, speaker, min(frame) AS a, max(frame) + 1 AS b FROM (SELECT *, frame - row_number() OVER (PARTITION BY rec, speaker ORDER BY frame) AS g FROM {frames}) GROUP BY rec, speaker, g),
+{name}1 AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY rec, speaker ORDER BY a) <= 1 THEN 0 ELSE 1 END AS n FROM {name}0),
+{name}2 AS (SELECT *, sum(n) OVER (PARTITION BY rec, speaker ORDER BY a) AS g FROM {name}1),
+{name} AS (SELECT rec, speaker, min(a) AS a, max(b) AS b FROM {name}2 GROUP BY rec, speaker, g HAVING max(b) - min(a) >= 1)"""
+
+
+@query(sql(f""", {_TR}, {_AC}, {_GRID}, one AS (SELECT rec, input, min(speaker) AS speaker FROM ho GROUP BY rec, input HAVING count(*) = 1),
+he AS (SELECT al.rec, al.input, one.speaker, count(gr.frame) / count(*) AS sh FROM al JOIN (SELECT DISTINCT rec, frame FROM gr) a USING (rec, frame) JOIN one USING (rec, input) LEFT JOIN gr ON gr.rec = al.rec AND gr.frame = al.frame AND gr.speaker = one.speaker GROUP BY ALL),
+ow AS (SELECT rec, input, speaker FROM he WHERE sh >= 0.3),
+sp AS (SELECT DISTINCT rec % 4 AS rec, unnest(range(greatest(0, CAST(floor((t - {2 * HOUR}) / {HOUR}) AS BIGINT)), least({FRAMES}, CAST(ceil((t + value * 60 + {2 * HOUR}) / {HOUR}) AS BIGINT)))) AS frame FROM ev),
+so2 AS (SELECT DISTINCT ow.rec, ow.speaker, ac.i AS frame FROM ac JOIN ow USING (rec, input) JOIN sp ON sp.rec = ac.rec AND sp.frame = ac.i), {_runs_sql("rd", "so2")},
+od AS (SELECT DISTINCT rec, unnest(range(a, least({FRAMES}, b))) AS frame FROM rd),
+ot AS (SELECT DISTINCT gr.rec, gr.speaker, gr.frame FROM gr WHERE rec IN (SELECT rec FROM ow) AND (rec, speaker) NOT IN (SELECT rec, speaker FROM ow) AND (rec, frame) NOT IN (SELECT rec, frame FROM od)), {_runs_sql("rs", "ot")}
+SELECT rec, speaker, round(a * {HOUR}, 3) AS start, round(b * {HOUR}, 3) AS "end" FROM rd UNION ALL SELECT rec, speaker, round(a * {HOUR}, 3), round(b * {HOUR}, 3) FROM rs
+UNION ALL SELECT rec % 4, speaker, round(t, 3), round(t + value * 60, 3) FROM ev WHERE rec % 4 NOT IN (SELECT rec FROM ow)""", "ev"))
 def q31_refine(spark, sf_dir):
     turns, active = _track_turns(spark, sf_dir), _active(spark, sf_dir)
     out, _ = tracks.refine(turns, active, REC, HOUR, FRAMES, 3 * HOUR, 0.3, 0.3, 2 * HOUR, HOUR, HOUR, HOUR)

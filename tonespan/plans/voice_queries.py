@@ -54,11 +54,11 @@ def q35_top_count(spark, sf_dir):
 
 
 @query(sql("""
-SELECT frame, k, round(sum(score), 6) AS score FROM (SELECT chunk, frame, k % 2 AS k, max(score) AS score FROM sc WHERE k < 4 GROUP BY chunk, frame, k % 2) GROUP BY frame, k""", "sc"))
+SELECT frame, k, round(sum(score), 6) AS score FROM (SELECT chunk, frame, k % 2 AS k, max(score) AS score FROM sc GROUP BY chunk, frame, k % 2) GROUP BY frame, k""", "sc"))
 def q36_reconstruct_dedup(spark, sf_dir):
     rows = inputs.scores(spark, sf_dir)
     active = rows.select("chunk", "frame", F.col("k").alias("local"), "score")
-    clusters = rows.select("chunk", F.col("k").alias("local")).distinct().where("local < 4").withColumn("k", F.col("local") % 2)
+    clusters = rows.select("chunk", F.col("k").alias("local")).distinct().withColumn("k", F.col("local") % 2)
     return decode.by_cluster(active, clusters, []).select("frame", "k", F.round("score", 6).alias("score"))
 
 
@@ -310,13 +310,25 @@ def q64_rename_anchors(spark, sf_dir):
     return found.select("rec", "name", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query()
+_MEL = f"1127 * ln(1 + {features.RATE / 2} / 700.0)"
+_LOW = f"1127 * ln(1 + {features.LOWEST_HZ} / 700.0)"
+
+
+@query(sql(f""", sr AS (SELECT l_suppkey AS rec, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS i, CAST(l_extendedprice AS DOUBLE) / 200000 AS x FROM lineitem),
+nf AS (SELECT rec, unnest(range(0, (max(i) + 1 - 400) // 160 + 1)) AS frame FROM sr GROUP BY rec HAVING max(i) + 1 >= 400),
+fr0 AS (SELECT nf.rec, nf.frame, sr.i - nf.frame * 160 AS j, x * 32768 - avg(x * 32768) OVER (PARTITION BY nf.rec, nf.frame) AS x FROM nf JOIN sr ON sr.rec = nf.rec AND sr.i >= nf.frame * 160 AND sr.i < nf.frame * 160 + 400),
+fr1 AS (SELECT rec, frame, j, (x - 0.97 * coalesce(lag(x) OVER (PARTITION BY rec, frame ORDER BY j), x)) * (0.54 - 0.46 * cos(2 * pi() * j / 399)) AS y FROM fr0),
+po AS (SELECT rec, frame, k, pow(sum(y * cos(2 * pi() * j * k / 512)), 2) + pow(sum(y * sin(2 * pi() * j * k / 512)), 2) AS p FROM fr1 CROSS JOIN (SELECT unnest(range(256)) AS k) f GROUP BY rec, frame, k),
+ed AS (SELECT unnest(range(82)) AS e), eg AS (SELECT e, {_LOW} + e * ({_MEL} - {_LOW}) / 81 AS m FROM ed),
+tr AS (SELECT b.e - 1 AS mel, k, greatest(0, least((1127 * ln(1 + k * {features.RATE} / 512.0 / 700) - a.m) / (b.m - a.m), (c.m - 1127 * ln(1 + k * {features.RATE} / 512.0 / 700)) / (c.m - b.m))) AS w FROM eg a JOIN eg b ON b.e = a.e + 1 JOIN eg c ON c.e = a.e + 2 CROSS JOIN (SELECT unnest(range(256)) AS k) f),
+lm AS (SELECT rec, frame, mel, ln(greatest(sum(p * w), 1.1920928955078125e-07)) AS v FROM po JOIN tr USING (k) WHERE w > 0 OR k = 0 GROUP BY rec, frame, mel)
+SELECT rec, CAST(frame AS INT) AS frame, CAST(mel AS INT) AS mel, round(v - avg(v) OVER (PARTITION BY rec, mel), 6) AS value FROM lm"""))
 def q65_log_mel(spark, sf_dir):
-    """Energy of the features of synthetic tones, one for each document."""
-    tone = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda i: (F.sin(i * (F.col("doc_id") % 40 + 5) / 40) / 2).cast("float"))
-    blocks = inputs.table(spark, sf_dir, "documents").select("doc_id", tone.alias("pcm"))
-    mels = features.log_mel_rows(blocks, ["doc_id"])
-    return mels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.sum(F.aggregate("mels", F.lit(0.0), lambda a, x: a + x * x)), 2).alias("energy"))
+    """Features of a supplier's prices as a series of samples."""
+    rows = inputs.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("rec")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))).alias("x"))
+    series = rows.select("rec", F.transform("x", lambda r: r["l_extendedprice"].cast("double") / 200_000).alias("pcm"))
+    mels = features.log_mel_rows(series, ["rec"])
+    return mels.select("rec", "frame", F.posexplode("mels").alias("mel", "value")).withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT user_id AS rec, count(*) AS blocks, max(abs(value - 20)) AS peak, count(*) FILTER (WHERE abs(value - 20) > 0) AS sound, count(*) FILTER (WHERE abs(value - 20) = 0) AS zeros FROM events GROUP BY user_id""")
@@ -369,7 +381,16 @@ def s05_regrouped_labels(spark, sf_dir):
     return live.merge_labels(whole, online, F.col("rec") * 400 + 300)
 
 
-@query()
+@query(sql(""", tr AS (SELECT rec, speaker, CAST(floor(s / 432000) AS BIGINT) AS round, s, e - s AS n FROM turns),
+vo AS (SELECT rec, round, speaker, sum(n) / 50000 AS talk, max(n) / 50000 AS longest, min(s) AS first, speaker = 'view' AS own FROM tr GROUP BY ALL),
+ri AS (SELECT rec, round, row_number() OVER (PARTITION BY rec ORDER BY round) AS i FROM (SELECT DISTINCT rec, round FROM vo)), vi AS (SELECT vo.*, ri.i FROM vo JOIN ri USING (rec, round)),
+st AS (SELECT rec, CAST(0 AS BIGINT) AS i, speaker, CAST(0 AS BIGINT) AS seen, CAST(NULL AS BIGINT) AS ord, CAST(0 AS BIGINT) AS nxt FROM (SELECT DISTINCT rec, speaker FROM vo)
+UNION ALL SELECT rec, i, speaker, seen, CASE WHEN new THEN nxt + row_number() OVER (PARTITION BY rec, new ORDER BY first, speaker) - 1 ELSE ord END, nxt + count(*) FILTER (WHERE new) OVER (PARTITION BY rec)
+FROM (SELECT *, cand AND (own OR seen >= 2 OR (NOT anyone AND row_number() OVER (PARTITION BY rec, cand ORDER BY first, speaker) = 1)) AS new
+FROM (SELECT *, coalesce(bool_or(present AND ord IS NOT NULL) OVER (PARTITION BY rec), false) AS anyone, present AND ord IS NULL AND talk >= 2 AND longest >= 0.8 AS cand
+FROM (SELECT st.rec, ri.i, st.speaker, CASE WHEN v.speaker IS NULL THEN 0 ELSE st.seen + 1 END AS seen, st.ord, st.nxt, v.talk, v.longest, v.first, v.own, v.speaker IS NOT NULL AS present
+FROM st JOIN ri ON ri.rec = st.rec AND ri.i = st.i + 1 LEFT JOIN vi v ON v.rec = st.rec AND v.i = ri.i AND v.speaker = st.speaker))))
+SELECT rec, speaker, CAST(max(ord) AS INT) AS "order" FROM st WHERE ord IS NOT NULL GROUP BY rec, speaker""", "turns").replace("WITH ", "WITH RECURSIVE ", 1))
 def s06_confirmation(spark, sf_dir):
     rows = inputs.turns(spark, sf_dir).withColumn("round", F.floor(F.col("start") / 432_000))
     stats = rows.groupBy("rec", "round", "speaker").agg((F.sum(F.col("end") - F.col("start")) / 50_000).alias("talk"), (F.max(F.col("end") - F.col("start")) / 50_000).alias("longest"), F.min("start").alias("first"))
@@ -382,3 +403,14 @@ def s07_session_windows(spark, sf_dir):
     rows = inputs.events(spark, sf_dir).select("rec", "t", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")).alias("ts"))
     found = live.sessions(rows, REC, "ts", "6 hours", F.min("t").alias("first"), F.count(F.lit(1)).alias("n"))
     return found.select("rec", F.round("first", 6).alias("first"), "n")
+
+
+@query(sql(""", df AS (SELECT rec, i, value FROM lv WHERE kind <> 'error'), nn AS (SELECT rec, max(i) + 1 AS n FROM lv GROUP BY rec),
+vw AS (SELECT rec, n, greatest(0, CAST(floor(20.0 / 100 * n) AS BIGINT)) AS a, least(n, CAST(ceil(70.0 / 100 * n) AS BIGINT)) AS b FROM nn),
+vk AS (SELECT *, greatest(1, CAST(ceil((b - a) / 90) AS BIGINT)) AS k FROM vw), bk AS (SELECT rec, n, a, b, k, unnest(range(0, CAST(ceil((b - a) / k) AS BIGINT))) AS bucket FROM vk)
+SELECT bk.rec, CAST(bk.bucket AS INT) AS bucket, round((a + bucket * k + (least(a + (bucket + 1) * k, b) - a - bucket * k) / 2) / any_value(n) * 100, 6) AS t, round(avg(value), 6) AS mean
+FROM bk LEFT JOIN df ON df.rec = bk.rec AND df.i >= a + bucket * k AND df.i < least(a + (bucket + 1) * k, b) GROUP BY bk.rec, bk.bucket, a, b, k""", "lv"))
+def q74_visible_means(spark, sf_dir):
+    rows = inputs.levels(spark, sf_dir).select("rec", "i", F.when(F.col("kind") != "error", F.col("value")).alias("value"))
+    found = measures.visible_means(rows, REC, "i", "value", 20.0, 70.0, 100.0, 90)
+    return found.select("rec", "bucket", F.round("t", 6).alias("t"), F.round("mean", 6).alias("mean"))

@@ -48,23 +48,25 @@ class Weights(NamedTuple):
     content: float
     boilerplate: float
     leaf: float  # smoothness of a block and the element that holds it
+    told: float  # the same where an element around says what it holds
     element: float  # of an element and the one that holds it, for each block that they part
     inside: float  # besides, for each block inside, if an element around says what it is
     adjacent: float  # of neighbours in an element
 
 
-def weights_of(fitted: np.ndarray, spread: float) -> Weights:
-    """Costs from the fitted weights and the median size of a block's log-odds. Whatever the
-    spread, one block inside an element that says what it is can be parted from the rest."""
+def weights_of(fitted: np.ndarray, spread: float, smooth: float = 1.0) -> Weights:
+    """Costs from the fitted weights and the median size of a block's log-odds; names weigh
+    what the fit gives them. Whatever the spread, one block inside an element that says what
+    it is can be parted from the rest. ``smooth`` scales the edges between elements."""
     limit = 2.0 * spread
     least = 4.5 * limit
-    return Weights(fitted[:-2], limit, min(float(fitted[-2]), -least), max(0.0, min(float(fitted[-1]), limit)), least, -least, 1.25 * limit, 0.5 * limit, 0.75 * limit, 0.25 * limit)
+    return Weights(fitted[:-2], limit, min(float(fitted[-2]), 0.0), max(0.0, min(float(fitted[-1]), limit)), least, -least, 1.25 * limit * smooth, 1.25 * limit, 0.5 * limit * smooth, 0.75 * limit, 0.25 * limit * smooth)
 
 
 # Element and class names of HTML pages.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mo mn mrow ms mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mtext semantics annotation".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button select fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -75,6 +77,8 @@ BAD_NAMES = frozenset(
     "sidebar sidenav aside nav navbar navigation topnav subnav menu breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
     "comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search widget hidden".split()
 )
+#: Words beside a bad one that only say how it is laid out.
+LAYOUT = frozenset("list item items box block blocks wrapper wrap container section area bar buttons button links link icons posts articles stories form panel left right top bottom inner outer slot unit row column col main primary secondary site page global header head title content body footer small large mobile desktop sticky fixed".split())
 GOOD_NAMES = frozenset("article content post entry story main body text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
@@ -115,8 +119,22 @@ def _says(tag: str, attributes: str, in_article: bool) -> int:
         elif key == "hidden" or (key == "aria-hidden" and value == "true"):
             said |= SAID_BOILERPLATE
         elif key in ("class", "id") and tag not in ("html", "body"):
-            names = set(_NAME.findall(value))
-            said |= BAD if names & BAD_NAMES else GOOD if names & GOOD_NAMES else 0
+            said |= _named(value)
+    # names that speak for and against it decide nothing
+    return said & ~(BAD | GOOD) if said & BAD and said & GOOD else said
+
+
+def _named(value: str) -> int:
+    """What class names or an id say: bad are names whose last word is (``site-nav``) or of
+    which all other words are layout (``comment-list``, not ``comment-analysis``)."""
+    said = 0
+    for name in value.split():
+        words = _NAME.findall(name)
+        bad = [x in BAD_NAMES for x in words]
+        if any(bad) and (bad[-1] or all(b or x in LAYOUT or x.isdigit() for b, x in zip(bad, words, strict=True))):
+            said |= BAD
+        elif not any(bad) and GOOD_NAMES.intersection(words):
+            said |= GOOD
     return said
 
 
@@ -137,6 +155,7 @@ def parse(page: str) -> Page:
     heading = False
     open_tags: dict[str, int] = {}  # how many of each are open, so that stray ends cost nothing
     at, end, last = 0, len(page), page.rfind(">")
+    headed = False
 
     def flush() -> None:
         nonlocal parts, linked, heading
@@ -149,7 +168,7 @@ def parse(page: str) -> Page:
                 out.block.append(len(out.texts))
                 out.texts.append(text)
                 out.around.append(stack[-1].around)
-                out.features.append((1.0, min(len(words), MOST_WORDS) / WORD_UNIT, min(1.0, linked / len(text)), float(text[-1] in ".!?:;…\"”"), float(heading), float(bool(_MARK.search(text[:200])))))
+                out.features.append((1.0, min(len(words), MOST_WORDS) / WORD_UNIT, min(1.0, linked / len(text)), float(text[-1] in ".!?:;…\"”"), float(heading), float(bool(_MARK.search(text)))))
             parts = []
         linked, heading = 0, False
 
@@ -237,6 +256,9 @@ def parse(page: str) -> Page:
         if tag in ITEMS:
             close_items(tag)
         if tag == "head":
+            if headed:  # a page has one
+                continue
+            headed = True
             flush()
             found = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(page, at)
             at = found.start() if found else at
@@ -274,8 +296,8 @@ class Graph(NamedTuple):
 def graph_of(page: Page, w: Weights) -> Graph:
     """What an element says counts for every block inside. An element is tied to the one that
     holds it by as many blocks as are inside, or as the other holds besides, whichever are
-    fewer, and closer if an element around says what it holds; elements that the page itself
-    holds are parted at no cost."""
+    fewer, and closer if an element around says what it holds and its own name does not speak
+    against it; elements that the page itself holds are parted at no cost."""
     n = len(page.parent)
     score = np.clip(np.array(page.features) @ w.text, -w.limit, w.limit).tolist() if page.texts else []
     inside = [int(b >= 0) for b in page.block]
@@ -286,12 +308,12 @@ def graph_of(page: Page, w: Weights) -> Graph:
     for i, (parent, block, said) in enumerate(zip(page.parent, page.block, page.says, strict=True)):
         under[i] = i > 0 and (under[parent] or bool(page.says[parent] & ~GOOD))
         if block >= 0:
-            cost[i], held[i] = score[block], w.leaf
+            cost[i], held[i] = score[block], w.told if under[i] else w.leaf
             continue
         each = w.boilerplate if said & SAID_BOILERPLATE else w.bad_name if said & BAD else w.content if said & SAID_CONTENT else w.good_name if said & GOOD else 0.0
         cost[i] = each * inside[i]
         if parent > 0:
-            held[i] = w.element * min(inside[i], max(1, inside[parent] - inside[i])) + w.inside * inside[i] * under[i]
+            held[i] = w.element * min(inside[i], max(1, inside[parent] - inside[i])) + w.inside * inside[i] * (under[i] and not said & BAD)
     return Graph(cost, held)
 
 
@@ -391,13 +413,37 @@ def _spread(x: np.ndarray, weight: np.ndarray) -> float:
 DEFAULT = weights_of(PRIOR, 1.0)
 
 
+#: Scales of the smoothness that are tried.
+SMOOTH = (0.0, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.5, 0.75, 1.0)
+
+
+def bare(page: Page) -> Page:
+    """The page as if no element said what it holds."""
+    return page._replace(says=[0] * len(page.says))
+
+
+def right_blocks(page: Page, fitted: np.ndarray, spread: float, scales: tuple[float, ...] = SMOOTH) -> list[int]:
+    """For each scale, how many blocks whose class their place tells the cut labels right
+    without being told by any element."""
+    known = [(bool(a & SAID_CONTENT) and not a & SAID_BOILERPLATE) if not (a & SAID_CONTENT and a & BAD) else None for a in page.around]
+    plain, out = bare(page), []
+    for scale in scales:
+        w = weights_of(fitted, spread, scale)
+        side = min_cut(plain.parent, *graph_of(plain, w), w.adjacent)
+        out.append(sum(known[b] is not None and keep == known[b] for b, keep in zip(plain.block, side, strict=True) if b >= 0))
+    return out
+
+
 def train(pages: DataFrame, html_col: str = "html") -> Weights:
     """Weights fitted on blocks of about FIT_PAGES pages, FIT_BLOCKS at most, chosen by hash;
-    those of PRIOR if no page has blocks with a class."""
+    those of PRIOR if no page has blocks with a class. The smoothness is the one of SMOOTH
+    under which the cut labels most blocks of as many other pages right when no element says
+    what it holds (of equal ones the least)."""
     text = F.col(html_col).cast("string")
     rows = pages.select(text.alias("_html")).where(text.isNotNull())
     n = rows.count()
-    chosen = rows.where(F.pmod(F.xxhash64("_html"), F.lit(max(1, n))) < FIT_PAGES)
+    place = F.pmod(F.xxhash64("_html"), F.lit(max(1, n)))
+    chosen = rows.where(place < FIT_PAGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _words.slices(batches, "_html"):
@@ -410,7 +456,21 @@ def train(pages: DataFrame, html_col: str = "html") -> Weights:
     sample = chosen.mapInArrow(run, "x array<double>, y boolean, at long").orderBy("at", "x", "y").limit(FIT_BLOCKS).collect()
     x = np.array([r[0] for r in sample]).reshape(-1, len(FEATURES))
     fitted = fit(x, np.array([r[1] for r in sample], bool))
-    return weights_of(fitted, _spread(x, fitted))
+    spread = _spread(x, fitted)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _words.slices(batches, "_html"):
+            total = np.zeros(len(SMOOTH), np.int64)
+            for page in map(parse, piece.column(0).to_pylist()):
+                if any(a & SAID_CONTENT for a in page.around):
+                    total += right_blocks(page, fitted, spread)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(SMOOTH)), pa.int32()), pa.array(total)], ["k", "right"])
+
+    # small tables have no other pages: theirs are tried on those of the fit
+    others = rows.where((place >= FIT_PAGES) & (place < 2 * FIT_PAGES)) if n >= 2 * FIT_PAGES else chosen
+    right = {r[0]: r[1] for r in others.mapInArrow(tried, "k int, right long").groupBy("k").agg(F.sum("right")).collect()}
+    best = max(range(len(SMOOTH)), key=lambda k: (right.get(k, 0), -k))
+    return weights_of(fitted, spread, SMOOTH[best])
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), w: Weights | None = None) -> DataFrame:

@@ -116,3 +116,35 @@ def test_pipeline_on_odd_rows(spark, odd_docs, no_docs, tmp_path, bench):
             assert docs.columns == rows.columns
             docs = spark.createDataFrame(docs.collect(), rows.schema)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+
+
+def test_tables_lie_in_the_shared_folder(spark):
+    from tonespan.llm import _tables
+
+    df = spark.range(50).withColumn("k", F.col("id") % 5)
+    made = _tables.bucketed(df, "t", "id", "k")
+    assert made.location.startswith(_tables.shared_dir(spark)) and spark.table(made.table_name).count() == 50
+    assert spark.sql(f"DESCRIBE TABLE EXTENDED {made.table_name}").where("col_name = 'Location'").first()["data_type"].rstrip("/") == made.location
+    _tables.drop(made)
+    assert not spark.catalog.tableExists(made.table_name)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(made.location)
+    assert not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tonespan.llm import _tables
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(ValueError, match="all executors share"):
+        _tables.shared_dir(SimpleNamespace(sparkContext=Context()))

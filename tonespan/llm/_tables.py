@@ -54,18 +54,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, part: str | None = None) -> DataFrame:
-    """The rows written to a table of the warehouse, dealt into buckets by ``key``: joins on
-    it move the other side alone. As many buckets as the plan's scan has parts, within what
-    Spark allows; a part writes a file only for the buckets it has rows of. With ``part`` the
-    table has a folder for each value of that column."""
+    """The rows written to a table below the shared folder, dealt into buckets by ``key``:
+    joins on it move the other side alone. As many buckets as the plan's scan has parts,
+    within what Spark allows; a part writes a file only for the buckets it has rows of. With
+    ``part`` the table has a folder for each value of that column."""
     spark = df.sparkSession
     parts = min(10_000, max(1, df.select(F.lit(1)).rdd.getNumPartitions()))
     table_name = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(parts, key).sortBy(key)
+    location = f"{shared_dir(spark)}/{table_name}"
+    writer = df.write.option("path", location).bucketBy(parts, key).sortBy(key)
     (writer.partitionBy(part) if part else writer).saveAsTable(table_name)
     out = spark.table(table_name)
-    out.table_name = table_name
-    out.location = spark.sql(f"DESCRIBE TABLE EXTENDED {table_name}").where("col_name = 'Location'").first()["data_type"]
+    out.table_name, out.location = table_name, location
     return out
 
 
@@ -80,7 +80,9 @@ def drop(*tables: DataFrame) -> None:
     """Delete staged and bucketed tables that nothing reads any more."""
     for t in tables:
         if hasattr(t, "table_name"):
+            # the files of a table that has a place of its own stay when it goes
             t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.table_name}")
+            drop_shared(t.sparkSession, t.location)
         else:
             drop_shared(t.sparkSession, t.shared_path)
 

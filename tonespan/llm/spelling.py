@@ -322,11 +322,14 @@ def near_words(words: DataFrame, form: int = FORM, cell: int = CELL, sample: int
     dealt out by a hash, and its askers ask every part. No words: no rows.
     """
     words = words.withColumn("length", F.char_length("word").cast("int"))
-    rows = staged(_filing(words, _tops(words, sample, cell)), "spelling-cells")
+    tops = _tops(words, sample, cell)
+    rows = staged(_filing(words, tops), "spelling-cells")
     sizes = rows.where("asks = 0").groupBy("length", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).cast("int").alias("size"))
     sized = rows.join(sizes, ["length", "cell"])
     salt = F.when(F.col("asks") == 0, F.array(F.pmod(F.xxhash64("word"), F.col("size")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("size") - 1))
-    dealt = sized.withColumn("salt", F.explode(salt)).repartition("length", "cell", "salt").sortWithinPartitions("length", "cell", "salt", "asks", "word")
+    # rows are small and searches long: as many tasks as cells, whatever their bytes
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(t.cells for t in tops.values()))
+    dealt = sized.withColumn("salt", F.explode(salt)).repartition(tasks, "length", "cell", "salt").sortWithinPartitions("length", "cell", "salt", "asks", "word")
     answers = dealt.mapInArrow(_search, _ANSWER)
     by_word = answers.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("less"), F.col("form"))).alias("best"))
     joined = words.select("word", "n").join(by_word, "word", "left")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonespan.operators import features, halo
-from tonespan.streaming import aligned, confirm, live, overlay, regroup
+from tonespan.streaming import aligned, confirm, live, overlay, regroup, windows
 
 CHUNK = "rec string, inputs int, source int, at long, pcm array<double>, arrived long, ended boolean"
 CLOCK = aligned.Clock(rate=160)
@@ -324,3 +324,29 @@ def test_frames_of_a_home_input_or_primary_ones(spark):
 def test_recordings_that_cannot_be_analysed(spark):
     df = spark.createDataFrame([(0, 0.99, None), (1, 1.0, 20), (2, 5.0, 21), (3, 5.0, 0), (4, None, 2)], "rec int, duration double, num_speakers int")
     assert {r.rec: r.error for r in live.checked(df).collect()} == {0: "shorter than 1 s", 1: None, 2: "the number of speakers is from 1 to 20", 3: "the number of speakers is from 1 to 20", 4: "shorter than 1 s"}
+
+
+def test_windows_of_a_stream_equal_batch_and_give_each_sample_once(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = {"a": rng.normal(size=97), "b": rng.normal(size=25), "c": rng.normal(size=40)}
+    schema = "rec string, block long, pcm array<double>, ended boolean"
+    rows = [(r, k, v[k * 10 : k * 10 + 10].tolist(), False) for r, v in x.items() for k in range(-(-len(v) // 10))]
+    want = halo.inference_windows(spark.createDataFrame(rows, schema), ["rec"], "block", "pcm", 10, 4)
+    want = sorted((r.rec, r.window, r.pcm, r.heard) for r in want.collect())
+    rows = sorted(rows, key=lambda r: r[1]) + [(r, 99, [], True) for r in x]
+    for k, (a, b) in enumerate(((0, 4), (4, 5), (5, 13), (13, len(rows)))):
+        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        time.sleep(0.02)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        query = windows.windows_stream(stream, "rec", 10, 4).writeStream.format("memory").queryName("windows").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(300)
+    finally:
+        spark.conf.set(provider, before)
+    got = spark.table("windows").orderBy("rec", "window").collect()
+    assert [(r.rec, r.window, r.pcm, r.heard) for r in got] == want
+    for rec, whole in x.items():
+        assert np.allclose(np.concatenate([r.pcm[r.heard - r.fresh : r.heard] for r in got if r.rec == rec]), whole)

@@ -230,3 +230,20 @@ def test_stable_ids_of_every_recording(spark, tmp_path):
         best = max(sum(table.get((n, o), 0.0) for n, o in enumerate(p)) for p in itertools.permutations(olds))
         assert len({n for n, _ in got[rec]}) == len({o for _, o in got[rec]}) == len(got[rec])
         assert sum(table[p] for p in got[rec]) == pytest.approx(best)
+
+
+def test_nearest_of_many_centers(spark):
+    rng = np.random.default_rng(11)
+    centers = {k: rng.normal(size=6) for k in range(vectors.CENTROIDS_AT_ONCE * 2 + 40)}
+    x = np.concatenate([rng.normal(size=(60, 6)), [centers[7], centers[7] * 2]])
+    rows = spark.createDataFrame([(k % 61, v.tolist()) for k, v in enumerate(x)] + [(5, x[5].tolist())], "k int, vec array<double>")
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in centers.items()], "speaker int, vec array<double>")
+    got = vectors.nearest(rows, table).collect()
+    c = np.stack([centers[k] for k in sorted(centers)])
+    assert len(got) == 63 and sum(r.k == 5 for r in got) == 2
+    for r in got:
+        like = c @ np.array(r.vec) / (np.linalg.norm(c, axis=1) * np.linalg.norm(r.vec))
+        assert r.speaker == int(like.round(12).argmax()) and r.likeness == pytest.approx(like.max(), abs=1e-9)
+    few = vectors.nearest(rows, table.where("speaker < 5")).collect()
+    assert len(few) == 63 and {r.speaker for r in few} <= set(range(5))
+    assert {r.speaker for r in vectors.nearest(rows, table.where("false")).collect()} == {None}

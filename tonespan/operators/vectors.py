@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -29,17 +28,30 @@ def centroids(rows: DataFrame, keys: Keys, vector: str = "vec") -> DataFrame:
 
 def nearest(rows: DataFrame, centers: DataFrame, vector: str = "vec", name: str = "speaker") -> DataFrame:
     """``rows`` with the ``name`` of the most similar center (cosine; equal ones: the least
-    name) and ``likeness``. Centers go into the plan CENTROIDS_AT_ONCE at a time."""
-    best = None
-    found = centers.select(name, vector).orderBy(name).toLocalIterator()
-    while block := list(islice(found, CENTROIDS_AT_ONCE)):
-        table = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.array(*map(F.lit, r[1])).alias("v")) for r in block])
-        likened = F.transform(table, lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 12).alias("likeness"), (-c["name"]).alias("less")))
-        top = F.array_max(likened)
-        best = top if best is None else F.greatest(best, top)
-    if best is None:
-        return rows.withColumns({name: F.lit(None).cast("int"), "likeness": F.lit(None).cast("double")})
-    told = rows.drop(name).withColumn("_best", best)
+    name) and ``likeness``; null without centers. Up to CENTROIDS_AT_ONCE centers are part of
+    the plan; more are dealt into blocks of about as many, and each row meets every block in
+    a join that is salted by rows, so neither the driver nor a task holds them all."""
+    likened = F.transform("_centers", lambda c: F.struct(F.round(cosine(F.col(vector), c["v"]), 12).alias("likeness"), (-c["name"]).alias("less")))
+    plain = centers.select(F.col(name).alias("name"), F.col(vector).alias("v"))
+    few = plain.orderBy("name").limit(CENTROIDS_AT_ONCE + 1).collect()
+    bare = rows.drop(name)
+    if not few:
+        return bare.withColumns({name: F.lit(None).cast(dict(centers.dtypes)[name]), "likeness": F.lit(None).cast("double")})
+    if len(few) <= CENTROIDS_AT_ONCE:
+        table = F.array(*[F.struct(F.lit(r[0]).alias("name"), F.array(*map(F.lit, r[1])).alias("v")) for r in few])
+        told = bare.withColumn("_centers", table).withColumn("_best", F.array_max(likened)).drop("_centers")
+    else:
+        blocks = -(-plain.count() // CENTROIDS_AT_ONCE)
+        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = plain.groupBy(F.pmod(F.xxhash64("name"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("name", "v")).alias("_centers"))
+        dealt = dealt.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # equal rows are one, so no number of a row has to hold through a second run
+        own = F.struct(*bare.columns)
+        each = bare.select(own.alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        asked = each.select("_row", "_n", F.col("_row")[vector].alias(vector), F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+        part = asked.join(dealt, ["_block", "_salt"]).select("_row", "_n", F.array_max(likened).alias("_best"))
+        best = part.groupBy("_row", "_n").agg(F.max("_best").alias("_best"))
+        told = best.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*", "_best")
     return told.withColumns({name: -F.col("_best.less"), "likeness": F.col("_best.likeness")}).drop("_best")
 
 

@@ -70,3 +70,31 @@ def test_names_and_keys(spark):
         signal.output_key(F.lit(-30), F.lit(True), F.lit(4)).alias("d"), signal.clock(F.lit(125.9)).alias("e"), signal.to_16bit(F.lit(2.0)).alias("f"), signal.closest_frame(F.lit(0.5 * 0.0619375 + 0.016875 * 3)).alias("g"),
     ).first()
     assert tuple(row) == ("abc é_-", "speaker 2", "x.y", "-30-speech4", "2:05", 32767 / 32768, 3)
+
+
+def test_ticks_and_texts(spark):
+    from pyspark.sql import functions as F
+
+    def one(c):
+        return spark.range(1).select(c.alias("x")).first().x
+
+    assert one(signal.ticks(F.lit(0.0), F.lit(10.0), 600)) == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+    assert one(signal.ticks(F.lit(12.3), F.lit(13.1), 330)) == [12.5, 13.0]
+    assert one(signal.ticks(F.lit(0.0), F.lit(90_000.0), 100))[:2] == [0.0, 3600.0]
+    row = spark.range(1).select(signal.hertz(F.lit(120.5)), signal.decibel_text(F.lit(-3.26)), signal.full_clock(F.lit(59.6)), signal.full_clock(F.lit(3725.2)), signal.stamp_text(F.lit(86_460.0))).first()
+    assert tuple(row) == ("120 Hz", "-3.3 dB", "1:00", "1:02:05", "1970-01-02 00:01")
+
+
+def test_voice_frames_with_and_without_inputs(spark, tmp_path):
+    plain = spark.createDataFrame([("a", 0.5, 1.0)], "rec string, t double, f0 double")
+    store.save(plain, str(tmp_path / "p"), "rec")
+    store.save(plain.selectExpr("*", "2 as src", "false as prim"), str(tmp_path / "i"), "rec")
+    assert [(r.src, r.prim) for r in store.voice_frames(spark, str(tmp_path / "p")).collect()] == [(None, True)]
+    assert [(r.src, r.prim) for r in store.voice_frames(spark, str(tmp_path / "i")).collect()] == [(2, False)]
+
+
+def test_first_seconds_of_every_track(spark):
+    rows = [(k, b, [float(b * 4 + i) for i in range(4 if b < 2 else 1)]) for k in range(2) for b in range(3)]
+    df = spark.createDataFrame(rows, "track int, block long, pcm array<double>")
+    got = store.first_seconds(df, 4, 2, 3.0).orderBy("track", "block").collect()
+    assert [(r.track, r.block, r.pcm) for r in got] == [(k, b, x) for k in range(2) for b, x in ((0, [0.0, 1.0, 2.0, 3.0]), (1, [4.0, 5.0]))]

@@ -76,3 +76,39 @@ def output_key(threshold: Column, speech_only: Column, rev: Column) -> Column:
 def clock(seconds: Column) -> Column:
     whole = F.floor(seconds)
     return F.concat((whole / 60).cast("long").cast("string"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+#: Round steps of a time axis, in seconds.
+STEPS = (0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0, 900.0, 1800.0, 3600.0)
+
+
+def ticks(begin: Column, stop: Column, width: float, apart: float = 110.0) -> Column:
+    """Ticks of a time axis ``width`` pixels wide: multiples of the least round step that
+    keeps about ``apart`` pixels between them."""
+    raw = (stop - begin) / F.lit(float(max(2, int(width // apart))))
+    step = F.coalesce(*[F.when(raw <= s, F.lit(s)) for s in STEPS], F.lit(STEPS[-1]))
+    first, last = F.ceil(begin / step - 1e-9), F.floor(stop / step + 1e-9)
+    return F.when(last >= first, F.transform(F.sequence(first, last), lambda k: F.round(k * step, 3))).otherwise(F.array().cast("array<double>"))
+
+
+def hertz(x: Column) -> Column:
+    """Whole hertz, halves to even; null stays null."""
+    return F.concat(F.rint(x).cast("long").cast("string"), F.lit(" Hz"))
+
+
+def decibel_text(x: Column) -> Column:
+    return F.format_string("%.1f dB", x)
+
+
+def full_clock(seconds: Column) -> Column:
+    """h:mm:ss from an hour on, else m:ss, rounded to whole seconds."""
+    whole = F.floor(seconds + 0.5)
+    h, m, s = F.floor(whole / 3600), F.floor(whole % 3600 / 60), (whole % 60)
+    short = F.concat(m.cast("string"), F.lit(":"), F.lpad(s.cast("long").cast("string"), 2, "0"))
+    long_ = F.concat(h.cast("string"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"), F.lit(":"), F.lpad(s.cast("long").cast("string"), 2, "0"))
+    return F.when(h > 0, long_).otherwise(short)
+
+
+def stamp_text(at: Column) -> Column:
+    """Day and time of a moment in seconds since 1970, in the session's time zone."""
+    return F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd HH:mm")

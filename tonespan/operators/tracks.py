@@ -45,6 +45,17 @@ def best_lag(correlations: DataFrame, keys: Keys, digits: int = 12) -> DataFrame
     return correlations.groupBy(*keys).agg(F.min_by("lag", F.struct(-F.round("r", digits), "lag")).alias("lag"))
 
 
+def input_lags(mix: DataFrame, levels: DataFrame, keys: Keys, hop: float = HOP, most: float = 0.5, seconds: float | None = None) -> DataFrame:
+    """(keys, input, lag): by how many seconds each input runs before the mix, 0 where that
+    cannot be told; ``seconds``: from so much of the beginning alone. All inputs go through
+    one join."""
+    first = F.lit(True) if seconds is None else F.col("i") < int(seconds / hop)
+    inputs = levels.select(*keys, "input").distinct()
+    each = mix.where(first).join(inputs, keys).select(*keys, "input", "i", "db")
+    found = best_lag(lag_correlations(each, levels.where(first), [*keys, "input"], int(most / hop)), [*keys, "input"])
+    return inputs.join(found, [*keys, "input"], "left").select(*keys, "input", (F.coalesce("lag", F.lit(0)) * hop).alias("lag"))
+
+
 def shift(levels: DataFrame, keys: Keys, by: int, quiet: float = -200.0) -> DataFrame:
     """Levels ``by`` hops later (earlier if negative), filled with quiet."""
     w = Window.partitionBy(*keys).orderBy("i")

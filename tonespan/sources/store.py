@@ -43,3 +43,22 @@ def programs(found: DataFrame, hidden: DataFrame) -> DataFrame:
 def shifted(frames: DataFrame, offset: float) -> DataFrame:
     """Live frames on the clock of the recording that is kept."""
     return frames.withColumn("t", F.col("t") + offset)
+
+
+def voice_frames(spark: SparkSession, path: str) -> DataFrame:
+    """Saved voice frames with ``src`` and ``prim``, the input that each was measured on and
+    whether it was the loudest then; frames saved without inputs are all of input null and
+    count everywhere."""
+    saved = spark.read.parquet(path)
+    if "src" in saved.columns:
+        return saved
+    return saved.withColumns({"src": F.lit(None).cast("int"), "prim": F.lit(True)})
+
+
+def first_seconds(blocks: DataFrame, size: int, rate: int, seconds: float, index: str = "block", pcm: str = "pcm") -> DataFrame:
+    """The first ``seconds`` of every recording or track of blocks of ``size`` samples: whole
+    blocks are kept as they are, the one that the end falls into is cut."""
+    last = int(seconds * rate)
+    left = F.lit(last) - F.col(index) * size
+    kept = blocks.where(left > 0)
+    return kept.withColumn(pcm, F.slice(pcm, 1, F.least(left, F.size(pcm)).cast("int")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonespan.functions.signal import AT_LEAST, audible_level, decibels
 from tonespan.operators import spans
+from tonespan.operators.lineage import cut
 
 Keys = list[str]
 HOP = 0.01
@@ -70,7 +71,8 @@ def sweep(levels: DataFrame, trials: DataFrame, durations: DataFrame, keys: Keys
     quiet = spans.runs(levels.join(trials, keys), by, "i", F.col("db") < F.col("threshold"), shortest)
     silence = quiet.select(*by, (F.col("first") * hop).alias("start"), (F.col("stop") * hop).alias("end"))
     long_ = trials.join(durations, keys)
-    kept = spans.keep_segments(silence, long_, by, pad)
+    # the gaps are read off the same segments; levels meet thresholds once
+    kept = cut(spans.keep_segments(silence, long_, by, pad))
     return kept, spans.complement(kept, long_, by)
 
 

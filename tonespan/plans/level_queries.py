@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tonespan.operators import levels, measures, tracks
+from tonespan.operators.lineage import cut
 from tonespan.plans import inputs
 from tonespan.plans.inputs import sql
 
@@ -73,7 +74,7 @@ START, SHORTEST, PAD = 34, 2, 0.01
 
 def _swept(spark, sf_dir):
     rows = inputs.levels(spark, sf_dir)
-    measured = _measured(spark, sf_dir)
+    measured = cut(_measured(spark, sf_dir))
     tried = levels.thresholds(measured, REC, START)
     long_ = rows.groupBy("rec").agg((F.count(F.lit(1)) * levels.HOP).alias("duration"))
     kept, gaps = levels.sweep(rows, tried, long_, REC, levels.HOP, SHORTEST, PAD)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tonespan.operators import spans
+from tonespan.streaming.scan import scan
 
 Keys = list[str]
 
@@ -36,19 +36,26 @@ def names_from_anchors(scores: DataFrame, keys: Keys) -> DataFrame:
     """(keys, speaker, name): each name to the speaker who shares most time with its anchors,
     largest scores first (then by name and speaker, last first), one to one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict = {}
-        for r in pdf.sort_values(["seconds", "name", "speaker"], ascending=False).itertuples():
-            if r.seconds > 0 and r.speaker not in taken and getattr(r, "name") not in taken.values():
-                taken[r.speaker] = r.name
-        out = pd.DataFrame({"speaker": list(taken), "name": list(taken.values())})
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    kinds = dict(scores.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", speaker {kinds['speaker']}, name string"
-    return scores.groupBy(*keys).applyInPandas(run, schema)
+    order = Window.partitionBy(*keys).orderBy(F.desc("seconds"), F.desc("name"), F.desc("speaker"))
+    ranked = scores.where("seconds > 0").select(*keys, "speaker", "name", F.row_number().over(order).alias("_place"))
+    return scan(ranked, keys, ["_place"], ["speaker", "name"], lambda _: _Given(), f"speaker {dict(scores.dtypes)['speaker']}, name string")
+
+
+class _Given:
+    """Names in order of score: who has one, and which are given."""
+
+    def __init__(self):
+        self.speakers, self.names = set(), set()
+
+    def step(self, speaker, name) -> list[tuple]:
+        if speaker in self.speakers or name in self.names:
+            return []
+        self.speakers.add(speaker)
+        self.names.add(name)
+        return [(speaker, name)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def newest(items: DataFrame, created: str, item: str, limit: int) -> DataFrame:

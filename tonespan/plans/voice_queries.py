@@ -151,7 +151,15 @@ def q70_speakers_of_known_number(spark, sf_dir):
     return vectors.speakers(_recorded(spark, sf_dir).withColumn("seconds", F.col("vec_id") % 17 / 10.0), REC, "vec_id", n=3, cut=1.2)
 
 
-@query()
+_OLD = ",\n".join(f"o{k} AS (SELECT rec, old, z FROM sh WHERE new = {k} UNION ALL SELECT DISTINCT rec, CAST(NULL AS VARCHAR), 0.0 FROM sh)" for k in range(4))
+_APART = " AND ".join(f"(o{a}.old IS NULL OR o{b}.old IS NULL OR o{a}.old <> o{b}.old)" for a in range(4) for b in range(a))
+
+
+@query(sql(f""", sh AS (SELECT x.rec, y.event_id % 4 AS new, x.speaker AS old, sum(least(x.e, y.e) - greatest(x.s, y.s)) AS z FROM turns x JOIN turns y ON x.rec = y.rec AND x.s < y.e AND y.s < x.e GROUP BY ALL),
+{_OLD},
+cb AS (SELECT o0.rec, [o0.old, o1.old, o2.old, o3.old] AS olds, o0.z + o1.z + o2.z + o3.z AS z FROM o0 JOIN o1 USING (rec) JOIN o2 USING (rec) JOIN o3 USING (rec) WHERE {_APART}),
+bs AS (SELECT rec, arg_max(olds, z) AS olds FROM cb GROUP BY rec)
+SELECT rec, new, old FROM (SELECT rec, unnest(range(4)) AS new, unnest(olds) AS old FROM bs) WHERE old IS NOT NULL""", "turns"))
 def q46_stable_ids(spark, sf_dir):
     old = inputs.turns(spark, sf_dir).select("rec", F.col("speaker").alias("old"), "start", "end")
     new = inputs.turns(spark, sf_dir).select("rec", (F.col("event_id") % 4).alias("new"), "start", "end")
@@ -245,7 +253,13 @@ def q57_entries(spark, sf_dir):
     return library.entries(rows, REC).withColumn("talk", F.round("talk", 6))
 
 
-@query()
+@query(sql(""", an AS (SELECT rec, 'name ' || event_id % 4 AS name, s, e FROM turns WHERE event_id % 9 = 0),
+sc AS (SELECT an.rec, an.name, tu.speaker, sum(least(an.e, tu.e) - greatest(an.s, tu.s)) AS z FROM an JOIN turns tu ON tu.rec = an.rec AND an.s < tu.e AND tu.s < an.e GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY z DESC, name DESC, speaker DESC) AS p FROM sc WHERE z > 0),
+st AS (SELECT DISTINCT rec, CAST(0 AS BIGINT) AS p, CAST([] AS VARCHAR[]) AS ns, CAST([] AS VARCHAR[]) AS ss FROM rk
+UNION ALL SELECT st.rec, rk.p, CASE WHEN list_contains(ns, name) OR list_contains(ss, speaker) THEN ns ELSE list_append(ns, name) END, CASE WHEN list_contains(ns, name) OR list_contains(ss, speaker) THEN ss ELSE list_append(ss, speaker) END FROM st JOIN rk ON rk.rec = st.rec AND rk.p = st.p + 1),
+ls AS (SELECT rec, arg_max(ns, p) AS ns, arg_max(ss, p) AS ss FROM st GROUP BY rec)
+SELECT rec, unnest(ss) AS speaker, unnest(ns) AS name FROM ls""", "turns").replace("WITH ", "WITH RECURSIVE ", 1))
 def q58_names_from_anchors(spark, sf_dir):
     turns = inputs.turns(spark, sf_dir).withColumnRenamed("event_id", "id")
     anchors = turns.where("id % 9 = 0").select("rec", F.concat(F.lit("name "), (F.col("id") % 4).cast("string")).alias("name"), "start", "end")

@@ -243,8 +243,8 @@ def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     used = [r[0] for r in found.where("kind = 'first'").select("part").orderBy("part").collect()]
     if not used:
         return found.drop("kind", "part", "text")
-    following = F.create_map(*[F.lit(x) for pair in zip(used, used[1:] + used[:1], strict=True) for x in pair])
-    last = found.where("kind = 'last'").select("doc_id", "text", following[F.col("part")].alias("part"))
+    after = spark.createDataFrame(list(zip(used, used[1:] + used[:1], strict=True)), "part int, after int")
+    last = found.where("kind = 'last'").join(after, "part").select("doc_id", "text", F.col("after").alias("part"))
     first = found.where("kind = 'first'").select("part", F.col("text").alias("following"))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,6 +91,9 @@ def test_live_sessions_become_named_tracks(spark, tmp_path):
     for stream, level in ((0, 0.75), (1, 0.25), (2, 0.5)):
         x, rate = matroska.decode(content, stream)
         assert rate == 160 and len(x) == 320 and np.allclose(x, level)
+    second = audio.read(spark, str(tmp_path / "s.mka"), rate=160, seconds=1.0, stream=2).collect()
+    assert len(second) == 160 and {r.x for r in second} == {0.5}
+    assert audio.read(spark, str(tmp_path / "s.mka"), stream=3).first().error
     got = recordings.audio_streams(spark, str(tmp_path / "s.mka")).orderBy("stream").collect()
     assert [(r.stream, r.title) for r in got] == [(0, "Mix"), (1, "Ann"), (2, "Bob's mic")]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import wave
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tonespan.sources import matroska
+
 RATE = 16_000
 #: Samples in one row batch on the way back to Spark.
 _BATCH = 1 << 18
@@ -30,6 +33,16 @@ def decode_wav(content: bytes) -> tuple[np.ndarray, int]:
     return x.reshape(-1, channels), rate
 
 
+def decode_known(content: bytes, stream: int = 0) -> tuple[np.ndarray, int]:
+    """The sound of one audio stream of a file, by what its header says: PCM in WAV (which
+    has one stream) or in Matroska."""
+    if content[:4] == matroska.EBML.to_bytes(4, "big"):
+        return matroska.decode(content, stream)
+    if stream:
+        raise ValueError(f"no audio stream {stream}")
+    return decode_wav(content)
+
+
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear interpolation onto another rate."""
     if rate == to or not len(x):
@@ -38,10 +51,12 @@ def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x)
 
 
-def read(spark: SparkSession, path: str, seconds: float | None = None, rate: int = RATE, decoder: Callable[[bytes], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
+def read(spark: SparkSession, path: str, seconds: float | None = None, rate: int = RATE, decoder: Callable[[bytes], tuple[np.ndarray, int]] | None = None, stream: int = 0) -> DataFrame:
     """(path, i, x, error): mono samples of the files at ``path``, channels averaged; a file
     that cannot be decoded is one row with the error. Files are read by executors, one at a
-    time; ``seconds``: only so much of each."""
+    time; ``seconds``: only so much of each; ``stream``: which audio stream, unless a
+    ``decoder`` of one's own decides that."""
+    decoder = decoder or functools.partial(decode_known, stream=stream)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

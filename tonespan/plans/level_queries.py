@@ -251,7 +251,7 @@ def q69_pixel_means(spark, sf_dir):
 
 @query(sql(f""", {_TR}, {_MIXED}, p AS (SELECT mx.rec, tl.input, l.lag, greatest(mx.db, -80) AS a, greatest(tl.db, -80) AS b FROM mx, (SELECT unnest(generate_series(-25, 25)) AS lag) l JOIN tl ON tl.rec = mx.rec AND tl.i = mx.i - l.lag WHERE mx.i < 480 AND tl.i < 480),
 co AS (SELECT rec, input, lag, round(corr(a, b), 12) AS r FROM p GROUP BY rec, input, lag HAVING count(*) >= 50 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0)
-SELECT x.rec, x.input, coalesce(arg_min(lag, (-r, lag)), 0) * 3600.0 AS lag FROM (SELECT DISTINCT rec, input FROM tl) x LEFT JOIN co USING (rec, input) GROUP BY x.rec, x.input""", "ev"))
+SELECT x.rec, x.input, CAST(coalesce(arg_min(lag, (-r, lag)), 0) * 3600 AS DOUBLE) AS lag FROM (SELECT DISTINCT rec, input FROM tl) x LEFT JOIN co USING (rec, input) GROUP BY x.rec, x.input""", "ev"))
 def q75_input_lags(spark, sf_dir):
     """From the first 480 hours."""
     rows = _track_levels(spark, sf_dir)

@@ -125,10 +125,11 @@ def s11_label_overlay(spark, sf_dir):
 
 
 @query(sql(f"""{_HELD}{_PIECES}, pt AS (SELECT event_id, rec, t + 5000 AS t FROM ev)
-SELECT pt.event_id, pt.rec, pc.m.speaker AS speaker, pc.m.g AS generation FROM pt LEFT JOIN pc ON pc.rec = pt.rec AND pc.s <= pt.t AND pt.t < pc.e""", "turns"))
+SELECT pt.event_id, pt.rec, pc.m.speaker AS speaker, coalesce(pc.m.g, -1) AS generation FROM pt LEFT JOIN pc ON pc.rec = pt.rec AND pc.s <= pt.t AND pt.t < pc.e""", "turns"))
 def s12_retagged_frames(spark, sf_dir):
     frames = inputs.events(spark, sf_dir).select("event_id", "rec", (F.col("t") + 5000).alias("t"))
-    return overlay.retag(frames, overlay.overlay(_held(spark, sf_dir), REC), REC).select("event_id", "rec", "speaker", "generation")
+    tagged = overlay.retag(frames, overlay.overlay(_held(spark, sf_dir), REC), REC)
+    return tagged.select("event_id", "rec", "speaker", F.coalesce("generation", F.lit(-1)).alias("generation"))
 
 
 # halo blocks and windows: samples in blocks of sixteen
@@ -229,7 +230,7 @@ def s18_backlog(spark, sf_dir):
 
 @query(sql(""", fq AS (SELECT rec, round(t / 43200) AS q, src, max(loudness) AS loudness FROM fr GROUP BY ALL),
 bs AS (SELECT *, row_number() OVER (PARTITION BY rec, q ORDER BY loudness DESC, src) = 1 AS prim FROM fq)
-SELECT rec, CAST(q AS DOUBLE) AS t, src, loudness, who AS speaker FROM bs CROSS JOIN (SELECT unnest(['home', 'none']) AS who) w WHERE CASE WHEN who = 'home' THEN src = rec % 3 ELSE prim END""", "fr"))
+SELECT rec, CAST(q AS DOUBLE) AS t, CAST(src AS INT) AS src, loudness, who AS speaker FROM bs CROSS JOIN (SELECT unnest(['home', 'none']) AS who) w WHERE CASE WHEN who = 'home' THEN src = rec % 3 ELSE prim END""", "fr"))
 def s19_speaker_frames(spark, sf_dir):
     rows = inputs.frames(spark, sf_dir).groupBy("rec", F.round(F.col("t") / 43_200).alias("t"), "src").agg(F.max("loudness").alias("loudness"))
     recs = rows.select("rec").distinct()

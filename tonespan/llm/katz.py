@@ -58,8 +58,20 @@ class Grams(NamedTuple):
     trained: np.ndarray  # training occurrences in the block
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and which each key is. Which of several
+    places does not matter here, so the sort need not be stable."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def _ordered(hashes: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)  # distinct ones
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
     return rank, hashes[order], *(c[order] for c in columns)
@@ -80,7 +92,7 @@ def block_grams(vocabulary: np.ndarray, codes: np.ndarray, starts: np.ndarray, t
             context_hash = np.append(vocabulary, BEGIN)
         else:
             context, context_hash = lower.of_token[at - 1], lower.hashes
-        pairs, first, inverse = np.unique(context * len(vocabulary) + codes[at], return_index=True, return_inverse=True)
+        pairs, first, inverse = _distinct(context * len(vocabulary) + codes[at])
         context, word = pairs // max(1, len(vocabulary)), pairs % max(1, len(vocabulary))
         hashes = _words.pair_hash(context_hash[context], vocabulary[word])
         counts = np.bincount(inverse[trained[at]], minlength=len(pairs))
@@ -170,11 +182,13 @@ def _add_up(request: pa.Table) -> pa.Table:
     level, bucket = request["level"][0].as_py(), request["bucket"][0].as_py()
     keys = [unpack_sorted(x.as_py()) for x in request["keys"]]
     counts = np.concatenate([unpack(x.as_py(), np.uint32) for x in request["counts"]]).astype(np.int64)
-    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, _, inverse = _distinct(np.concatenate(keys))
     total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.uint64)
     trained = np.flatnonzero(counts)
     owner = np.zeros(len(counts), bool)
-    owner[trained[np.unique(inverse[trained], return_index=True)[1]]] = True
+    first = np.empty(len(distinct), np.int64)
+    first[inverse[trained[::-1]]] = trained[::-1]  # the first is written last
+    owner[first[np.unique(inverse[trained])]] = True
     some = total > 0
     of_counts = np.bincount(np.minimum(total[some], GOOD_TURING + 2).astype(np.int64), minlength=GOOD_TURING + 3)
     summary = np.append(of_counts, total.sum()).astype(np.int64)
@@ -323,7 +337,7 @@ def _evaluate(blocks: DataFrame, replies: DataFrame, params: list[Discounts], te
                 below = totals[n - 2].total[suffix]
                 covered = params[n - 2].of(below) * below
                 over = np.full(len(mine), first.total) if n == 2 else before[n - 2][suffix]
-                which, first_of, inverse = np.unique(context, return_index=True, return_inverse=True)
+                which, first_of, inverse = _distinct(context)
                 context_hash = np.append(grams[0].hashes, BEGIN) if n == 2 else grams[n - 2].hashes
                 _, hashes, freed, covered, times, over = _ordered(
                     context_hash[which], np.bincount(inverse, weights=freed), np.bincount(inverse, weights=covered), before[n - 1][mine][first_of], over[first_of]
@@ -358,7 +372,7 @@ def _weights(rows: pa.Table) -> pa.Table:
     out = []
     at = np.flatnonzero(kinds == "context").tolist()
     keys = np.concatenate([unpack_sorted(rows["keys"][i].as_py()) for i in at]) if at else np.zeros(0, np.uint64)
-    distinct, inverse = np.unique(keys, return_inverse=True)
+    distinct, _, inverse = _distinct(keys)
 
     def values(column: str) -> np.ndarray:
         return np.concatenate([unpack_values(rows[column][i].as_py()) for i in at]) if at else np.zeros(0)

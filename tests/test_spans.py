@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tonespan.operators import spans, timeline
+from tonespan.operators import library, spans, timeline
 
 KEYS = ["rec"]
 
@@ -144,3 +144,18 @@ def test_cut_samples(spark):
 def test_empty_inputs(spark):
     none = frame(spark, [])
     assert spans.gap_join(none, KEYS).count() == spans.union(none, KEYS).count() == spans.intersect(none, none, KEYS, 1.0).count() == 0
+
+
+def test_speech_segments_equal_their_sql_past_the_limit_and_without_length(spark):
+    """The SQL asks of two spans only that each begins before the other ends."""
+    kept = [(0, 10.0, 95.0), (0, 200.0, 200.0), (1, 10.0, 10.0), (1, 100.0, 130.0), (2, 70.0, 100.0), (3, 0.0, 300.0)]
+    turns = [(0, 20.0, 21.0), (0, 90.0, 92.0), (1, 5.0, 15.0), (1, 100.5, 120.0), (1, 126.0, 128.0), (2, 96.0, 97.0), (3, 99.0, 101.0), (3, 250.0, 260.0)]
+
+    def want(rec):
+        union = merged(by_rec(turns)[rec], pad=1.0, limit=80.0)
+        return sorted((max(a, c), min(b, d)) for a, b in by_rec(kept)[rec] for c, d in union if a < d and c < b)
+
+    for width in (7.0, 50.0):
+        got = library.speech_segments(frame(spark, kept), frame(spark, turns), KEYS, 1.0, F.lit(80.0), width)
+        assert collected(got, "start", "end") == {rec: w for rec in range(4) if (w := want(rec))}
+    assert want(3) == [(98.0, 80.0), (249.0, 80.0)] and want(1) == [(10.0, 10.0)]

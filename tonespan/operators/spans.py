@@ -66,21 +66,24 @@ def _bucketed(spans: DataFrame, width: float, start: str, end: str) -> DataFrame
     return spans.withColumn("_bucket", F.explode(F.sequence(low, F.greatest(low, F.floor(F.col(end) / width)))))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, keys: Keys, width: float) -> DataFrame:
+def overlap_pairs(left: DataFrame, right: DataFrame, keys: Keys, width: float, empty: bool = False) -> DataFrame:
     """Pairs of a left and a right span that overlap (more than touch), with ``low`` and
     ``high`` of the overlap; right's other columns come along and must have names of their
     own. ``width``: seconds a time bucket, about the length of a usual span. A pair is kept
-    in the bucket where its overlap begins, so it comes once."""
+    in the bucket where its overlap begins, so it comes once. ``empty``: each span need only
+    begin before the other ends, so one without length, or with its end before its start,
+    also meets a span around it (``high`` is then not past ``low``)."""
     a = _bucketed(left, width, "start", "end")
     b = _bucketed(right.withColumnsRenamed({"start": "_start", "end": "_end"}), width, "_start", "_end")
     low, high = F.greatest("start", "_start"), F.least("end", "_end")
-    met = a.join(b, [*keys, "_bucket"]).where((high > low) & (F.col("_bucket") == F.floor(low / width)))
+    meets = (F.col("start") < F.col("_end")) & (F.col("_start") < F.col("end")) if empty else high > low
+    met = a.join(b, [*keys, "_bucket"]).where(meets & (F.col("_bucket") == F.floor(low / width)))
     return met.withColumns({"low": low, "high": high}).withColumnsRenamed({"_start": "right_start", "_end": "right_end"}).drop("_bucket")
 
 
-def intersect(left: DataFrame, right: DataFrame, keys: Keys, width: float) -> DataFrame:
-    """Overlaps of two lists of spans."""
-    pairs = overlap_pairs(left.select(*keys, "start", "end"), right.select(*keys, "start", "end"), keys, width)
+def intersect(left: DataFrame, right: DataFrame, keys: Keys, width: float, empty: bool = False) -> DataFrame:
+    """Overlaps of two lists of spans; ``empty``: as in ``overlap_pairs``."""
+    pairs = overlap_pairs(left.select(*keys, "start", "end"), right.select(*keys, "start", "end"), keys, width, empty)
     return pairs.select(*keys, F.col("low").alias("start"), F.col("high").alias("end"))
 
 

@@ -789,6 +789,30 @@ def test_near_dedup_stage_matches_brute_force(spark, documents, texts):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, documents, "").collect()} == want
 
 
+def test_near_dedup_stage_links_within_the_simhash_radius(spark):
+    """Near copies that no MinHash band meets, but whose fingerprints are within the radius."""
+    import corpus_pipeline
+    from tonespan.llm import similar
+
+    rng = random.Random(31)
+    texts = []
+    for k in range(2000):
+        tail = [f"t{rng.randrange(10**7)}" for _ in range(45)]
+        for word in (tail[20], "changed"):
+            texts.append(" ".join([f"fill{k}"] * 120 + tail[:20] + [word] + tail[21:]))
+    _, _, own, first = similar.shingles_of(_words.as_text(pa.array(texts)))
+    bands, sim = similar.bands_of(own, first), simhash.majority(own, first)
+    apart = np.flatnonzero(~(bands[::2] == bands[1::2]).any(axis=1) & (np.bitwise_count(sim[::2] ^ sim[1::2]) <= simhash.RADIUS))
+    assert len(apart) >= 3
+    rows = [(int(2 * k + c), texts[2 * k + c]) for k in apart for c in (0, 1)]
+    # the same filling words, hence fingerprints within the radius, but other texts
+    rows += [(-1 - c, " ".join(["same"] * 120 + [f"o{c}x{j}" for j in range(45)])) for c in range(3)]
+    _, _, own, first = similar.shingles_of(_words.as_text(pa.array([text for _, text in rows[-3:]])))
+    assert len(set(simhash.majority(own, first).tolist())) == 1
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {int(2 * k) for k in apart} | {-1, -2, -3}
+
+
 def test_whole_passages_are_cut_from_longer_paragraphs(spark):
     """Every word of an exact passage of PASSAGE words or more is reported, and no other."""
     rng = random.Random(21)

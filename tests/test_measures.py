@@ -1,6 +1,9 @@
 """Levels, vectors, measures and live operators on small cases."""
 
 import itertools
+import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -247,3 +250,34 @@ def test_nearest_of_many_centers(spark):
     few = vectors.nearest(rows, table.where("speaker < 5")).collect()
     assert len(few) == 63 and {r.speaker for r in few} <= set(range(5))
     assert {r.speaker for r in vectors.nearest(rows, table.where("false")).collect()} == {None}
+
+
+def test_trend_equals_brute_force_at_the_edges_of_windows(spark):
+    """Also where a step is no whole number of microseconds; rows without a residual are not
+    moments of the trend."""
+    rng = random.Random(54)
+    for step, window, near in ((0.5, 4.0, 0.75), (0.3333337, 1.7, 0.1)):
+        edges = [(k + 0.5) * step + side * d for k in range(12) for d in (window / 2, near) for side in (-1, 1)]
+        moments = [max(0.0, t + e * 1e-6) for t in edges for e in (-1, 0, 1)] + [rng.uniform(0, 9) for _ in range(60)]
+        rows = [(rec, t, rng.uniform(-0.2, 0.2) if rng.random() < 0.9 else None) for rec in (0, 1) for t in moments if rec == 0 or t < 2]
+        got = {(x.rec, round(x.t, 7)): (x.pct, x.conf) for x in measures.trend(spark.createDataFrame(rows, "rec int, t double, r double"), ["rec"], 9.0, 0.01, step, window, near, 2.0).collect()}
+        want = {}
+        for rec in (0, 1):
+            known = [(math.floor(t * 1e6 + 0.5), r) for key, t, r in rows if key == rec and r is not None]
+            for k in range(int(9.0 / step) + 1):
+                t = k * step + step / 2
+                u, half, close = math.floor(t * 1e6 + 0.5), round(window / 2 * 1e6), round(near * 1e6)
+                wide = [r for m, r in known if u - half <= m < u + half]
+                if t < 9.0 and any(u - close <= m < u + close for m, _ in known):
+                    want[rec, round(t, 7)] = (pytest.approx(100 * (math.exp(sum(wide) / len(wide)) - 1)), pytest.approx(min(1.0, len(wide) * 0.01 / 2.0)))
+        assert got == want and len(want) > 20
+
+
+def test_trend_of_many_rows_in_one_window(spark):
+    """The work follows the rows, not the rows times the rows of a window."""
+    n = 300_000
+    rows = spark.range(n).select(F.lit(0).alias("rec"), (F.col("id") * (20.0 / n)).alias("t"), F.lit(0.01).alias("r"))
+    begin = time.perf_counter()
+    found = measures.trend(rows, ["rec"], 20.0, 0.001, step=5.0, window=40.0).collect()
+    assert len(found) == 4 and {round(x.pct, 6) for x in found} == {round(100 * (math.exp(0.01) - 1), 6)}
+    assert time.perf_counter() - begin < 60

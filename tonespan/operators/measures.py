@@ -118,16 +118,34 @@ def residuals(rows: DataFrame, keys: Keys, coefs: DataFrame) -> DataFrame:
 def trend(rows: DataFrame, keys: Keys, duration: float, dt: float, step: float = 0.5, window: float = 10.0, near: float = 0.75, enough: float = 3.0) -> DataFrame:
     """(keys, t, pct, conf) every ``step`` seconds where speech is near: percent above or
     below the usual, and how much speech stands behind it."""
-    micro = F.round(F.col("t") * 1_000_000).cast("long")
-    grid = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(duration / step)).cast("long"))).alias("_k"))
-    grid = grid.select(*keys, (F.col("_k") * step + step / 2).alias("t"), F.lit(None).cast("double").alias("r")).where(F.col("t") < duration)
-    both = grid.unionByName(rows.select(*keys, "t", "r")).withColumn("_u", micro)
-    w = Window.partitionBy(*keys).orderBy("_u")
+    last = int(duration / step)
     half, close = round(window / 2 * 1e6), round(near * 1e6)
+
+    def at(k: Column) -> Column:
+        return k * step + step / 2
+
+    def micro(t: Column) -> Column:
+        return F.round(t * 1_000_000).cast("long")
+
+    def passed(offset: int) -> Column:
+        """The last moment that, moved by ``offset``, is not after the row."""
+        k = F.floor((F.col("_u") - offset) / (step * 1e6) - 0.5)
+        k = k + F.when(micro(at(k + 1)) + offset <= F.col("_u"), 1).when(micro(at(k)) + offset > F.col("_u"), -1).otherwise(0)
+        return F.greatest(F.lit(-1).cast("long"), F.least(F.lit(last).cast("long"), k))
+
+    # rows that no edge of a window parts are one row: the frames then hold as many rows as
+    # there are edges in them, however many rows there are
+    sides = {f"_{i}": passed(offset) for i, offset in enumerate((-half, half, -close, close))}
+    cells = rows.select(*keys, "r", micro(F.col("t")).alias("_u")).groupBy(*keys, *[c.alias(name) for name, c in sides.items()])
+    cells = cells.agg(F.min("_u").alias("_u"), F.sum("r").alias("_s"), F.count("r").alias("_n")).select(*keys, F.lit(None).cast("double").alias("t"), "_u", "_s", "_n")
+    grid = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("_k"))
+    grid = grid.select(*keys, at(F.col("_k")).alias("t")).where(F.col("t") < duration)
+    both = cells.unionByName(grid.withColumn("_u", micro(F.col("t"))), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("_u")
     wide, tight = w.rangeBetween(-half, half - 1), w.rangeBetween(-close, close - 1)
-    seen = both.select(*keys, "t", "r", F.sum("r").over(wide).alias("_s"), F.count("r").over(wide).alias("_n"), F.count("r").over(tight).alias("_c"))
+    seen = both.select(*keys, "t", F.sum("_s").over(wide).alias("_s"), F.sum("_n").over(wide).alias("_n"), F.sum("_n").over(tight).alias("_c"))
     pct = 100 * (F.exp(F.col("_s") / F.col("_n")) - 1)
-    return seen.where("r is null and _c > 0").select(*keys, "t", pct.alias("pct"), F.least(F.lit(1.0), F.col("_n") * dt / enough).alias("conf"))
+    return seen.where("t is not null and _c > 0").select(*keys, "t", pct.alias("pct"), F.least(F.lit(1.0), F.col("_n") * dt / enough).alias("conf"))
 
 
 def change_point(rows: DataFrame, keys: Keys, dt: float, block: float = BLOCK, min_side: float = MIN_SIDE) -> DataFrame:
